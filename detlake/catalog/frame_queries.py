@@ -105,8 +105,8 @@ def sql_delta(src: str, part: str, order: int, value: str = "value", width: int
 hh as (select *, cast(floor((least({width}, n)-1)/2) as bigint) h from t),
 d as (select *, case {cases} end raw from hh window w as (partition by {part} order by frame)),
 f as (select {part} part, frame fr, raw from d),
-g as (select d.*, least(greatest(frame, h), n-1-h) c from d)
-select g.* exclude (raw), f.raw d from g left join f on f.part=g.{part} and f.fr=g.c"""
+g as (select d.*, least(greatest(frame, h), n-1-h) near from d)
+select g.* exclude (raw, near), f.raw d from g left join f on f.part=g.{part} and f.fr=g.near"""
 
 
 @query("delta", f"select dataset_id, utt_id, frame, value, round(d, 6)+0.0 delta from ({sql_delta('v_frames', 'utt_id', 1)})",

@@ -77,7 +77,7 @@ from {documents} d join {labels} l on d.doc_id=l.doc_id"""
 VIEWS["v_protocol"] = """
 select case when o_orderkey%10<6 then 'train' when o_orderkey%10<8 then 'dev' else 'eval' end word,
  concat_ws('  ', concat('C', cast(o_custkey as string)), concat('O', cast(o_orderkey as string)), '-',
- case when o_orderstatus='F' then '-' when o_orderkey%50=0 then 'unknown' else o_orderpriority end,
+ case when o_orderstatus='F' then '-' when o_orderkey%50=0 then 'unknown' else replace(o_orderpriority, ' ', '_') end,
  case when o_orderstatus='F' then 'bonafide' else 'Spoof' end) line, o_orderkey
 from {orders}"""
 

@@ -25,13 +25,13 @@ def stem(path: Column) -> Column:
 
 def container_codec(path: Column) -> Column:
     """Lower-cased extension without the dot, NULL when there is none."""
-    return F.nullif(F.lower(F.ltrim(F.lit("."), suffix(path))), F.lit(""))
+    return F.nullif(F.lower(F.ltrim(suffix(path), F.lit("."))), F.lit(""))
 
 
 def relative_to(path: Column, root: str | Column) -> Column:
     """``path`` below ``root``; both as plain ``/``-separated strings."""
     base = F.lit(root) if isinstance(root, str) else root
-    base = F.concat(F.rtrim(F.lit("/"), base), F.lit("/"))
+    base = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))
     return F.when(
         F.startswith(path, base), F.substr(path, F.length(base) + 1)
     ).otherwise(path)

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from detlake import fixed_values as fv, schema
 
-BONAFIDE = F.col("label") == fv.LABEL_BONAFIDE
-SPOOF = F.col("label") == fv.LABEL_SPOOF
+
+def _bonafide():
+    return F.col("label") == fv.LABEL_BONAFIDE
+
+
+def _spoof():
+    return F.col("label") == fv.LABEL_SPOOF
 
 
 def class_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """``bonafide``, ``spoof`` and ``total`` per group; an absent class is 0."""
     return df.groupBy(*keys).agg(
-        F.count_if(BONAFIDE).alias("bonafide"),
-        F.count_if(SPOOF).alias("spoof"),
-        F.count_if(BONAFIDE | SPOOF).alias("total"),
+        F.count_if(_bonafide()).alias("bonafide"),
+        F.count_if(_spoof()).alias("spoof"),
+        F.count_if(_bonafide() | _spoof()).alias("total"),
     )
 
 
@@ -129,7 +134,7 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
 def pos_weight(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``N_neg / N_pos`` of the rows given; NULL when a class is absent."""
-    neg, pos = F.count_if(BONAFIDE), F.count_if(SPOOF)
+    neg, pos = F.count_if(_bonafide()), F.count_if(_spoof())
     return df.groupBy(*(keys or [])).agg(
         F.when((neg > 0) & (pos > 0), neg / F.nullif(pos, F.lit(0))).alias("pos_weight")
     )
@@ -138,9 +143,9 @@ def pos_weight(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def dataset_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("dataset_id").agg(
         F.count("*").alias("n"),
-        F.count_if(BONAFIDE).alias("n_bonafide"),
-        F.count_if(SPOOF).alias("n_spoof"),
-        F.count_if(SPOOF & F.col("attack_type").isNull()).alias(
+        F.count_if(_bonafide()).alias("n_bonafide"),
+        F.count_if(_spoof()).alias("n_spoof"),
+        F.count_if(_spoof() & F.col("attack_type").isNull()).alias(
             "n_spoof_without_attack_type"
         ),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,3 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, as one zip file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_detlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="detlake-code-"), "detlake")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "detlake"))
+    sc._detlake_shipped = True
