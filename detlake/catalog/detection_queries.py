@@ -219,7 +219,7 @@ def q_operating_points(spark, sf_dir):
     val = s.filter("split = 'dev'").groupBy("dataset_id").agg(
         F.floor(F.avg("score")).cast("double").alias("threshold")
     )
-    out = D.operating_points(s, val).withColumnRenamed("_t", "threshold")
+    out = D.operating_points(s, val)
     return out.select("dataset_id", "at", rounded("threshold", 6).alias("threshold"),
                       "tn", "fp", "fn", "tp", rounded("fpr", 9).alias("fpr"), rounded("fnr", 9).alias("fnr"))
 

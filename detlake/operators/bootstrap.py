@@ -27,7 +27,7 @@ from detlake import fixed_values as fv
 from detlake.functions.numeric import md5_int
 from detlake.operators import prefix
 from detlake.operators.detection import eer_of_nodes, score_nodes
-from detlake.session import materialize
+from detlake.session import broadcast_if_small, materialize
 
 CHUNK = 50  # replicates drawn together
 
@@ -188,7 +188,7 @@ def eer_replicates_hashed(
     sizes = ranked.groupBy(group, "label").agg(F.count("*").alias("size"))
     draws = (
         ranked.select(group, "label", "i")
-        .join(sizes, [group, "label"])
+        .join(broadcast_if_small(sizes), [group, "label"])
         .select(
             "*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
         )

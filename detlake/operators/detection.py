@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from detlake import fixed_values as fv
 from detlake.functions.numeric import probit, share
 from detlake.operators import prefix
-from detlake.session import materialize
+from detlake.session import broadcast_if_small, materialize
 
 INF = float("inf")
 
@@ -294,15 +294,18 @@ def confusion_row_share(confusion: DataFrame, group: list[str]) -> DataFrame:
 
 
 def operating_points(
-    scores: DataFrame, val_thresholds: DataFrame | None = None, group: str = "dataset_id"
+    scores: DataFrame, val_thresholds: DataFrame | None = None, group: str = "dataset_id",
+    point: DataFrame | None = None,
 ) -> DataFrame:
     """Confusion at the EER threshold and, where known, at a validation threshold.
 
-    ``val_thresholds`` has ``dataset_id, threshold``. The EER point exists only
-    for groups with both classes. Thresholds are one row per group, so they are
-    joined through a shuffle-free side only when Spark sees that they are small.
+    ``val_thresholds`` has ``dataset_id, threshold``; ``point`` is a result of
+    :func:`eer` to reuse. The EER point exists only for groups with both classes.
+    Without a finite crossing its threshold is NULL and everything counts as
+    bonafide.
     """
-    points = eer(scores, [group]).filter(F.col("eer").isNotNull()).select(
+    found = point if point is not None else eer(scores, [group])
+    points = found.filter(F.col("eer").isNotNull()).select(
         group, F.lit("eer").alias("at"), F.col("threshold").alias("_t")
     )
     if val_thresholds is not None:
@@ -311,13 +314,16 @@ def operating_points(
                 group, F.lit("val").alias("at"), F.col("threshold").alias("_t")
             )
         )
-    counted = score_counts_at(scores, points, group)
-    return error_rates(counted)
+    return error_rates(score_counts_at(scores, materialize(points, "points"), group))
 
 
 def score_counts_at(scores: DataFrame, points: DataFrame, group: str) -> DataFrame:
-    """Confusion of each ``(group, at)`` threshold in one pass over the scores."""
-    joined = scores.select(group, "label", "score").join(points, group)
+    """Confusion of each ``(group, at)`` threshold in one pass over the scores.
+
+    A dataset may hold most of the scores, so they should not be hashed by it:
+    the thresholds are broadcast after their number is checked.
+    """
+    joined = scores.select(group, "label", "score").join(broadcast_if_small(points), group)
     return confusion_at(joined, [group, "at"], "_t")
 
 
@@ -330,10 +336,13 @@ def coverage_by_dataset(requested: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def eer_report(scores: DataFrame, ci: DataFrame | None = None) -> DataFrame:
+def eer_report(
+    scores: DataFrame, ci: DataFrame | None = None, point: DataFrame | None = None
+) -> DataFrame:
     """One row per dataset: counts, EER and its interval in percent to two places.
 
-    ``ci`` has ``dataset_id, lo, hi`` as :mod:`detlake.operators.bootstrap` gives.
+    ``ci`` has ``dataset_id, lo, hi`` as :mod:`detlake.operators.bootstrap` gives;
+    ``point`` is a result of :func:`eer` to reuse.
     """
     counts = scores.groupBy("dataset_id").agg(
         F.count("*").alias("n"),
@@ -341,7 +350,8 @@ def eer_report(scores: DataFrame, ci: DataFrame | None = None) -> DataFrame:
         F.count_if(F.col("label") == fv.LABEL_SPOOF).alias("spoof"),
     )
     pct = lambda c: F.bround(F.bround(F.col(c), 6) * 100.0, 2)
-    out = counts.join(eer(scores, ["dataset_id"]).drop("threshold"), "dataset_id", "left")
+    found = point if point is not None else eer(scores, ["dataset_id"])
+    out = counts.join(found.drop("threshold"), "dataset_id", "left")
     out = out.select("dataset_id", "n", "bonafide", "spoof", pct("eer").alias("eer_pct"))
     if ci is not None:
         out = out.join(

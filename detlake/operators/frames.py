@@ -94,24 +94,21 @@ def half_width(t: Column, width: int) -> Column:
 
 def with_delta(
     frames: DataFrame, value: str = "value", order: int = 1, width: int = 9,
-    keys: list[str] = schema.KEY, name: str | None = None,
+    keys: list[str] = schema.KEY, name: str | None = None, n_frames: str | None = None,
 ) -> DataFrame:
     """Add the regression slope (or curvature) over the frames around each frame.
 
     Frames nearer than half a window to an end copy the nearest full window.
     Utterances under three frames have none and get NULL. Each utterance is cut
     into pieces that carry the neighbouring frames they need, so one endless
-    recording still spreads over the cluster.
+    recording still spreads over the cluster. A stored length (``n_frames``, as in
+    the feature table) saves counting frames and the join that brings the count.
     """
     name = name or ("delta" if order == 1 else "delta2")
     widest = width // 2
     halo = 2 * widest
     f = F.col("frame")
 
-    counts = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_t"))
-    pieces = counts.withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_t") - 1) / PIECE).cast("int")))
-    )
     own = F.floor(f / PIECE).cast("int")
     near = F.array_distinct(F.array(
         own, F.greatest(F.floor((f - halo) / PIECE).cast("int"), F.lit(0)),
@@ -119,9 +116,14 @@ def with_delta(
     ))
     spread = frames.withColumn("_own", own).withColumn("_piece", F.explode(near))
     at = [*keys, "_piece"]
-    joined = spread.join(pieces.hint("shuffle_hash"), at).withColumn(
-        "_h", half_width(F.col("_t"), width)
-    )
+    if n_frames:
+        joined = spread.withColumn("_t", F.col(n_frames))
+    else:
+        counts = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_t"))
+        last = F.floor((F.col("_t") - 1) / PIECE).cast("int")
+        pieces = counts.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+        joined = spread.join(pieces, at)
+    joined = joined.withColumn("_h", half_width(F.col("_t"), width))
 
     window = Window.partitionBy(*at)
     along = window.orderBy("frame")

@@ -80,8 +80,8 @@ def dataset_metrics(
         val = scores.select("dataset_id").distinct().withColumn(
             "threshold", F.lit(float(val_threshold))
         )
-    interval = bootstrap.eer_bootstrap(scores, n_boot, seed, ci)
-    point = detection.eer(scores, ["dataset_id"])
+    interval = materialize(bootstrap.eer_bootstrap(scores, n_boot, seed, ci), "interval")
+    point = materialize(detection.eer(scores, ["dataset_id"]), "point")
     summary = (
         profile.dataset_counts(scores)
         .join(point, "dataset_id", "left")
@@ -96,9 +96,11 @@ def dataset_metrics(
     )
     return {
         "summary": summary,
-        "operating_points": detection.operating_points(scores, val),
+        "operating_points": detection.operating_points(scores, val, point=point),
         "by_attack": detection.eer_by_group(scores, ["dataset_id"]),
-        "report": detection.eer_report(scores, interval if n_boot > 0 else None),
+        "report": detection.eer_report(
+            scores, interval if n_boot > 0 else None, point
+        ),
     }
 
 

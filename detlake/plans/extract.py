@@ -22,8 +22,10 @@ from detlake import fixed_values as fv, schema
 from detlake.functions import signal as S
 from detlake.operators.resume import latest_wins, run_stats, todo_by_key
 from detlake.registry import Registry
+from detlake.session import broadcast_if_small, materialize, small_arrow_batches
 
 EXTRACTORS = Registry("extractor")
+TODO_ROWS = 1_000_000  # keys that may be broadcast to a waveform scan
 
 
 class Extractor:
@@ -236,21 +238,27 @@ def extract_features(
     """
     spark = waves.sparkSession
     table = read_table(spark, root)
-    asked = waves if limit is None else waves.orderBy(*schema.KEY).limit(limit)
     done = done_keys(table, extractor.feature_id)
     attempt = (table.agg(F.max("attempt")).first()[0] or 0) + 1
-    skipped = asked.select(*schema.KEY).join(done, schema.KEY, "left_semi").withColumn(
-        "status", F.lit("done")
-    )
-    n_skipped = skipped.groupBy("dataset_id").agg(F.count("*").alias("n")).collect()
-    out = extract(todo_by_key(asked, done), extractor).select(
+    asked, n_skipped = waves, None
+    if limit is not None:
+        first = waves.select(*schema.KEY).orderBy(*schema.KEY).limit(limit)
+        asked = waves.join(broadcast_if_small(first), schema.KEY, "left_semi")
+    if attempt > 1:
+        skipped = asked.select(*schema.KEY).join(done, schema.KEY, "left_semi")
+        n_skipped = materialize(
+            skipped.groupBy("dataset_id").agg(F.count("*").alias("n")), "skipped"
+        )
+        asked = _without_done(asked, done)
+    out = extract(asked, extractor).select(
         "*",
         F.lit(attempt).cast("long").alias("attempt"),
         F.lit(limit is not None).alias("partial"),
         F.lit(extractor.feature_id).alias("feature_id"),
         F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"),
     )
-    write_features(out, root)
+    with small_arrow_batches(spark):
+        write_features(out, root)
     after = read_table(spark, root).filter(
         (F.col("feature_id") == extractor.feature_id) & (F.col("attempt") == attempt)
     )
@@ -258,7 +266,9 @@ def extract_features(
         *schema.KEY, "status"
     )
     counted = run_stats(outcome)
-    before = spark.createDataFrame(n_skipped, "dataset_id string, n long")
+    before = n_skipped
+    if before is None:
+        before = spark.createDataFrame([], "dataset_id string, n long")
     merged = counted.drop("ok").join(before, "dataset_id", "full").na.fill(0)
     return merged.select(
         "dataset_id",
@@ -268,6 +278,20 @@ def extract_features(
     )
 
 
+def _without_done(waves: DataFrame, done: DataFrame) -> DataFrame:
+    """Waveforms whose key is not done, moving signals only as a last resort.
+
+    The keys alone decide what is left. Whichever is short, what is left or what
+    is done, is broadcast to the signals; only when both are long are the signals
+    shuffled.
+    """
+    left = materialize(todo_by_key(waves.select(*schema.KEY), done), "todo")
+    short = broadcast_if_small(left, TODO_ROWS)
+    if short is not left:
+        return waves.join(short, schema.KEY, "left_semi")
+    return todo_by_key(waves, broadcast_if_small(done, TODO_ROWS))
+
+
 def write_features(frames: DataFrame, root: str) -> None:
     """Append to the table, partitioned by parameter set, dataset and status.
 

@@ -14,7 +14,7 @@ from detlake.functions import labels as L, paths as P
 from detlake.operators.manifest import coerce_schema
 from detlake.registry import Registry
 from detlake.sources import protocol as proto
-from detlake.sources.listing import scan_audio_listing
+from detlake.sources.listing import describe_listing, scan_audio_listing
 from detlake.sources.tables import scan_csv_index
 
 ADAPTERS = Registry("adapter")
@@ -128,6 +128,16 @@ def index_csv_driven(dataset_id: str, index: DataFrame) -> DataFrame:
     )
 
 
+def _listing(spark: SparkSession, audio: str | DataFrame) -> DataFrame:
+    """Listing of a folder, or of a ``path`` table such as a storage inventory.
+
+    The table form keeps very large file sets off the driver.
+    """
+    if isinstance(audio, str):
+        return scan_audio_listing(spark, audio)
+    return describe_listing(audio)
+
+
 class IndexProblem(ValueError):
     """A raw layout that cannot give a complete manifest."""
 
@@ -155,7 +165,7 @@ def _checked_rows(
 
 @ADAPTERS.register("protocol_5")
 def adapt_protocol_5(
-    spark: SparkSession, dataset_id: str, protocol_dir: str, audio_root: str
+    spark: SparkSession, dataset_id: str, protocol_dir: str, audio_root: str | DataFrame
 ) -> DataFrame:
     """One 5-field protocol file per split, audio in one folder per split."""
     lines = proto.read_protocol(spark, f"{protocol_dir}/*.txt")
@@ -164,7 +174,7 @@ def adapt_protocol_5(
     rows = rows.withColumn("split", _split_word(P.file_name(F.col("file")))).filter(
         F.col("split").isNotNull()
     )
-    listing = scan_audio_listing(spark, audio_root).withColumn(
+    listing = _listing(spark, audio_root).withColumn(
         "split", _split_word(P.path_part(F.col("rel"), 0))
     )
     _stop_if_any(
@@ -185,7 +195,7 @@ def _split_word(name) -> F.Column:
 
 def _adapt_keys(spark, dataset_id, keys_path, audio_root, fields) -> DataFrame:
     rows = _checked_rows(proto.read_protocol(spark, keys_path), fields, ["utt_id"])
-    listing = scan_audio_listing(spark, audio_root)
+    listing = _listing(spark, audio_root)
     _stop_if_any(
         unlabelled_audio(
             listing.withColumn("utt_id", F.col("stem")), rows, ["utt_id"]
@@ -196,31 +206,31 @@ def _adapt_keys(spark, dataset_id, keys_path, audio_root, fields) -> DataFrame:
 
 
 @ADAPTERS.register("keys_8")
-def adapt_keys_8(spark, dataset_id: str, keys_path: str, audio_root: str) -> DataFrame:
+def adapt_keys_8(spark, dataset_id: str, keys_path: str, audio_root: str | DataFrame) -> DataFrame:
     """One 8-field key list for a possibly partial download."""
     return _adapt_keys(spark, dataset_id, keys_path, audio_root, fv.KEYS_8_FIELDS)
 
 
 @ADAPTERS.register("keys_13")
-def adapt_keys_13(spark, dataset_id: str, keys_path: str, audio_root: str) -> DataFrame:
+def adapt_keys_13(spark, dataset_id: str, keys_path: str, audio_root: str | DataFrame) -> DataFrame:
     """One 13-field key list for a possibly partial download."""
     return _adapt_keys(spark, dataset_id, keys_path, audio_root, fv.KEYS_13_FIELDS)
 
 
 @ADAPTERS.register("directories")
-def adapt_directories(spark, dataset_id: str, audio_root: str) -> DataFrame:
+def adapt_directories(spark, dataset_id: str, audio_root: str | DataFrame) -> DataFrame:
     """Label and split from directory names only."""
-    out = index_directory_driven(dataset_id, scan_audio_listing(spark, audio_root))
+    out = index_directory_driven(dataset_id, _listing(spark, audio_root))
     if not out.limit(1).collect():
         raise IndexProblem(f"no labelled audio below {audio_root}")
     return out
 
 
 @ADAPTERS.register("csv_index")
-def adapt_csv_index(spark, dataset_id: str, index_path: str, audio_root: str) -> DataFrame:
+def adapt_csv_index(spark, dataset_id: str, index_path: str, audio_root: str | DataFrame) -> DataFrame:
     """A header CSV that names label, split and file of each row."""
     index = scan_csv_index(spark, index_path)
-    listing = scan_audio_listing(spark, audio_root).select(F.col("rel").alias("path"))
+    listing = _listing(spark, audio_root).select(F.col("rel").alias("path"))
     _stop_if_any(
         missing_audio(index, listing, ["path"]).select("path"), "index rows without audio"
     )
