@@ -8,7 +8,6 @@ from detlake.catalog.base import query, rounded
 from detlake.catalog.views import view
 from detlake.functions import numeric as N
 from detlake.operators import bootstrap, detection as D
-from detlake.session import materialize
 
 
 def sql_curve(src: str, g: str, keep: str = "rn=1 or rn=cnt or lp<>p or ln<>n") -> str:
@@ -111,8 +110,7 @@ def q_negatives_per_attack(spark, sf_dir):
     from detlake.operators.prefix import running_totals
 
     s = _scores(spark, sf_dir)
-    nodes = D.score_nodes(s, ["dataset_id"])
-    cum = running_totals(materialize(nodes, "negatives"), ["dataset_id"], "score", ["n"], descending=True)
+    cum = running_totals(D.store_nodes(s, ["dataset_id"]), ["dataset_id"], ["n"], descending=True)
     size = s.filter("label = 0").groupBy("dataset_id").agg(F.count("*").alias("n_bonafide"))
     kinds = (
         s.filter("label = 1 and attack_type is not null")
@@ -278,5 +276,5 @@ from (select dataset_id, score, cast(sum(label) as bigint) p, cast(count(*)-sum(
 def q_cumulative_by_range(spark, sf_dir):
     from detlake.operators.prefix import running_totals
 
-    nodes = materialize(D.score_nodes(view(spark, sf_dir, "v_line_scores"), ["dataset_id"]), "nodes")
-    return running_totals(nodes, ["dataset_id"], "score", ["p", "n"], descending=True)
+    nodes = D.store_nodes(view(spark, sf_dir, "v_line_scores"), ["dataset_id"])
+    return running_totals(nodes, ["dataset_id"], ["p", "n"], descending=True)

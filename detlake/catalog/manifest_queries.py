@@ -130,10 +130,10 @@ def q_first_k_per_class(spark, sf_dir):
  (select *, row_number() over (partition by o_custkey order by o_orderkey) rn from orders)""")
 def q_split_by_rank_quota(spark, sf_dir):
     """Quota split of every order by its place among the orders of its customer."""
-    from detlake.operators.prefix import ordinal_within
+    from detlake.operators.prefix import ordinal_within, store
 
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    ranked = ordinal_within(o, ["o_custkey"], "o_orderkey", [], "place")
+    ranked = ordinal_within(store(o, "o_orderkey", "orders"), ["o_custkey"], [], "place")
     return ranked.select("o_custkey", "o_orderkey", M.split_by_rank_quota(F.col("place") + 1).alias("split"))
 
 

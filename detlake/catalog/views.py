@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.operators.prefix import ordinal_within
+from detlake.operators.prefix import ordinal_within, store
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -160,7 +160,9 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"),
         "event_id", "value",
     )
-    numbered = ordinal_within(events, ["dataset_id", "utt_id"], "t", ["event_id"], "frame")
+    numbered = ordinal_within(
+        store(events, "t", "events"), ["dataset_id", "utt_id"], ["event_id"], "frame"
+    )
     return numbered.select(
         "dataset_id", "utt_id", F.col("frame").cast("int").alias("frame"), "value"
     )

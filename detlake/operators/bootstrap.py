@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from detlake import fixed_values as fv
 from detlake.functions.numeric import md5_int
 from detlake.operators import prefix
-from detlake.operators.detection import eer_of_nodes, score_nodes
+from detlake.operators.detection import eer_of_nodes, store_nodes
 from detlake.session import broadcast_if_small, materialize
 
 CHUNK = 50  # replicates drawn together
@@ -61,8 +61,7 @@ def eer_replicates(
     group: str = "dataset_id",
 ) -> DataFrame:
     """One EER per group and replicate: ``<group>, rep, eer``."""
-    nodes = materialize(score_nodes(scores, [group]), "boot_nodes")
-    ranged = prefix.with_ranges(nodes, [group], "score", descending=True)
+    ranged = prefix.with_ranges(store_nodes(scores, [group]), [group], descending=True)
 
     # Ranges of a group as arrays. Their number is bounded by the range grid.
     bins = prefix.range_totals(ranged, [group], ["p", "n"])
@@ -177,13 +176,13 @@ def eer_replicates_hashed(
 
     Draws find their row by rank through an equi-join, spread over all ranks.
     """
-    rows = materialize(
+    rows = prefix.store(
         scores.filter(F.col("score").isNotNull()).select(
             group, "label", F.col("score").cast("double").alias("score")
         ),
-        "boot_rows",
+        "score", "boot_rows",
     )
-    ranked = prefix.ordinal_within(rows, [group, "label"], "score", [], "i")
+    ranked = prefix.ordinal_within(rows, [group, "label"], [], "i")
     ranked = materialize(ranked, "boot_ranked")
     sizes = ranked.groupBy(group, "label").agg(F.count("*").alias("size"))
     draws = (
@@ -209,7 +208,7 @@ def eer_replicates_hashed(
             F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("n"),
         )
     )
-    nodes = materialize(weighted, "boot_weighted")
+    nodes = prefix.store(weighted, "score", "boot_weighted")
     return eer_of_nodes(nodes, [group, "rep"]).select(group, "rep", "eer")
 
 

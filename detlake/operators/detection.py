@@ -41,11 +41,17 @@ def roc_nodes(scores: DataFrame, group: list[str], drop_collinear: bool = True)
     interpolated thresholds depend on which nodes stay. Groups with one class
     are left out. The point before the first node is not a row here.
     """
-    return _nodes_on_curve(materialize(score_nodes(scores, group), "nodes"), group, drop_collinear)
+    curve = _curve(store_nodes(scores, group), group, drop_collinear)
+    return curve.filter((F.col("all_p") > 0) & (F.col("all_n") > 0))
 
 
-def _nodes_on_curve(nodes: DataFrame, group: list[str], drop_collinear: bool) -> DataFrame:
-    ranged = prefix.with_ranges(nodes, group, "score", descending=True)
+def store_nodes(scores: DataFrame, group: list[str]) -> prefix.Stored:
+    return prefix.store(score_nodes(scores, group), "score", "nodes")
+
+
+def _curve(nodes: prefix.Stored, group: list[str], drop_collinear: bool) -> DataFrame:
+    """The nodes of :func:`roc_nodes`, for groups with one class too."""
+    ranged = prefix.with_ranges(nodes, group, descending=True)
     top = F.max_by(F.struct("p", "n"), "score").alias("top")
     per_range = prefix.range_totals(ranged, group, ["p", "n"], [top])
 
@@ -60,7 +66,7 @@ def _nodes_on_curve(nodes: DataFrame, group: list[str], drop_collinear: bool) ->
         F.sum("n").over(whole).alias("all_n"),
         F.lead("top").over(by_range).alias("after"),
         (F.row_number().over(by_range) == 1).alias("first_range"),
-    ).filter((F.col("all_p") > 0) & (F.col("all_n") > 0))
+    )
 
     local = Window.partitionBy(*group, *prefix.RANGE).orderBy(F.col("score").desc())
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
@@ -131,13 +137,12 @@ def eer(scores: DataFrame, group: list[str]) -> DataFrame:
     nodes. A group with one class has NULL for both. A crossing before the first
     node has threshold +inf, or NULL when all scores are equal.
     """
-    stored = materialize(score_nodes(scores, group), "nodes")
-    return eer_of_nodes(stored, group)
+    return eer_of_nodes(store_nodes(scores, group), group)
 
 
-def eer_of_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
+def eer_of_nodes(nodes: prefix.Stored, group: list[str]) -> DataFrame:
     """:func:`eer` of a stored :func:`score_nodes` table."""
-    curve = _nodes_on_curve(nodes, group, drop_collinear=True)
+    curve = _curve(nodes, group, drop_collinear=True)
     above = _side(F.col("tp"), F.col("fp")) >= 0
     hi = lambda c: F.when(above, F.col(c))
     lo = lambda c: F.when(~above, F.col(c))
@@ -152,14 +157,16 @@ def eer_of_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
     )
     k_a = _balance(F.col("a_tp"), F.col("a_fp")).cast("double")
     k_b = _balance(F.col("b_tp"), F.col("b_fp")).cast("double")
-    found = found.withColumn("t", k_a / (k_a - k_b))
+    found = found.withColumn("t", k_a / F.nullif(k_a - k_b, F.lit(0.0)))
     t, c = F.col("t"), F.col
     rate = (c("a_fp") + t * (c("b_fp") - c("a_fp"))) / c("all_n")
     threshold = F.when(
         c("a_score").isNotNull(), c("a_score") + t * (c("b_score") - c("a_score"))
     ).when(c("top") > c("bottom"), F.lit(INF))
-    exact = found.select(*group, rate.alias("eer"), threshold.alias("threshold"))
-    return nodes.select(*group).distinct().join(exact, group, "left")
+    both = (c("all_p") > 0) & (c("all_n") > 0)
+    return found.select(
+        *group, F.when(both, rate).alias("eer"), F.when(both, threshold).alias("threshold")
+    )
 
 
 def eer_by_group(
@@ -190,9 +197,8 @@ def eer_by_group(
         bona.withColumn("p", F.lit(0).cast("long")), allowMissingColumns=True
     )
     # Bonafide rows at each score, then at or above it, for every spoof node.
-    ranged = prefix.with_ranges(
-        materialize(merged, "kind_nodes"), within, "score", descending=True
-    )
+    stored = prefix.store(merged, "score", "kind_nodes")
+    ranged = prefix.with_ranges(stored, within, descending=True)
     offsets = prefix.range_totals(ranged, within, ["n"]).select(
         *within, *prefix.RANGE,
         F.coalesce(F.sum("n").over(prefix.before_range(within)), F.lit(0)).alias("off_n"),

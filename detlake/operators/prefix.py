@@ -6,22 +6,54 @@ offsets, and each range then runs its own window. The ranges come from the
 values alone (minimum, maximum and counts), so a retried task finds the same
 range for a row as the first attempt did.
 
-The functions read their table several times and take one that is cheap to read
-again: a stored table, or the result of :func:`detlake.session.materialize`.
+The functions take a :class:`Stored` table: written once, with its row count and
+value bounds noted during the write.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from detlake.session import shared_path
 
 COARSE = 1024       # equal-width ranges over the whole table
 FINE = 256          # equal-width parts of a crowded range, between its own ends
-CROWDED = 50_000    # rows a range may hold before it is cut further
+CROWDED = 250_000   # rows a range may hold before it is cut further
 MAX_CROWDED = 2048  # ranges above rows / MAX_CROWDED rows: never more than this many
 
 RANGE = ["_coarse", "_fine"]
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A table in the shared folder and the bounds of one of its columns."""
+
+    table: DataFrame
+    value: str
+    rows: int
+    lo: float
+    hi: float
+
+
+def store(df: DataFrame, value: str, name: str) -> Stored:
+    """Write ``df`` and note its size and the bounds of ``value`` in the same pass.
+
+    A repeated task can only make the row count too large, which moves the point
+    where ranges are cut and never a result.
+    """
+    seen = Observation()
+    path = shared_path(df.sparkSession, name)
+    df.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("lo"),
+        F.max(value).cast("double").alias("hi"),
+    ).write.parquet(path)
+    stats = seen.get
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(table, value, stats["n"], stats["lo"], stats["hi"])
+
+
 def _slot(value: Column, lo: Column, hi: Column, slots: int, descending: bool) -> Column:
     """Equal-width slot of ``value``; every step is monotone, so order is kept."""
     distance = (hi - value) if descending else (value - lo)
@@ -29,28 +61,24 @@ def _slot(value: Column, lo: Column, hi: Column, slots: int, descending: bool) -
     return F.least(F.coalesce(at, F.lit(0)), F.lit(slots - 1)).cast("int")
 
 
-def with_ranges(
-    table: DataFrame, keys: list[str], value: str, descending: bool = False
-) -> DataFrame:
-    """Add the range columns ``_coarse, _fine``; their order follows ``value``.
+def with_ranges(stored: Stored, keys: list[str], descending: bool = False) -> DataFrame:
+    """Add the range columns ``_coarse, _fine``; their order follows the value.
 
-    The driver sees three numbers and the crowded ranges. A range is crowded
-    above ``rows / MAX_CROWDED`` rows, so there are at most ``MAX_CROWDED`` of
-    them and broadcasting them is safe at any size.
+    The driver sees the crowded ranges. A range is crowded above
+    ``rows / MAX_CROWDED`` rows, so there are at most ``MAX_CROWDED`` of them and
+    broadcasting them is safe at any size.
     """
-    whole = table.agg(
-        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    ).first()
+    table, value = stored.table, stored.value
     zero = F.lit(0)
-    if whole["n"] <= CROWDED:
+    if stored.rows <= CROWDED:
         return table.withColumns({"_coarse": zero, "_fine": zero})
     v = F.col(value)
-    lo, hi = F.lit(float(whole["lo"])), F.lit(float(whole["hi"]))
+    lo, hi = F.lit(stored.lo), F.lit(stored.hi)
     coarse = table.withColumn("_coarse", _slot(v, lo, hi, COARSE, descending))
     crowded = (
         coarse.groupBy(*keys, "_coarse")
         .agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .filter(F.col("_n") > max(CROWDED, whole["n"] / MAX_CROWDED))
+        .filter(F.col("_n") > max(CROWDED, stored.rows / MAX_CROWDED))
         .drop("_n")
     )
     rows = crowded.collect()
@@ -88,17 +116,13 @@ def before_range(keys: list[str]):
 
 
 def running_totals(
-    table: DataFrame,
-    keys: list[str],
-    value: str,
-    sums: list[str],
-    descending: bool = False,
+    stored: Stored, keys: list[str], sums: list[str], descending: bool = False
 ) -> DataFrame:
-    """Add ``cum_<c>`` for each of ``sums``: the total over rows up to ``value``.
+    """Add ``cum_<c>`` for each of ``sums``: the total over rows up to the value.
 
     Rows with an equal value all count, as in a RANGE frame.
     """
-    ranged = with_ranges(table, keys, value, descending)
+    ranged = with_ranges(stored, keys, descending)
     offsets = range_totals(ranged, keys, sums).select(
         *keys, *RANGE,
         *[
@@ -106,7 +130,7 @@ def running_totals(
             for c in sums
         ],
     )
-    order = F.col(value).desc() if descending else F.col(value)
+    order = F.col(stored.value).desc() if descending else F.col(stored.value)
     local = Window.partitionBy(*keys, *RANGE).orderBy(order).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -117,14 +141,14 @@ def running_totals(
 
 
 def ordinal_within(
-    table: DataFrame, keys: list[str], value: str, ties: list[str], name: str
+    stored: Stored, keys: list[str], ties: list[str], name: str
 ) -> DataFrame:
-    """Zero-based position of each row in its group, by ``value`` then ``ties``."""
-    ranged = with_ranges(table, keys, value).withColumn("_one", F.lit(1).cast("long"))
+    """Zero-based position of each row in its group, by the value, then ``ties``."""
+    ranged = with_ranges(stored, keys).withColumn("_one", F.lit(1).cast("long"))
     offsets = range_totals(ranged, keys, ["_one"]).select(
         *keys, *RANGE, F.coalesce(F.sum("_one").over(before_range(keys)), F.lit(0)).alias("_off")
     )
-    local = Window.partitionBy(*keys, *RANGE).orderBy(value, *ties)
+    local = Window.partitionBy(*keys, *RANGE).orderBy(stored.value, *ties)
     return (
         join_offsets(ranged, offsets, keys)
         .withColumn(name, F.col("_off") + F.row_number().over(local) - 1)

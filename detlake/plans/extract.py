@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass
 from typing import ClassVar
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from detlake import fixed_values as fv, schema
@@ -25,6 +25,7 @@ from detlake.registry import Registry
 from detlake.session import broadcast_if_small, materialize, small_arrow_batches
 
 EXTRACTORS = Registry("extractor")
+BATCH_FRAMES = 4096  # frames sent back from a worker at a time
 TODO_ROWS = 1_000_000  # keys that may be broadcast to a waveform scan
 
 
@@ -140,35 +141,68 @@ def extract(waves: DataFrame, extractor: Extractor, double: bool = False) -> Dat
     ``waves`` has ``dataset_id, utt_id, sr, samples`` and may carry an ``error``
     from decoding, which is passed on. One utterance is in memory at a time.
     """
-    names = frames_schema(double).names
+    number = pa.float64() if double else pa.float32()
     kind = np.float64 if double else np.float32
     target = getattr(extractor, "target_sr", None)
+    out_schema = pa.schema([
+        ("dataset_id", pa.string()), ("utt_id", pa.string()), ("frame", pa.int32()),
+        ("n_frames", pa.int32()), ("coeffs", pa.list_(number)), ("error", pa.string()),
+    ])
+
+    def matrix(sr, samples, error) -> np.ndarray:
+        if error is not None:
+            raise RuntimeError(error)
+        if target is not None and sr != target:
+            raise ValueError(f"sample rate {sr}, expected {target}")
+        return np.ascontiguousarray(extractor.checked(samples), kind)
+
+    def frame_rows(ds, utt, m: np.ndarray) -> pa.RecordBatch:
+        t, c = m.shape
+        ends = pa.array(np.arange(0, t * c + 1, c, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([
+            pa.repeat(pa.scalar(ds, pa.string()), t), pa.repeat(pa.scalar(utt, pa.string()), t),
+            pa.array(np.arange(t, dtype=np.int32)), pa.array(np.full(t, t, np.int32)),
+            pa.ListArray.from_arrays(ends, pa.array(m.reshape(-1), number)),
+            pa.nulls(t, pa.string()),
+        ], schema=out_schema)
+
+    def failed_row(ds, utt, text: str) -> pa.RecordBatch:
+        values = [[ds], [utt], [None], [None], [None], [text]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, f.type) for v, f in zip(values, out_schema)], schema=out_schema
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ds, utt, sr, samples, error in pdf.itertuples(index=False, name=None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ready, rows = [], 0
+            for i in range(batch.num_rows):
+                ds, utt, sr, _, error = (
+                    batch.column(j)[i].as_py() if j != 3 else None for j in range(5)
+                )
+                signal = batch.column(3)[i]
                 try:
-                    if error is not None:
-                        raise RuntimeError(error)
-                    if target is not None and sr != target:
-                        raise ValueError(f"sample rate {sr}, expected {target}")
-                    m = extractor.checked(samples).astype(kind)
-                    yield pd.DataFrame({
-                        "dataset_id": ds, "utt_id": utt,
-                        "frame": np.arange(len(m), dtype=np.int32), "n_frames": len(m),
-                        "coeffs": list(m), "error": None,
-                    })
+                    samples = signal.values.to_numpy(zero_copy_only=False) if signal.is_valid else None
+                    ready.append(frame_rows(ds, utt, matrix(sr, samples, error)))
                 except Exception as e:  # one bad utterance is one failed row
-                    text = error or f"{type(e).__name__}: {e}"
-                    yield pd.DataFrame([(ds, utt, None, None, None, text)], columns=names)
+                    ready.append(failed_row(ds, utt, error or f"{type(e).__name__}: {e}"))
+                rows += ready[-1].num_rows
+                if rows >= BATCH_FRAMES:
+                    yield _joined(ready)
+                    ready, rows = [], 0
+            if ready:
+                yield _joined(ready)
 
     if "error" not in waves.columns:
         waves = waves.withColumn("error", F.lit(None).cast("string"))
-    return waves.select(*schema.KEY, "sr", "samples", "error").mapInPandas(
+    return waves.select(*schema.KEY, "sr", "samples", "error").mapInArrow(
         run, frames_schema(double)
     )
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def extracted(frames: DataFrame) -> DataFrame:
     """The frames of the utterances that worked."""
     return frames.filter(F.col("error").isNull())

@@ -97,7 +97,8 @@ def test_running_totals(spark, monkeypatch):
     rows = [("ab"[i % 3 == 0], float(v), int(i)) for i, v in enumerate(rng.integers(0, 30, 200))]
     df = spark.createDataFrame(rows, "g string, v double, w long")
     for down in (False, True):
-        for r in prefix.running_totals(df, ["g"], "v", ["w"], descending=down).collect():
+        stored = prefix.store(df, "v", "t")
+        for r in prefix.running_totals(stored, ["g"], ["w"], descending=down).collect():
             want = sum(w for g, v, w in rows if g == r["g"] and (v >= r["v"] if down else v <= r["v"]))
             assert r["cum_w"] == want
 
@@ -106,7 +107,7 @@ def test_ordinal_within(spark, monkeypatch):
     monkeypatch.setattr(prefix, "CROWDED", 4)
     rows = [("k", float(i % 17), i) for i in range(100)]
     df = spark.createDataFrame(rows, "g string, v double, id long")
-    got = {r["id"]: r["pos"] for r in prefix.ordinal_within(df, ["g"], "v", ["id"], "pos").collect()}
+    got = {r["id"]: r["pos"] for r in prefix.ordinal_within(prefix.store(df, "v", "t"), ["g"], ["id"], "pos").collect()}
     order = sorted(rows, key=lambda r: (r[1], r[2]))
     assert got == {r[2]: i for i, r in enumerate(order)}
 
@@ -134,7 +135,7 @@ def test_by_group_matches_separate_sets(spark, monkeypatch):
     rows += [("z", "A", 1.0, 1), ("w", None, 1.0, 0)]
     rows += [("perfect", "A", 2.0, 1), ("perfect", None, 1.0, 0)]
     df = spark.createDataFrame(rows, "dataset_id string, attack_type string, score double, label long")
-    for crowded in (50_000, 6):
+    for crowded in (250_000, 6):
         monkeypatch.setattr(prefix, "CROWDED", crowded)
         got = {(r["dataset_id"], r["attack_type"]): r for r in D.eer_by_group(df, ["dataset_id"]).collect()}
         assert set(got) == {(d, k) for d, k, _, y in rows if y and k}
@@ -167,7 +168,7 @@ def test_bootstrap_follows_the_resampling_law(spark, monkeypatch):
     for _ in range(300):
         pos, neg = rng.choice(s[y == 1], (y == 1).sum()), rng.choice(s[y == 0], (y == 0).sum())
         direct.append(brute_eer(np.concatenate([pos, neg]), np.r_[np.ones(len(pos)), np.zeros(len(neg))]))
-    for crowded in (50_000, 8):
+    for crowded in (250_000, 8):
         monkeypatch.setattr(prefix, "CROWDED", crowded)
         got = [r["eer"] for r in bootstrap.eer_replicates(df, 300).collect()]
         assert len(got) == 300
