@@ -52,8 +52,8 @@ def store_nodes(scores: DataFrame, group: list[str]) -> prefix.Stored:
 def _curve(nodes: prefix.Stored, group: list[str], drop_collinear: bool) -> DataFrame:
     """The nodes of :func:`roc_nodes`, for groups with one class too."""
     ranged = prefix.with_ranges(nodes, group, descending=True)
-    top = F.max_by(F.struct("p", "n"), "score").alias("top")
-    per_range = prefix.range_totals(ranged, group, ["p", "n"], [top])
+    top = [F.max_by(c, "score").alias(f"top_{c}") for c in ("p", "n")]
+    per_range = prefix.range_totals(ranged, group, ["p", "n"], top)
 
     by_range = Window.partitionBy(*group).orderBy(*prefix.RANGE)
     before = prefix.before_range(group)
@@ -64,7 +64,8 @@ def _curve(nodes: prefix.Stored, group: list[str], drop_collinear: bool) -> Data
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off_n"),
         F.sum("p").over(whole).alias("all_p"),
         F.sum("n").over(whole).alias("all_n"),
-        F.lead("top").over(by_range).alias("after"),
+        F.lead("top_p").over(by_range).alias("after_p"),
+        F.lead("top_n").over(by_range).alias("after_n"),
         (F.row_number().over(by_range) == 1).alias("first_range"),
     )
 
@@ -74,13 +75,14 @@ def _curve(nodes: prefix.Stored, group: list[str], drop_collinear: bool) -> Data
         *group, "score", "p", "n", "all_p", "all_n",
         (F.col("off_p") + F.sum("p").over(upto)).alias("tp"),
         (F.col("off_n") + F.sum("n").over(upto)).alias("fp"),
-        F.coalesce(F.lead(F.struct("p", "n")).over(local), F.col("after")).alias("next"),
+        F.coalesce(F.lead("p").over(local), F.col("after_p")).alias("next_p"),
+        F.coalesce(F.lead("n").over(local), F.col("after_n")).alias("next_n"),
         (F.col("first_range") & (F.row_number().over(local) == 1)).alias("first"),
     )
     if drop_collinear:
-        turns = (F.col("next.p") != F.col("p")) | (F.col("next.n") != F.col("n"))
-        out = out.filter(F.col("first") | F.col("next").isNull() | turns)
-    return out.drop("next")
+        turns = (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
+        out = out.filter(F.col("first") | F.col("next_p").isNull() | turns)
+    return out.drop("next_p", "next_n")
 
 
 def roc_points(scores: DataFrame, group: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from detlake import fixed_values as fv, schema
 from detlake.functions.numeric import is_finite
+from detlake.session import materialize
 
 EXAMPLES = 3
 
@@ -169,7 +170,9 @@ def _summary(problems: DataFrame) -> DataFrame:
 def validation_report(df: DataFrame, dataset_id: str | None = None) -> DataFrame:
     """Everything wrong with a manifest: ``check, item, n_bad, examples``.
 
-    Missing columns come alone, because nothing else can be checked then.
+    Missing columns come alone, because nothing else can be checked then. The
+    problems are stored first, so that the manifest is read once per kind of
+    check and not again for the examples.
     """
     if any(c not in df.columns for c in schema.REQUIRED_COLUMNS):
         return missing_columns(df).select(
@@ -185,7 +188,7 @@ def validation_report(df: DataFrame, dataset_id: str | None = None) -> DataFrame
         F.concat_ws("/", *schema.KEY).alias("example"),
         F.col("n_rows").alias("n"),
     )
-    return _summary(rows.unionByName(repeated))
+    return _summary(materialize(rows.unionByName(repeated), "problems"))
 
 
 def assert_valid(df: DataFrame, dataset_id: str | None = None) -> None:
