@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from detlake.operators.prefix import ordinal_within, store
+from detlake.session import materialize
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -163,8 +164,11 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = ordinal_within(
         store(events, "t", "events"), ["dataset_id", "utt_id"], ["event_id"], "frame"
     )
-    return numbered.select(
-        "dataset_id", "utt_id", F.col("frame").cast("int").alias("frame"), "value"
+    return materialize(
+        numbered.select(
+            "dataset_id", "utt_id", F.col("frame").cast("int").alias("frame"), "value"
+        ),
+        "frames",
     )
 
 

@@ -7,16 +7,16 @@ values alone (minimum, maximum and counts), so a retried task finds the same
 range for a row as the first attempt did.
 
 The functions take a :class:`Stored` table: written once, with its row count and
-value bounds noted during the write.
+value bounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from detlake.session import shared_path
+from detlake.session import materialize
 
 COARSE = 1024       # equal-width ranges over the whole table
 FINE = 256          # equal-width parts of a crowded range, between its own ends
@@ -38,19 +38,12 @@ class Stored:
 
 
 def store(df: DataFrame, value: str, name: str) -> Stored:
-    """Write ``df`` and note its size and the bounds of ``value`` in the same pass.
-
-    A repeated task can only make the row count too large, which moves the point
-    where ranges are cut and never a result.
-    """
-    seen = Observation()
-    path = shared_path(df.sparkSession, name)
-    df.observe(
-        seen, F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("lo"),
+    """Write ``df`` and read the bounds of one column, a scan of that column only."""
+    table = materialize(df, name)
+    stats = table.agg(
+        F.count("*").alias("n"), F.min(value).cast("double").alias("lo"),
         F.max(value).cast("double").alias("hi"),
-    ).write.parquet(path)
-    stats = seen.get
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    ).first()
     return Stored(table, value, stats["n"], stats["lo"], stats["hi"])
 
 
