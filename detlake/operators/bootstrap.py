@@ -29,7 +29,8 @@ from detlake.operators import prefix
 from detlake.operators.detection import eer_of_nodes, store_nodes
 from detlake.session import broadcast_if_small, materialize
 
-CHUNK = 50  # replicates drawn together
+CHUNK = 50      # replicates drawn together
+PIECE = 10_000  # ranks of one score written out together
 
 
 def _generator(seed: int, *parts) -> np.random.Generator:
@@ -168,6 +169,34 @@ def eer_bootstrap(
     return percentile_interval(eer_replicates(scores, n_boot, seed, group), ci, group)
 
 
+def ranked_scores(scores: DataFrame, group: str) -> DataFrame:
+    """One row per score row: ``<group>, label, i, score`` with ``i`` the rank in its class.
+
+    Ranks come from the running count over distinct scores. A score that a third
+    of the rows share is one node there; its ranks are written out in pieces that
+    are spread first.
+    """
+    counts = (
+        scores.filter(F.col("score").isNotNull())
+        .groupBy(group, "label", F.col("score").cast("double").alias("score"))
+        .agg(F.count("*").alias("w"))
+    )
+    cum = prefix.running_totals(
+        prefix.store(counts, "score", "boot_counts"), [group, "label"], ["w"]
+    )
+    start, end = F.col("cum_w") - F.col("w"), F.col("cum_w") - 1
+    piece = lambda i: F.floor(i / PIECE).cast("long")
+    pieces = cum.select(
+        group, "label", "score", start.alias("start"), end.alias("end"),
+        F.explode(F.sequence(piece(start), piece(end))).alias("piece"),
+    ).repartition(group, "label", "piece")
+    ranks = F.sequence(
+        F.greatest(F.col("start"), F.col("piece") * PIECE),
+        F.least(F.col("end"), (F.col("piece") + 1) * PIECE - 1),
+    )
+    return pieces.select(group, "label", F.explode(ranks).alias("i"), "score")
+
+
 def eer_replicates_hashed(
     scores: DataFrame, n_boot: int, seed: int = fv.DEFAULT_SEED, group: str = "dataset_id"
 ) -> DataFrame:
@@ -176,14 +205,7 @@ def eer_replicates_hashed(
 
     Draws find their row by rank through an equi-join, spread over all ranks.
     """
-    rows = prefix.store(
-        scores.filter(F.col("score").isNotNull()).select(
-            group, "label", F.col("score").cast("double").alias("score")
-        ),
-        "score", "boot_rows",
-    )
-    ranked = prefix.ordinal_within(rows, [group, "label"], [], "i")
-    ranked = materialize(ranked, "boot_ranked")
+    ranked = materialize(ranked_scores(scores, group), "boot_ranked")
     sizes = ranked.groupBy(group, "label").agg(F.count("*").alias("size"))
     draws = (
         ranked.select(group, "label", "i")

@@ -20,6 +20,7 @@ from detlake.session import materialize
 
 COARSE = 1024       # equal-width ranges over the whole table
 FINE = 256          # equal-width parts of a crowded range, between its own ends
+LEVELS = 7          # times a range may be cut again; enough to part any two doubles
 CROWDED = 250_000   # rows a range may hold before it is cut further
 MAX_CROWDED = 2048  # ranges above rows / MAX_CROWDED rows: never more than this many
 
@@ -57,32 +58,39 @@ def _slot(value: Column, lo: Column, hi: Column, slots: int, descending: bool) -
 def with_ranges(stored: Stored, keys: list[str], descending: bool = False) -> DataFrame:
     """Add the range columns ``_coarse, _fine``; their order follows the value.
 
-    The driver sees the crowded ranges. A range is crowded above
-    ``rows / MAX_CROWDED`` rows, so there are at most ``MAX_CROWDED`` of them and
-    broadcasting them is safe at any size.
+    Crowded ranges are cut again between their own ends until none is left, so
+    outliers cannot press everything else into one range. The driver sees the
+    crowded ranges only: a range is crowded above ``rows / MAX_CROWDED`` rows, so
+    there are at most ``MAX_CROWDED`` of them and broadcasting them is safe at
+    any size. Rows that share one value stay in one range; tables with heavy ties
+    are reduced to one row per value first.
     """
     table, value = stored.table, stored.value
-    zero = F.lit(0)
     if stored.rows <= CROWDED:
-        return table.withColumns({"_coarse": zero, "_fine": zero})
+        return table.withColumns({"_coarse": F.lit(0), "_fine": F.lit(0).cast("long")})
     v = F.col(value)
-    lo, hi = F.lit(stored.lo), F.lit(stored.hi)
-    coarse = table.withColumn("_coarse", _slot(v, lo, hi, COARSE, descending))
-    crowded = (
-        coarse.groupBy(*keys, "_coarse")
-        .agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .filter(F.col("_n") > max(CROWDED, stored.rows / MAX_CROWDED))
-        .drop("_n")
-    )
-    rows = crowded.collect()
-    if not rows:
-        return coarse.withColumn("_fine", zero)
-    found = table.sparkSession.createDataFrame(rows, crowded.schema)
-    return (
-        coarse.join(F.broadcast(found), [*keys, "_coarse"], "left")
-        .withColumn("_fine", _slot(v, F.col("_lo"), F.col("_hi"), FINE, descending))
-        .drop("_lo", "_hi")
-    )
+    slot = _slot(v, F.lit(stored.lo), F.lit(stored.hi), COARSE, descending)
+    out = table.withColumns({"_coarse": slot, "_fine": F.lit(0).cast("long")})
+    at = [*keys, *RANGE]
+    for _ in range(LEVELS):
+        crowded = (
+            out.groupBy(*at)
+            .agg(F.count("*").alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+            .filter(F.col("_n") > max(CROWDED, stored.rows / MAX_CROWDED))
+            .filter(F.col("_lo") < F.col("_hi"))
+            .drop("_n")
+        )
+        rows = crowded.collect()
+        if not rows:
+            break
+        found = table.sparkSession.createDataFrame(rows, crowded.schema)
+        part = _slot(v, F.col("_lo"), F.col("_hi"), FINE, descending)
+        out = (
+            out.join(F.broadcast(found), at, "left")
+            .withColumn("_fine", F.col("_fine") * FINE + part)
+            .drop("_lo", "_hi")
+        )
+    return out
 
 
 def range_totals(
@@ -136,7 +144,11 @@ def running_totals(
 def ordinal_within(
     stored: Stored, keys: list[str], ties: list[str], name: str
 ) -> DataFrame:
-    """Zero-based position of each row in its group, by the value, then ``ties``."""
+    """Zero-based position of each row in its group, by the value, then ``ties``.
+
+    For values that seldom repeat, such as times and ids: rows with one value are
+    ordered in one task.
+    """
     ranged = with_ranges(stored, keys).withColumn("_one", F.lit(1).cast("long"))
     offsets = range_totals(ranged, keys, ["_one"]).select(
         *keys, *RANGE, F.coalesce(F.sum("_one").over(before_range(keys)), F.lit(0)).alias("_off")

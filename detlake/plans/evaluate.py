@@ -63,7 +63,7 @@ def score_resumable(
     """Score the keys this run lacks, store them and return all scores of the run."""
     spark = requested.sparkSession
     todo = requested
-    if tables._exists(spark, root):
+    if tables.path_exists(spark, root):
         done = tables.read_score_shards(spark, root, run)
         todo = resume.todo_by_key(requested, done)
     tables.write_score_shards(score(todo), root, run, shard_rows)

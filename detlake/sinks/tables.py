@@ -32,7 +32,8 @@ def read_table_atomic(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/data/version={version}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark can resolve ``path``; nothing is read."""
     try:
         spark.read.format("binaryFile").load(path)
         return True
@@ -48,7 +49,7 @@ def write_score_shards(
     """Append scores of one run as a new part; files hold ``shard_rows`` rows at most."""
     spark = scores.sparkSession
     part = 0
-    if _exists(spark, root):
+    if path_exists(spark, root):
         part = (read_score_shards(spark, root, run_id).agg(F.max("part")).first()[0] or 0) + 1
     (
         scores.select("dataset_id", "utt_id", F.col("score").cast("float").alias("score"))
@@ -83,7 +84,11 @@ def append_history(records: DataFrame, path: str) -> None:
 
 
 def truncate_history(spark: SparkSession, path: str, last_epoch: int) -> None:
-    """Drop records after ``last_epoch``, through a copy so no record can be lost."""
+    """Drop records after ``last_epoch``.
+
+    The records that stay are written to the shared folder first and that copy is
+    kept, so a stop during the overwrite loses nothing.
+    """
     from detlake.sources.tables import scan_history
 
     staged = shared_path(spark, "history")

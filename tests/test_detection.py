@@ -84,10 +84,20 @@ def test_outliers_do_not_break_ranges(spark, monkeypatch):
     monkeypatch.setattr(prefix, "CROWDED", 5)
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
-    s = np.concatenate([rng.normal(y, 1.0), [1e12, -1e12]])
-    y = np.concatenate([y, [1, 0]])
-    got = D.eer(score_table(spark, {"g": (s, y)}), ["dataset_id"]).first()
+    s = np.concatenate([rng.normal(y, 1.0) * 1e-9, [1e12, -1e12, 1e3]])
+    y = np.concatenate([y, [1, 0, 1]])
+    df = score_table(spark, {"g": (s, y)})
+    got = D.eer(df, ["dataset_id"]).first()
     assert got["eer"] == pytest.approx(brute_eer(s, y))
+    ranged = prefix.with_ranges(D.store_nodes(df, ["dataset_id"]), ["dataset_id"], True)
+    assert max(r["count"] for r in ranged.groupBy(*prefix.RANGE).count().collect()) <= 5
+
+
+def test_ranks_of_tied_scores(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "PIECE", 7)
+    s = [1.0] * 40 + [2.0] * 3 + [0.5] * 20
+    got = bootstrap.ranked_scores(score_table(spark, {"g": (s, [1] * len(s))}), "dataset_id")
+    assert {r["i"]: r["score"] for r in got.collect()} == dict(enumerate(sorted(s)))
 
 
 def test_running_totals(spark, monkeypatch):
