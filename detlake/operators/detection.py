@@ -138,13 +138,31 @@ def eer(scores: DataFrame, group: list[str]) -> DataFrame:
     The crossing of FNR and FPR is interpolated between the two neighbouring ROC
     nodes. A group with one class has NULL for both. A crossing before the first
     node has threshold +inf, or NULL when all scores are equal.
+
+    Counts per score range tell in which range the curves cross, so only that
+    range and its neighbours are looked at score by score; the other rows are
+    counted and never shuffled.
     """
-    return eer_of_nodes(store_nodes(scores, group), group)
+    label = F.col("label")
+    rows = prefix.store(
+        scores.filter(F.col("score").isNotNull() & label.isin(0, 1)).select(
+            *group, F.col("score").cast("double").alias("score"), "label"
+        ),
+        "score", "eer_rows",
+    )
+    if rows.rows <= prefix.CROWDED:
+        nodes = score_nodes(rows.table, group)
+        return eer_of_nodes(prefix.Stored(nodes, "score", rows.rows, rows.lo, rows.hi), group)
+    return _eer_by_bracket(rows, group)
 
 
 def eer_of_nodes(nodes: prefix.Stored, group: list[str]) -> DataFrame:
-    """:func:`eer` of a stored :func:`score_nodes` table."""
-    curve = _curve(nodes, group, drop_collinear=True)
+    """:func:`eer` of a stored :func:`score_nodes` table, from its whole curve."""
+    return _crossing(_curve(nodes, group, drop_collinear=True), group)
+
+
+def _crossing(curve: DataFrame, group: list[str]) -> DataFrame:
+    """EER and threshold between the last node above and the first node below."""
     above = _side(F.col("tp"), F.col("fp")) >= 0
     hi = lambda c: F.when(above, F.col(c))
     lo = lambda c: F.when(~above, F.col(c))
@@ -155,22 +173,115 @@ def eer_of_nodes(nodes: prefix.Stored, group: list[str]) -> DataFrame:
         F.coalesce(F.max(hi("tp")), F.lit(0)).alias("a_tp"), F.min(lo("tp")).alias("b_tp"),
         F.coalesce(F.max(hi("fp")), F.lit(0)).alias("a_fp"), F.min(lo("fp")).alias("b_fp"),
         F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"),
-        F.max("score").alias("top"), F.min("score").alias("bottom"),
     )
     k_a = _balance(F.col("a_tp"), F.col("a_fp")).cast("double")
     k_b = _balance(F.col("b_tp"), F.col("b_fp")).cast("double")
     found = found.withColumn("t", k_a / F.nullif(k_a - k_b, F.lit(0.0)))
     t, c = F.col("t"), F.col
     rate = (c("a_fp") + t * (c("b_fp") - c("a_fp"))) / c("all_n")
+    one_score = (c("b_tp") == c("all_p")) & (c("b_fp") == c("all_n"))
     threshold = F.when(
         c("a_score").isNotNull(), c("a_score") + t * (c("b_score") - c("a_score"))
-    ).when(c("top") > c("bottom"), F.lit(INF))
+    ).when(~one_score, F.lit(INF))
     both = (c("all_p") > 0) & (c("all_n") > 0)
     return found.select(
         *group, F.when(both, rate).alias("eer"), F.when(both, threshold).alias("threshold")
     )
 
 
+BRACKETS = (1, 64)  # ranges looked at on each side of the crossing, in turn
+
+
+def _eer_by_bracket(rows: prefix.Stored, group: list[str]) -> DataFrame:
+    ranged = prefix.with_ranges(rows, group, descending=True)
+    by_range = Window.partitionBy(*group).orderBy(*prefix.RANGE)
+    whole = Window.partitionBy(*group)
+    before = prefix.before_range(group)
+    counted = ranged.groupBy(*group, *prefix.RANGE).agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
+    )
+    ranges = materialize(
+        counted.select(
+            *group, *prefix.RANGE, "p", "n",
+            F.coalesce(F.sum("p").over(before), F.lit(0)).alias("off_p"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off_n"),
+            F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"),
+            F.row_number().over(by_range).alias("at"), F.count("*").over(whole).alias("last_at"),
+        ),
+        "ranges",
+    )
+    start = _side(F.col("off_p"), F.col("off_n"))
+    end = _side(F.col("off_p") + F.col("p"), F.col("off_n") + F.col("n"))
+    pending = ranges.filter(
+        (F.col("all_p") > 0) & (F.col("all_n") > 0) & (start >= 0) & (end < 0)
+    ).select(*group, F.col("at").alias("cross_at"))
+    settled = []
+    for width in BRACKETS:
+        near = materialize(
+            ranges.drop("p", "n")
+            .join(broadcast_if_small(pending), group)
+            .filter(F.abs(F.col("at") - F.col("cross_at")) <= width),
+            "near",
+        )
+        found = materialize(_settle(ranged, near, group), "settled")
+        done = found.filter("settled").drop("settled")
+        settled.append(done)
+        pending = materialize(
+            pending.join(broadcast_if_small(done.select(*group)), group, "left_anti"), "pending"
+        )
+        if not pending.limit(1).count():
+            break
+    else:
+        # A longer run of equal steps around the crossing: use the whole curve.
+        rest = rows.table.join(broadcast_if_small(pending.select(*group)), group, "left_semi")
+        settled.append(eer_of_nodes(store_nodes(rest, group), group))
+    every = ranges.filter(F.col("at") == 1).select(*group)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return every.join(out, group, "left")
+
+
+def _settle(ranged: DataFrame, near: DataFrame, group: list[str]) -> DataFrame:
+    """The crossing seen from a few neighbouring ranges of each group.
+
+    ``settled`` tells whether both neighbouring curve nodes are among them: the
+    step out of the lowest score is unknown unless the group ends there, so that
+    score cannot serve as a node.
+    """
+    inside = ranged.join(broadcast_if_small(near), [*group, *prefix.RANGE])
+    nodes = inside.groupBy(*group, "score").agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"),
+        *[F.first(c).alias(c) for c in ("off_p", "off_n", "all_p", "all_n", "at", "last_at")],
+    )
+    down = Window.partitionBy(*group).orderBy(F.col("score").desc())
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
+    steps = nodes.select(
+        *group, "score", "p", "n", "all_p", "all_n",
+        (F.min("off_p").over(whole) + F.sum("p").over(upto)).alias("tp"),
+        (F.min("off_n").over(whole) + F.sum("n").over(upto)).alias("fp"),
+        F.lead("p").over(down).alias("next_p"), F.lead("n").over(down).alias("next_n"),
+        ((F.min("at").over(whole) == 1) & (F.row_number().over(down) == 1)).alias("first"),
+        (F.min("at").over(whole) == 1).alias("from_top"),
+        (F.max("at").over(whole) == F.col("last_at")).alias("to_bottom"),
+    )
+    turns = (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
+    ends = F.col("next_p").isNull() & F.col("to_bottom")
+    curve = steps.filter(F.col("first") | ends | turns)
+    above = _side(F.col("tp"), F.col("fp")) >= 0
+    seen = curve.groupBy(*group).agg(
+        ((F.count_if(above) > 0) | F.first("from_top")).alias("has_a"),
+        (F.count_if(~above) > 0).alias("has_b"),
+    )
+    return (
+        _crossing(curve, group)
+        .join(seen, group)
+        .withColumn("settled", F.col("has_a") & F.col("has_b"))
+        .drop("has_a", "has_b")
+    )
+
+
 def eer_by_group(
     scores: DataFrame, within: list[str], by: list[str] | None = None
 ) -> DataFrame:

@@ -80,6 +80,30 @@ def test_eer_matches_brute_force_and_ranges(spark, monkeypatch, ties):
         assert cut[g]["threshold"] == pytest.approx(plain[g]["threshold"])
 
 
+def test_long_runs_around_the_crossing(spark, monkeypatch):
+    """Thresholds depend on where equal steps end, however far that is."""
+    monkeypatch.setattr(prefix, "CROWDED", 3)
+    monkeypatch.setattr(prefix, "COARSE", 50)
+    groups = {
+        "separated": (np.r_[np.arange(100) + 200.0, np.arange(100) * 1.0], np.r_[np.ones(100), np.zeros(100)]),
+        "reversed": (np.r_[np.arange(100) * 1.0, np.arange(100) + 200.0], np.r_[np.ones(100), np.zeros(100)]),
+        "blocks": (np.arange(210.0), np.r_[np.zeros(30), np.ones(60), np.zeros(60), np.ones(60)]),
+        "pairs": (np.repeat(np.arange(90.0), 2), np.tile([0, 1], 90)),
+        "single": (np.full(9, 5.0), np.r_[np.ones(4), np.zeros(5)]),
+        "one_class": (np.arange(9.0), np.ones(9)),
+    }
+    df = score_table(spark, groups)
+    for brackets in ((1, 64), (1,)):
+        monkeypatch.setattr(D, "BRACKETS", brackets)
+        got = {r["dataset_id"]: r for r in D.eer(df, ["dataset_id"]).collect()}
+        want = {r["dataset_id"]: r for r in D.eer_of_nodes(D.store_nodes(df, ["dataset_id"]), ["dataset_id"]).collect()}
+        assert set(got) == set(groups)
+        for g in groups:
+            for c in ("eer", "threshold"):
+                w = want[g][c]
+                assert got[g][c] == (None if w is None else pytest.approx(w)), (g, c)
+
+
 def test_outliers_do_not_break_ranges(spark, monkeypatch):
     monkeypatch.setattr(prefix, "CROWDED", 5)
     rng = np.random.default_rng(0)
