@@ -74,15 +74,18 @@ def test_eer_matches_brute_force_and_ranges(spark, monkeypatch, ties):
     monkeypatch.setattr(prefix, "CROWDED", 5)
     monkeypatch.setattr(prefix, "COARSE", 7)
     monkeypatch.setattr(prefix, "FINE", 3)
-    cut = {r["dataset_id"]: r for r in D.eer(df, ["dataset_id"]).collect()}
-    for g in groups:
-        assert cut[g]["eer"] == pytest.approx(plain[g]["eer"])
-        assert cut[g]["threshold"] == pytest.approx(plain[g]["threshold"])
+    for bracket_rows in (10**9, 0):
+        monkeypatch.setattr(D, "BRACKET_ROWS", bracket_rows)
+        cut = {r["dataset_id"]: r for r in D.eer(df, ["dataset_id"]).collect()}
+        for g in groups:
+            assert cut[g]["eer"] == pytest.approx(plain[g]["eer"])
+            assert cut[g]["threshold"] == pytest.approx(plain[g]["threshold"])
 
 
 def test_long_runs_around_the_crossing(spark, monkeypatch):
     """Thresholds depend on where equal steps end, however far that is."""
     monkeypatch.setattr(prefix, "CROWDED", 3)
+    monkeypatch.setattr(D, "BRACKET_ROWS", 0)
     monkeypatch.setattr(prefix, "COARSE", 50)
     groups = {
         "separated": (np.r_[np.arange(100) + 200.0, np.arange(100) * 1.0], np.r_[np.ones(100), np.zeros(100)]),
