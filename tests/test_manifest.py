@@ -39,7 +39,7 @@ def test_protocol_driven(spark, tmp_path):
         for u in (f"U_{utt}", f"U_{utt}0", f"LA_D_A{utt}"):
             touch(tmp_path / "audio" / f"LA_{word}" / "flac" / f"{u}.flac")
     args = dict(protocol_dir=str(tmp_path / "proto"), audio_root=str(tmp_path / "audio"))
-    m = rows_of(build_manifest(spark, "protocol_5", "la19", **args))
+    m = rows_of(build_manifest(spark, "protocol_5", "proto5", **args))
     assert len(m) == 6  # enrolment files stay out
     assert m["U_30"]["split"] == "test" and m["U_30"]["attack_type"] == "A03"
     assert m["U_1"]["attack_type"] is None and m["U_1"]["codec"] == "flac"
@@ -47,10 +47,10 @@ def test_protocol_driven(spark, tmp_path):
 
     (tmp_path / "audio" / "LA_dev" / "flac" / "U_20.flac").unlink()
     with pytest.raises(A.IndexProblem, match="without audio"):
-        build_manifest(spark, "protocol_5", "la19", **args)
+        build_manifest(spark, "protocol_5", "proto5", **args)
     (tmp_path / "proto" / "y.dev.txt").write_text("a b c d spoof\n")
     with pytest.raises(A.IndexProblem, match="exactly one"):
-        build_manifest(spark, "protocol_5", "la19", **args)
+        build_manifest(spark, "protocol_5", "proto5", **args)
 
 
 @pytest.mark.parametrize("width", [8, 13])
@@ -77,17 +77,17 @@ def test_directory_driven_and_build_all(spark, tmp_path):
     for rel in ["training/real/a.wav", "training/fake/a.wav", "testing/fake/b.x.mp3", "testing/other/c.wav",
                 "validation/real/n.txt"]:
         touch(tmp_path / rel)
-    jobs = [dict(adapter="directories", dataset_id="for2", audio_root=str(tmp_path)),
+    jobs = [dict(adapter="directories", dataset_id="dirs", audio_root=str(tmp_path)),
             dict(adapter="directories", dataset_id="none", audio_root=str(tmp_path / "validation"))]
     built, failed = build_all(spark, jobs)
-    assert set(built) == {"for2"} and set(failed) == {"none"}
-    m = rows_of(built["for2"])
+    assert set(built) == {"dirs"} and set(failed) == {"none"}
+    m = rows_of(built["dirs"])
     assert set(m) == {"training__real__a", "training__fake__a", "testing__fake__b.x"}
     assert m["testing__fake__b.x"]["label"] == 1 and m["testing__fake__b.x"]["codec"] == "mp3"
-    doc = passport(built["for2"])
+    doc = passport(built["dirs"])
     balance = {r["split"]: r.asDict() for r in doc["class_balance"].collect()}
     assert balance["train"] == {"split": "train", "bonafide": 1, "spoof": 1, "total": 2}
-    assert doc["fingerprint"].first() == profile.table_fingerprint(built["for2"].repartition(3)).first()
+    assert doc["fingerprint"].first() == profile.table_fingerprint(built["dirs"].repartition(3)).first()
 
 
 def test_mini_round_trip(spark, tmp_path):
