@@ -141,3 +141,10 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ]
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), at
+
+
+def add_by_row(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add values to their rows' totals; ``rows`` ascends."""
+    if len(rows):
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+        out[rows[cut]] += np.add.reduceat(values, cut, axis=0, dtype=out.dtype)
