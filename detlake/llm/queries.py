@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.llm import chat, langid, rules, simhash, toxicity
+from detlake.llm import chat, langid, quality, rules, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality_rules", rules.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op2_quality_grades")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (poor), 1 (good but toxic), 2 (good) from the two labels."""
+    ratings = _table(spark, sf_dir, "labels").select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
+    return quality.select(_table(spark, sf_dir, "documents"), ratings)
