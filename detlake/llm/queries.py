@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.llm import chat, langid, quality, rules, simhash, toxicity, urls
+from detlake.llm import chat, decontaminate, langid, quality, rules, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 (poor), 1 (good but toxic), 2 (good) from the two labels."""
     ratings = _table(spark, sf_dir, "labels").select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
     return quality.select(_table(spark, sf_dir, "documents"), ratings)
+
+
+@_query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
