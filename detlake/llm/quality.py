@@ -27,7 +27,7 @@ from detlake.llm.sample import bounded, fold
 from detlake.llm.text import LOWER, SPACE, Words, hashes, pieces, words
 
 BITS = 16
-PER_GRADE = 6000
+PER_GRADE = 3000
 STEPS, RATE, DECAY = 150, 0.1, 1e-4
 
 _CLASS = np.arange(256).astype(np.uint8)
