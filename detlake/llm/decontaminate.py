@@ -26,6 +26,7 @@ documents each; ties go to the first passage; no items or no documents give no r
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,20 +202,20 @@ def _passages(index: Index, h: np.ndarray, row_at: np.ndarray, chunk: int = 2048
     return list(best.values())
 
 
-def _scan(shared):
-    def run(batches):
-        index = shared.value
-        for batch in batches:
-            found = []
-            for a, _, h, row_at in tokens(batch.column(1)):
-                found += [(a + r, *rest) for r, *rest in _passages(index, h, row_at)]
-            row, item, edits, start, end = (np.array(c, np.int64) for c in (zip(*found) if found else [[]] * 5))
-            n = np.array([len(index.items[i]) for i in item], np.int64)
-            columns = [batch.column(0).take(pa.array(row)), index.ids.take(pa.array(item)),
-                       *(pa.array(c) for c in (edits, n, start, end))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "item_words", "first_word", "end_word"])
+def _found(index: Index, column: pa.Array) -> list[tuple]:
+    """Passages of all rows of a column: (row, item, edits, first word, end)."""
+    return [(a + r, *rest) for a, _, h, row_at in tokens(column) for r, *rest in _passages(index, h, row_at)]
 
-    return run
+
+def _indexes(benchmark: DataFrame, n_tables: int):
+    """Broadcast indexes of all blocks of the benchmark."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", F.lower("text").alias("text")).filter("text is not null").distinct()
+    blocks = max(1, -(-items.count() // BLOCK))
+    for b in range(blocks):
+        found = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
+        ids, texts = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in found.columns)
+        yield spark.sparkContext.broadcast(build(ids, texts, n_tables))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n_tables: int = TABLES) -> DataFrame:
@@ -222,26 +223,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n_tables: int = TABLES)
 
     Columns: ``doc_id``, ``item_id``, ``edits``, ``item_words``, ``first_word``, ``end_word``.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", F.lower("text").alias("text")).filter("text is not null").distinct()
-    kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id"))]
+    def scan(shared):
+        def run(batches):
+            index = shared.value
+            for batch in batches:
+                found = _found(index, batch.column(1))
+                row, item, edits, start, end = (np.array(c, np.int64) for c in (zip(*found) if found else [[]] * 5))
+                n = np.array([len(index.items[i]) for i in item], np.int64)
+                columns = [batch.column(0).take(pa.array(row)), index.ids.take(pa.array(item)),
+                           *(pa.array(c) for c in (edits, n, start, end))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "item_words", "first_word", "end_word"])
+
+        return run
+
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits bigint, item_words bigint, first_word bigint, end_word bigint"
     rows = docs.select("doc_id", F.lower("text").alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK))
-    out = None
-    for b in range(blocks):
-        found = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        texts = found["text"].combine_chunks() if len(found) else pa.array([], pa.string())
-        ids = found["item_id"].combine_chunks() if len(found) else pa.nulls(0, found.schema.field("item_id").type)
-        index = build(ids, texts, n_tables)
-        part = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark; rows without id are judged by their text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
-    named = docs.withColumn("_key", key)
-    bad = contaminated(named.select(F.col("_key").alias("doc_id"), "text"), benchmark)
-    return named.join(bad.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(scan(s), schema) for s in _indexes(benchmark, n_tables)])
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n_tables: int = TABLES) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of the benchmark."""
+    def drop(shared):
+        def run(batches):
+            for batch in batches:
+                bad = np.zeros(len(batch), bool)
+                bad[[f[0] for f in _found(shared.value, batch.column(batch.num_columns - 1))]] = True
+                yield batch.drop_columns(["_lower"]).filter(pa.array(~bad))
+
+        return run
+
+    for shared in _indexes(benchmark, n_tables):
+        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(drop(shared), docs.schema)
+    return docs

@@ -110,33 +110,51 @@ def fit(docs: DataFrame, train: Column | None = None, per_language: int = PER_LA
     return Model(langs.tolist(), np.log(np.maximum(texts, 1) / max(texts.sum(), 1)), logp)
 
 
+def _score(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of every text of a column."""
+    names = np.array([*model.langs, UNKNOWN], object)
+    pred, score = [names[:0]], [np.zeros(0)]
+    for _, _, data, offsets in pieces(column):
+        bins, rows, has = grams(*code_points(data, offsets))
+        total = np.tile(model.prior, (len(has), 1))
+        best = np.full(len(has), len(model.langs))
+        top = np.zeros(len(has))
+        if model.langs:
+            for i in range(0, len(rows), 1 << 17):
+                part = bins[i:i + (1 << 17)]
+                value = sum(model.logp[part[:, k]] for k in range(3))
+                add_by_row(total, rows[i:i + (1 << 17)], value)
+            best = np.where(has, total.argmax(axis=1), best)
+            total -= total.max(axis=1, keepdims=True)
+            top = np.where(has, 1 / np.exp(total).sum(axis=1), 0.0)
+        pred.append(names[best])
+        score.append(top)
+    return np.concatenate(pred).tolist(), np.concatenate(score)
+
+
 def _scorer(shared) -> Callable:
     def run(batches):
-        model = shared.value
-        names = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
-            pred, score = [names[:0]], [np.zeros(0)]
-            for _, _, data, offsets in pieces(batch.column(1)):
-                bins, rows, has = grams(*code_points(data, offsets))
-                total = np.tile(model.prior, (len(has), 1))
-                best = np.full(len(has), len(model.langs))
-                top = np.zeros(len(has))
-                if model.langs:
-                    for i in range(0, len(rows), 1 << 17):
-                        part = bins[i:i + (1 << 17)]
-                        value = sum(model.logp[part[:, k]] for k in range(3))
-                        add_by_row(total, rows[i:i + (1 << 17)], value)
-                    best = np.where(has, total.argmax(axis=1), best)
-                    total -= total.max(axis=1, keepdims=True)
-                    top = np.where(has, 1 / np.exp(total).sum(axis=1), 0.0)
-                pred.append(names[best])
-                score.append(top)
-            columns = [batch.column(0), pa.array(np.concatenate(pred).tolist(), pa.string()), pa.array(np.concatenate(score))]
+            pred, score = _score(shared.value, batch.column(1))
+            columns = [batch.column(0), pa.array(pred, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a letter and a language whose posterior is ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            pred, score = _score(shared.value, batch.column(at))
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (posterior of that language) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

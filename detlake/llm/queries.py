@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.llm import chat, decontaminate, langid, quality, rules, simhash, toxicity, urls
+from detlake.llm import chat, decontaminate, langid, mixing, passages, quality, rules, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("text_id")
+
+
+@_query("op9_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents")).drop("text_id")
