@@ -110,7 +110,7 @@ def q_negatives_per_attack(spark, sf_dir):
     from detlake.operators.prefix import running_totals
 
     s = _scores(spark, sf_dir)
-    cum = running_totals(D.store_nodes(s, ["dataset_id"]), ["dataset_id"], ["n"], descending=True)
+    cum = running_totals(D.score_nodes(s, ["dataset_id"]), ["dataset_id"], "score", ["n"], descending=True)
     size = s.filter("label = 0").groupBy("dataset_id").agg(F.count("*").alias("n_bonafide"))
     kinds = (
         s.filter("label = 1 and attack_type is not null")
@@ -276,5 +276,40 @@ from (select dataset_id, score, cast(sum(label) as bigint) p, cast(count(*)-sum(
 def q_cumulative_by_range(spark, sf_dir):
     from detlake.operators.prefix import running_totals
 
-    nodes = D.store_nodes(view(spark, sf_dir, "v_line_scores"), ["dataset_id"])
-    return running_totals(nodes, ["dataset_id"], ["p", "n"], descending=True)
+    nodes = D.score_nodes(view(spark, sf_dir, "v_line_scores"), ["dataset_id"])
+    return running_totals(nodes, ["dataset_id"], "score", ["p", "n"], descending=True)
+
+
+SQL_GATED = """select dataset_id, utt_id, label, case
+   when cast(substr(utt_id, 2) as bigint) % 97 = 0 then cast('nan' as double)
+   when cast(substr(utt_id, 2) as bigint) % 89 = 0 then cast('infinity' as double)
+   when cast(substr(utt_id, 2) as bigint) % 83 = 0 then cast('-infinity' as double)
+   when cast(substr(utt_id, 2) as bigint) % 79 = 0 then null else score end score from v_scores"""
+
+
+@query("score_gate", f"""with p_scores as ({SQL_GATED}),
+u_scores as (select * from p_scores where score is not null and not isnan(score)),
+e as ({sql_eer('u_scores', 'dataset_id')}),
+u as (select dataset_id, count(*) n_report,
+  cast(sum(case when label=1 and score>=200 then 1 else 0 end) as bigint) tp,
+  cast(sum(case when label=0 and score>=200 then 1 else 0 end) as bigint) fp from u_scores group by dataset_id),
+c as (select dataset_id, count(*) n, cast(sum(case when score is null then 1 else 0 end) as bigint) n_null,
+  cast(sum(case when isnan(score) then 1 else 0 end) as bigint) n_nan,
+  cast(sum(case when isinf(score) then 1 else 0 end) as bigint) n_infinite from p_scores group by dataset_id)
+select c.*, n - n_null - n_nan n_used, n_report, tp, fp, n_report n_confusion, round(eer, 9) eer
+from c join u using (dataset_id) join e using (dataset_id)""", ["v_scores"])
+def q_score_gate(spark, sf_dir):
+    """All metrics count the same rows when some scores are NaN, NULL or infinite."""
+    k = F.substring("utt_id", 2, 20).cast("long")
+    score = (F.when(k % 97 == 0, float("nan")).when(k % 89 == 0, float("inf"))
+             .when(k % 83 == 0, float("-inf")).when(k % 79 != 0, F.col("score")))
+    s = _scores(spark, sf_dir).withColumn("score", score)
+    found = D.eer(s, ["dataset_id"])
+    at = D.confusion_at(s, ["dataset_id"], 200.0)
+    cells = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    at = at.select("dataset_id", "tp", "fp", cells.alias("n_confusion"))
+    report = D.eer_report(s, point=found).select("dataset_id", F.col("n").alias("n_report"))
+    return (
+        D.score_gate(s, ["dataset_id"]).drop("n_no_label").join(report, "dataset_id").join(at, "dataset_id")
+        .join(found.select("dataset_id", rounded("eer", 9).alias("eer")), "dataset_id")
+    )

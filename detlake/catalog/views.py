@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.operators.prefix import ordinal_within, store
+from detlake.operators.prefix import ordinal_within
 from detlake.session import materialize
 
 BASE = [
@@ -162,7 +162,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "value",
     )
     numbered = ordinal_within(
-        store(events, "t", "events"), ["dataset_id", "utt_id"], ["event_id"], "frame"
+        events, ["dataset_id", "utt_id"], "t", ["event_id"], "frame"
     )
     return materialize(
         numbered.select(

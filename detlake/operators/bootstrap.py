@@ -4,10 +4,10 @@ Both methods resample each class by itself with its size kept exactly and take a
 percentile interval.
 
 ``eer_bootstrap`` draws multinomial counts in two steps: first how many
-resampled rows fall in each score range, then, only in the range where the
-curves cross, how many fall on each score. Counts inside a range depend on the
-range total alone, so the result follows the same law as resampling every row,
-for the cost of the ranges instead of rows times replicates.
+resampled rows fall in each bin of scores, then, only in the bin where the
+curves cross, how many fall on each score. Counts inside a bin depend on the
+bin's total alone, so the result follows the same law as resampling every row,
+for the cost of the bins instead of rows times replicates.
 
 ``eer_bootstrap_hashed`` draws row by row from md5, so that another engine can
 repeat it to the digit. It costs rows times replicates and suits a small number
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from detlake import fixed_values as fv
 from detlake.functions.numeric import md5_int
 from detlake.operators import prefix
-from detlake.operators.detection import eer_of_nodes, store_nodes
+from detlake.operators.detection import curve_of, eer_of_nodes, gate, ranged_nodes, score_nodes
 from detlake.session import broadcast_if_small, materialize
 
 CHUNK = 50      # replicates drawn together
@@ -62,14 +62,19 @@ def eer_replicates(
     group: str = "dataset_id",
 ) -> DataFrame:
     """One EER per group and replicate: ``<group>, rep, eer``."""
-    ranged = prefix.with_ranges(store_nodes(scores, [group]), [group], descending=True)
-
-    # Ranges of a group as arrays. Their number is bounded by the range grid.
-    bins = prefix.range_totals(ranged, [group], ["p", "n"])
+    # Bins by rank: about sqrt(rows) bins of at most sqrt(rows) scores, whatever the
+    # values are and however the table is stored.
+    curve = curve_of(ranged_nodes(score_nodes(scores, [group]), [group]), [group], False)
+    step = F.ceil(F.sqrt(F.col("all_p") + F.col("all_n")))
+    at = F.floor((F.col("tp") + F.col("fp") - 1) / step).alias("_bin")
+    ranged = materialize(curve.select(group, at, "score", "p", "n"), "boot_nodes")
+
+    # The bins of a group as arrays.
+    bins = ranged.groupBy(group, "_bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     hist = (
         bins.groupBy(group)
         .agg(
-            F.sort_array(F.collect_list(F.struct(*prefix.RANGE, "p", "n"))).alias("bins"),
+            F.sort_array(F.collect_list(F.struct("_bin", "p", "n"))).alias("bins"),
             F.sum("p").alias("all_p"), F.sum("n").alias("all_n"),
         )
         .filter((F.col("all_p") > 0) & (F.col("all_n") > 0))
@@ -93,17 +98,17 @@ def eer_replicates(
                     i = _first_below(tp, fp, row.all_p, row.all_n)
                     at = row.bins[i]
                     out.append((
-                        name, rep, at["_coarse"], at["_fine"], int(cp[i]), int(cn[i]),
+                        name, rep, at["_bin"], int(cp[i]), int(cn[i]),
                         int(tp[i] - cp[i]), int(fp[i] - cn[i]), row.all_p, row.all_n,
                     ))
                 yield pd.DataFrame(out, columns=[
-                    group, "rep", *prefix.RANGE, "draw_p", "draw_n", "tp", "fp",
+                    group, "rep", "_bin", "draw_p", "draw_n", "tp", "fp",
                     "all_p", "all_n",
                 ])
 
     crossings = chunks.mapInPandas(
         cross,
-        f"{group} string, rep int, _coarse int, _fine int, draw_p long, draw_n long, "
+        f"{group} string, rep int, _bin long, draw_p long, draw_n long, "
         "tp long, fp long, all_p long, all_n long",
     )
     crossings = materialize(crossings, "boot_crossings").withColumn(
@@ -111,9 +116,9 @@ def eer_replicates(
     )
 
     # Only the crossing ranges are opened, once per chunk of replicates.
-    place = [group, *prefix.RANGE, "chunk"]
+    place = [group, "_bin", "chunk"]
     wanted = crossings.select(*[F.col(c).alias(c) for c in place]).distinct()
-    inside = ranged.join(wanted, [group, *prefix.RANGE]).select(*place, "score", "p", "n")
+    inside = ranged.join(wanted, [group, "_bin"]).select(*place, "score", "p", "n")
 
     def settle(nodes: pd.DataFrame, reps: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("score", ascending=False, kind="stable")
@@ -177,13 +182,11 @@ def ranked_scores(scores: DataFrame, group: str) -> DataFrame:
     are spread first.
     """
     counts = (
-        scores.filter(F.col("score").isNotNull())
+        gate(scores)
         .groupBy(group, "label", F.col("score").cast("double").alias("score"))
         .agg(F.count("*").alias("w"))
     )
-    cum = prefix.running_totals(
-        prefix.store(counts, "score", "boot_counts"), [group, "label"], ["w"]
-    )
+    cum = prefix.running_totals(counts, [group, "label"], "score", ["w"])
     start, end = F.col("cum_w") - F.col("w"), F.col("cum_w") - 1
     piece = lambda i: F.floor(i / PIECE).cast("long")
     pieces = cum.select(
@@ -230,8 +233,7 @@ def eer_replicates_hashed(
             F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("n"),
         )
     )
-    nodes = prefix.store(weighted, "score", "boot_weighted")
-    return eer_of_nodes(nodes, [group, "rep"]).select(group, "rep", "eer")
+    return eer_of_nodes(weighted, [group, "rep"]).select(group, "rep", "eer")
 
 
 def eer_bootstrap_hashed(

@@ -16,6 +16,32 @@ from detlake.session import broadcast_if_small, materialize
 INF = float("inf")
 
 
+# --- scores that count -------------------------------------------------------
+
+def gate(scores: DataFrame) -> DataFrame:
+    """The rows every metric rests on: a label of 0 or 1 and a score that is a number.
+
+    NULL and NaN scores are set aside (``score_gate`` counts them); infinite
+    scores are kept, as they have a place in the order.
+    """
+    score = F.col("score").cast("double")
+    return scores.filter(score.isNotNull() & ~F.isnan(score) & F.col("label").isin(0, 1))
+
+
+def score_gate(scores: DataFrame, group: list[str]) -> DataFrame:
+    """Rows per group, what :func:`gate` sets aside by reason, and what is used."""
+    score, label = F.col("score").cast("double"), F.col("label")
+    known = F.coalesce(label.isin(0, 1), F.lit(False))
+    return scores.groupBy(*group).agg(
+        F.count("*").alias("n"),
+        F.count_if(score.isNull()).alias("n_null"),
+        F.count_if(F.isnan(score)).alias("n_nan"),
+        F.count_if(~known).alias("n_no_label"),
+        F.count_if(F.abs(score) == INF).alias("n_infinite"),
+        F.count_if(known & score.isNotNull() & ~F.isnan(score)).alias("n_used"),
+    )
+
+
 # --- ROC ---------------------------------------------------------------------
 
 def score_nodes(scores: DataFrame, group: list[str]) -> DataFrame:
@@ -26,7 +52,7 @@ def score_nodes(scores: DataFrame, group: list[str]) -> DataFrame:
     """
     label = F.col("label")
     return (
-        scores.filter(F.col("score").isNotNull() & label.isin(0, 1))
+        gate(scores)
         .groupBy(*group, F.col("score").cast("double").alias("score"))
         .agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("n"))
     )
@@ -41,17 +67,17 @@ def roc_nodes(scores: DataFrame, group: list[str], drop_collinear: bool = True)
     interpolated thresholds depend on which nodes stay. Groups with one class
     are left out. The point before the first node is not a row here.
     """
-    curve = _curve(store_nodes(scores, group), group, drop_collinear)
+    curve = curve_of(ranged_nodes(score_nodes(scores, group), group), group, drop_collinear)
     return curve.filter((F.col("all_p") > 0) & (F.col("all_n") > 0))
 
 
-def store_nodes(scores: DataFrame, group: list[str]) -> prefix.Stored:
-    return prefix.store(score_nodes(scores, group), "score", "nodes")
+def ranged_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """Nodes of :func:`score_nodes`, written once and cut into ranges from the highest score down."""
+    return prefix.with_ranges(nodes, group, "score", descending=True, name="nodes")
 
 
-def _curve(nodes: prefix.Stored, group: list[str], drop_collinear: bool) -> DataFrame:
+def curve_of(ranged: DataFrame, group: list[str], drop_collinear: bool) -> DataFrame:
     """The nodes of :func:`roc_nodes`, for groups with one class too."""
-    ranged = prefix.with_ranges(nodes, group, descending=True)
     top = [F.max_by(c, "score").alias(f"top_{c}") for c in ("p", "n")]
     per_range = prefix.range_totals(ranged, group, ["p", "n"], top)
 
@@ -139,29 +165,15 @@ def eer(scores: DataFrame, group: list[str]) -> DataFrame:
     nodes. A group with one class has NULL for both. A crossing before the first
     node has threshold +inf, or NULL when all scores are equal.
 
-    In a large table, counts per score range tell in which range the curves
-    cross, so only that range and its neighbours are looked at score by score; the
-    other rows are counted and never shuffled. Below ``BRACKET_ROWS`` rows the whole
-    curve takes less time than the extra jobs.
+    Rows are reduced to one per score before anything is stored; the curve then
+    runs range by range (:mod:`detlake.operators.prefix`), the same way at any size.
     """
-    label = F.col("label")
-    rows = prefix.store(
-        scores.filter(F.col("score").isNotNull() & label.isin(0, 1)).select(
-            *group, F.col("score").cast("double").alias("score"), "label"
-        ),
-        "score", "eer_rows",
-    )
-    if rows.rows > BRACKET_ROWS:
-        return _eer_by_bracket(rows, group)
-    if rows.rows > prefix.CROWDED:
-        return eer_of_nodes(store_nodes(rows.table, group), group)
-    nodes = score_nodes(rows.table, group)
-    return eer_of_nodes(prefix.Stored(nodes, "score", rows.rows, rows.lo, rows.hi), group)
+    return eer_of_nodes(score_nodes(scores, group), group)
 
 
-def eer_of_nodes(nodes: prefix.Stored, group: list[str]) -> DataFrame:
-    """:func:`eer` of a stored :func:`score_nodes` table, from its whole curve."""
-    return _crossing(_curve(nodes, group, drop_collinear=True), group)
+def eer_of_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """:func:`eer` of a :func:`score_nodes` table."""
+    return _crossing(curve_of(ranged_nodes(nodes, group), group, drop_collinear=True), group)
 
 
 def _crossing(curve: DataFrame, group: list[str]) -> DataFrame:
@@ -183,8 +195,9 @@ def _crossing(curve: DataFrame, group: list[str]) -> DataFrame:
     t, c = F.col("t"), F.col
     rate = (c("a_fp") + t * (c("b_fp") - c("a_fp"))) / c("all_n")
     one_score = (c("b_tp") == c("all_p")) & (c("b_fp") == c("all_n"))
-    threshold = F.when(
-        c("a_score").isNotNull(), c("a_score") + t * (c("b_score") - c("a_score"))
+    between = c("a_score") + t * (c("b_score") - c("a_score"))
+    threshold = F.when(  # between infinite scores there is no number to give
+        c("a_score").isNotNull(), F.when(~F.isnan(between), between)
     ).when(~one_score, F.lit(INF))
     both = (c("all_p") > 0) & (c("all_n") > 0)
     return found.select(
@@ -192,100 +205,6 @@ def _crossing(curve: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-BRACKET_ROWS = 2_000_000  # rows from which looking at ranges first pays off
-BRACKETS = (1, 64)  # ranges looked at on each side of the crossing, in turn
-
-
-def _eer_by_bracket(rows: prefix.Stored, group: list[str]) -> DataFrame:
-    ranged = prefix.with_ranges(rows, group, descending=True)
-    by_range = Window.partitionBy(*group).orderBy(*prefix.RANGE)
-    whole = Window.partitionBy(*group)
-    before = prefix.before_range(group)
-    counted = ranged.groupBy(*group, *prefix.RANGE).agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
-    )
-    ranges = materialize(
-        counted.select(
-            *group, *prefix.RANGE, "p", "n",
-            F.coalesce(F.sum("p").over(before), F.lit(0)).alias("off_p"),
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off_n"),
-            F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"),
-            F.row_number().over(by_range).alias("at"), F.count("*").over(whole).alias("last_at"),
-        ),
-        "ranges",
-    )
-    start = _side(F.col("off_p"), F.col("off_n"))
-    end = _side(F.col("off_p") + F.col("p"), F.col("off_n") + F.col("n"))
-    pending = ranges.filter(
-        (F.col("all_p") > 0) & (F.col("all_n") > 0) & (start >= 0) & (end < 0)
-    ).select(*group, F.col("at").alias("cross_at"))
-    settled = []
-    for width in BRACKETS:
-        near = materialize(
-            ranges.drop("p", "n")
-            .join(broadcast_if_small(pending), group)
-            .filter(F.abs(F.col("at") - F.col("cross_at")) <= width),
-            "near",
-        )
-        found = materialize(_settle(ranged, near, group), "settled")
-        done = found.filter("settled").drop("settled")
-        settled.append(done)
-        pending = materialize(
-            pending.join(broadcast_if_small(done.select(*group)), group, "left_anti"), "pending"
-        )
-        if not pending.limit(1).count():
-            break
-    else:
-        # A longer run of equal steps around the crossing: use the whole curve.
-        rest = rows.table.join(broadcast_if_small(pending.select(*group)), group, "left_semi")
-        settled.append(eer_of_nodes(store_nodes(rest, group), group))
-    every = ranges.filter(F.col("at") == 1).select(*group)
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return every.join(out, group, "left")
-
-
-def _settle(ranged: DataFrame, near: DataFrame, group: list[str]) -> DataFrame:
-    """The crossing seen from a few neighbouring ranges of each group.
-
-    ``settled`` tells whether both neighbouring curve nodes are among them: the
-    step out of the lowest score is unknown unless the group ends there, so that
-    score cannot serve as a node.
-    """
-    inside = ranged.join(broadcast_if_small(near), [*group, *prefix.RANGE])
-    nodes = inside.groupBy(*group, "score").agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"),
-        *[F.first(c).alias(c) for c in ("off_p", "off_n", "all_p", "all_n", "at", "last_at")],
-    )
-    down = Window.partitionBy(*group).orderBy(F.col("score").desc())
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    steps = nodes.select(
-        *group, "score", "p", "n", "all_p", "all_n",
-        (F.min("off_p").over(whole) + F.sum("p").over(upto)).alias("tp"),
-        (F.min("off_n").over(whole) + F.sum("n").over(upto)).alias("fp"),
-        F.lead("p").over(down).alias("next_p"), F.lead("n").over(down).alias("next_n"),
-        ((F.min("at").over(whole) == 1) & (F.row_number().over(down) == 1)).alias("first"),
-        (F.min("at").over(whole) == 1).alias("from_top"),
-        (F.max("at").over(whole) == F.col("last_at")).alias("to_bottom"),
-    )
-    turns = (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
-    ends = F.col("next_p").isNull() & F.col("to_bottom")
-    curve = steps.filter(F.col("first") | ends | turns)
-    above = _side(F.col("tp"), F.col("fp")) >= 0
-    seen = curve.groupBy(*group).agg(
-        ((F.count_if(above) > 0) | F.first("from_top")).alias("has_a"),
-        (F.count_if(~above) > 0).alias("has_b"),
-    )
-    return (
-        _crossing(curve, group)
-        .join(seen, group)
-        .withColumn("settled", F.col("has_a") & F.col("has_b"))
-        .drop("has_a", "has_b")
-    )
-
-
 def eer_by_group(
     scores: DataFrame, within: list[str], by: list[str] | None = None
 ) -> DataFrame:
@@ -298,9 +217,7 @@ def eer_by_group(
     """
     by = by or ["attack_type"]
     kinds = [*within, *by]
-    ok = scores.filter(F.col("score").isNotNull()).withColumn(
-        "score", F.col("score").cast("double")
-    )
+    ok = gate(scores).withColumn("score", F.col("score").cast("double"))
     spoof = ok.filter(F.col("label") == fv.LABEL_SPOOF)
     for c in by:
         spoof = spoof.filter(F.col(c).isNotNull())
@@ -314,8 +231,7 @@ def eer_by_group(
         bona.withColumn("p", F.lit(0).cast("long")), allowMissingColumns=True
     )
     # Bonafide rows at each score, then at or above it, for every spoof node.
-    stored = prefix.store(merged, "score", "kind_nodes")
-    ranged = prefix.with_ranges(stored, within, descending=True)
+    ranged = prefix.with_ranges(merged, within, "score", descending=True, name="kind_nodes")
     offsets = prefix.range_totals(ranged, within, ["n"]).select(
         *within, *prefix.RANGE,
         F.coalesce(F.sum("n").over(prefix.before_range(within)), F.lit(0)).alias("off_n"),
@@ -379,12 +295,13 @@ def confusion_at(
     """``tn, fp, fn, tp`` for ``score >= threshold``, compared as doubles.
 
     ``threshold`` is a number or a column of ``scores``. A NULL threshold column
-    predicts bonafide everywhere, as a comparison with NaN does.
+    predicts bonafide everywhere, as a comparison with NaN does. Only rows that
+    pass :func:`gate` are counted.
     """
     at = F.lit(float(threshold)) if not isinstance(threshold, str) else F.col(threshold)
     hit = F.coalesce(F.col("score").cast("double") >= at, F.lit(False))
     spoof, bona = F.col("label") == fv.LABEL_SPOOF, F.col("label") == fv.LABEL_BONAFIDE
-    return scores.groupBy(*group).agg(
+    return gate(scores).groupBy(*group).agg(
         F.max(at).alias(name),
         F.count_if(bona & ~hit).alias("tn"), F.count_if(bona & hit).alias("fp"),
         F.count_if(spoof & ~hit).alias("fn"), F.count_if(spoof & hit).alias("tp"),
@@ -462,12 +379,12 @@ def coverage_by_dataset(requested: DataFrame, scored: DataFrame) -> DataFrame:
 def eer_report(
     scores: DataFrame, ci: DataFrame | None = None, point: DataFrame | None = None
 ) -> DataFrame:
-    """One row per dataset: counts, EER and its interval in percent to two places.
+    """One row per dataset: counts of the rows that pass :func:`gate`, EER and its interval in percent to two places.
 
     ``ci`` has ``dataset_id, lo, hi`` as :mod:`detlake.operators.bootstrap` gives;
     ``point`` is a result of :func:`eer` to reuse.
     """
-    counts = scores.groupBy("dataset_id").agg(
+    counts = gate(scores).groupBy("dataset_id").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("label") == fv.LABEL_BONAFIDE).alias("bonafide"),
         F.count_if(F.col("label") == fv.LABEL_SPOOF).alias("spoof"),

@@ -1,96 +1,38 @@
 """Running totals over a whole group without putting the group on one task.
 
 A plain window over ``dataset_id`` sorts each dataset in one task. Here the
-order column is cut into ranges first: totals per range are small, become
-offsets, and each range then runs its own window. The ranges come from the
-values alone (minimum, maximum and counts), so a retried task finds the same
-range for a row as the first attempt did.
-
-The functions take a :class:`Stored` table: written once, with its row count and
-value bounds.
+table is range-partitioned by group and value instead, written once, and every
+partition's number is kept as its range: Spark's sampled bounds balance the
+ranges whatever the values are (infinities, outliers, one hot group), and their
+number is ``spark.sql.shuffle.partitions``, so it grows with the cluster and not
+with a setting here. Totals per group and range are a small table, become offsets,
+and each range then runs its own window.
+
+Rows that are equal in the order columns are always in one range; tables with
+heavy ties are reduced to one row per value first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from detlake.session import materialize
 
-COARSE = 1024       # equal-width ranges over the whole table
-FINE = 256          # equal-width parts of a crowded range, between its own ends
-LEVELS = 7          # times a range may be cut again; enough to part any two doubles
-CROWDED = 250_000   # rows a range may hold before it is cut further
-MAX_CROWDED = 2048  # ranges above rows / MAX_CROWDED rows: never more than this many
-
-RANGE = ["_coarse", "_fine"]
-
-
-@dataclass(frozen=True)
-class Stored:
-    """A table in the shared folder and the bounds of one of its columns."""
-
-    table: DataFrame
-    value: str
-    rows: int
-    lo: float
-    hi: float
+RANGE = ["_range"]
 
 
-def store(df: DataFrame, value: str, name: str) -> Stored:
-    """Write ``df`` and read the bounds of one column, a scan of that column only."""
-    table = materialize(df, name)
-    stats = table.agg(
-        F.count("*").alias("n"), F.min(value).cast("double").alias("lo"),
-        F.max(value).cast("double").alias("hi"),
-    ).first()
-    return Stored(table, value, stats["n"], stats["lo"], stats["hi"])
-
-
-def _slot(value: Column, lo: Column, hi: Column, slots: int, descending: bool) -> Column:
-    """Equal-width slot of ``value``; every step is monotone, so order is kept."""
-    distance = (hi - value) if descending else (value - lo)
-    at = F.floor(distance / F.nullif(hi - lo, F.lit(0.0)) * F.lit(float(slots)))
-    return F.least(F.coalesce(at, F.lit(0)), F.lit(slots - 1)).cast("int")
-
-
-def with_ranges(stored: Stored, keys: list[str], descending: bool = False) -> DataFrame:
-    """Add the range columns ``_coarse, _fine``; their order follows the value.
+def with_ranges(
+    df: DataFrame, keys: list[str], value: str, descending: bool = False,
+    ties: list[str] = (), name: str = "ranges",
+) -> DataFrame:
+    """``df`` written once, with ``_range``: its order within a group follows the value.
 
-    Crowded ranges are cut again between their own ends until none is left, so
-    outliers cannot press everything else into one range. The driver sees the
-    crowded ranges only: a range is crowded above ``rows / MAX_CROWDED`` rows, so
-    there are at most ``MAX_CROWDED`` of them and broadcasting them is safe at
-    any size. Rows that share one value stay in one range; tables with heavy ties
-    are reduced to one row per value first.
+    The ranges are fixed by the write, so a retried task and every later pass see
+    the same ones.
     """
-    table, value = stored.table, stored.value
-    if stored.rows <= CROWDED:
-        return table.withColumns({"_coarse": F.lit(0), "_fine": F.lit(0).cast("long")})
-    v = F.col(value)
-    slot = _slot(v, F.lit(stored.lo), F.lit(stored.hi), COARSE, descending)
-    out = table.withColumns({"_coarse": slot, "_fine": F.lit(0).cast("long")})
-    at = [*keys, *RANGE]
-    for _ in range(LEVELS):
-        crowded = (
-            out.groupBy(*at)
-            .agg(F.count("*").alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-            .filter(F.col("_n") > max(CROWDED, stored.rows / MAX_CROWDED))
-            .filter(F.col("_lo") < F.col("_hi"))
-            .drop("_n")
-        )
-        rows = crowded.collect()
-        if not rows:
-            break
-        found = table.sparkSession.createDataFrame(rows, crowded.schema)
-        part = _slot(v, F.col("_lo"), F.col("_hi"), FINE, descending)
-        out = (
-            out.join(F.broadcast(found), at, "left")
-            .withColumn("_fine", F.col("_fine") * FINE + part)
-            .drop("_lo", "_hi")
-        )
-    return out
+    order = F.col(value).desc() if descending else F.col(value)
+    split = df.repartitionByRange(*keys, order, *ties)
+    return materialize(split.withColumn("_range", F.spark_partition_id()), name)
 
 
 def range_totals(
@@ -117,13 +59,13 @@ def before_range(keys: list[str]):
 
 
 def running_totals(
-    stored: Stored, keys: list[str], sums: list[str], descending: bool = False
+    df: DataFrame, keys: list[str], value: str, sums: list[str], descending: bool = False
 ) -> DataFrame:
     """Add ``cum_<c>`` for each of ``sums``: the total over rows up to the value.
 
     Rows with an equal value all count, as in a RANGE frame.
     """
-    ranged = with_ranges(stored, keys, descending)
+    ranged = with_ranges(df, keys, value, descending)
     offsets = range_totals(ranged, keys, sums).select(
         *keys, *RANGE,
         *[
@@ -131,7 +73,7 @@ def running_totals(
             for c in sums
         ],
     )
-    order = F.col(stored.value).desc() if descending else F.col(stored.value)
+    order = F.col(value).desc() if descending else F.col(value)
     local = Window.partitionBy(*keys, *RANGE).orderBy(order).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -142,18 +84,17 @@ def running_totals(
 
 
 def ordinal_within(
-    stored: Stored, keys: list[str], ties: list[str], name: str
+    df: DataFrame, keys: list[str], value: str, ties: list[str], name: str
 ) -> DataFrame:
     """Zero-based position of each row in its group, by the value, then ``ties``.
 
-    For values that seldom repeat, such as times and ids: rows with one value are
-    ordered in one task.
+    The ranges are cut by ``ties`` too, so a value that many rows share is split.
     """
-    ranged = with_ranges(stored, keys).withColumn("_one", F.lit(1).cast("long"))
+    ranged = with_ranges(df, keys, value, ties=ties).withColumn("_one", F.lit(1).cast("long"))
     offsets = range_totals(ranged, keys, ["_one"]).select(
         *keys, *RANGE, F.coalesce(F.sum("_one").over(before_range(keys)), F.lit(0)).alias("_off")
     )
-    local = Window.partitionBy(*keys, *RANGE).orderBy(stored.value, *ties)
+    local = Window.partitionBy(*keys, *RANGE).orderBy(value, *ties)
     return (
         join_offsets(ranged, offsets, keys)
         .withColumn(name, F.col("_off") + F.row_number().over(local) - 1)

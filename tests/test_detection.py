@@ -64,29 +64,23 @@ def random_groups(seed, ties):
 
 
 @pytest.mark.parametrize("ties", [False, True])
-def test_eer_matches_brute_force_and_ranges(spark, monkeypatch, ties):
+def test_eer_matches_brute_force_and_ranges(spark, ties):
     groups = random_groups(3, ties)
     df = score_table(spark, groups)
     plain = {r["dataset_id"]: r for r in D.eer(df, ["dataset_id"]).collect()}
     for g, (s, y) in groups.items():
         assert plain[g]["eer"] == pytest.approx(brute_eer(s, y))
-    # the same through many small ranges, with crowded ones cut again
-    monkeypatch.setattr(prefix, "CROWDED", 5)
-    monkeypatch.setattr(prefix, "COARSE", 7)
-    monkeypatch.setattr(prefix, "FINE", 3)
-    for bracket_rows in (10**9, 0):
-        monkeypatch.setattr(D, "BRACKET_ROWS", bracket_rows)
+    for parts in ("1", "23"):  # ranges are shuffle partitions: one, and more than there are scores
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
         cut = {r["dataset_id"]: r for r in D.eer(df, ["dataset_id"]).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         for g in groups:
             assert cut[g]["eer"] == pytest.approx(plain[g]["eer"])
             assert cut[g]["threshold"] == pytest.approx(plain[g]["threshold"])
 
 
-def test_long_runs_around_the_crossing(spark, monkeypatch):
+def test_long_runs_around_the_crossing(spark):
     """Thresholds depend on where equal steps end, however far that is."""
-    monkeypatch.setattr(prefix, "CROWDED", 3)
-    monkeypatch.setattr(D, "BRACKET_ROWS", 0)
-    monkeypatch.setattr(prefix, "COARSE", 50)
     groups = {
         "separated": (np.r_[np.arange(100) + 200.0, np.arange(100) * 1.0], np.r_[np.ones(100), np.zeros(100)]),
         "reversed": (np.r_[np.arange(100) * 1.0, np.arange(100) + 200.0], np.r_[np.ones(100), np.zeros(100)]),
@@ -96,28 +90,44 @@ def test_long_runs_around_the_crossing(spark, monkeypatch):
         "one_class": (np.arange(9.0), np.ones(9)),
     }
     df = score_table(spark, groups)
-    for brackets in ((1, 64), (1,)):
-        monkeypatch.setattr(D, "BRACKETS", brackets)
-        got = {r["dataset_id"]: r for r in D.eer(df, ["dataset_id"]).collect()}
-        want = {r["dataset_id"]: r for r in D.eer_of_nodes(D.store_nodes(df, ["dataset_id"]), ["dataset_id"]).collect()}
-        assert set(got) == set(groups)
-        for g in groups:
-            for c in ("eer", "threshold"):
-                w = want[g][c]
-                assert got[g][c] == (None if w is None else pytest.approx(w)), (g, c)
+    results = []
+    for parts in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append({r["dataset_id"]: (r["eer"], r["threshold"]) for r in D.eer(df, ["dataset_id"]).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and set(results[0]) == set(groups)
 
 
-def test_outliers_do_not_break_ranges(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "CROWDED", 5)
+@pytest.mark.parametrize("ends", [[1e12, -1e12, 1e3], [np.inf, -np.inf, 0.0], [1.5e308, -1.5e308, 1e308]])
+def test_extreme_scores_do_not_break_ranges(spark, ends):
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 300)
-    s = np.concatenate([rng.normal(y, 1.0) * 1e-9, [1e12, -1e12, 1e3]])
+    y = rng.integers(0, 2, 4000)
+    s = np.concatenate([rng.normal(y, 1.0) * 1e-9, ends])
     y = np.concatenate([y, [1, 0, 1]])
-    df = score_table(spark, {"g": (s, y)})
+    df = score_table(spark, {"g": (s, y), "hot": (np.round(np.r_[s[:-3], 1e-9, 0, 0], 9), y)})
+    got = {r["dataset_id"]: r["eer"] for r in D.eer(df, ["dataset_id"]).collect()}
+    assert got["g"] == pytest.approx(brute_eer(s, y))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    nodes = D.score_nodes(df.filter("dataset_id = 'g'"), ["dataset_id"])
+    sizes = [r["count"] for r in D.ranged_nodes(nodes, ["dataset_id"]).groupBy("_range").count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 2 * 4003 / 4
+
+
+def test_gate_sets_the_same_rows_aside_everywhere(spark):
+    rows = [("g", s, y) for s, y in [(1.0, 0), (2.0, 1), (3.0, 0), (4.0, 1), (float("nan"), 0), (float("nan"), 1),
+                                      (None, 1), (float("inf"), 1), (float("-inf"), 0), (5.0, None), (5.0, 7)]]
+    df = spark.createDataFrame(rows, "dataset_id string, score double, label long")
+    gate = D.score_gate(df, ["dataset_id"]).first().asDict()
+    assert gate == {"dataset_id": "g", "n": 11, "n_null": 1, "n_nan": 2, "n_no_label": 2, "n_infinite": 2, "n_used": 6}
+    at = D.confusion_at(df, ["dataset_id"], 2.5).first()
+    assert (at["tn"], at["fp"], at["fn"], at["tp"]) == (2, 1, 1, 2)
+    assert D.eer_report(df).first()["n"] == 6
+    s, y = zip(*[(s, y) for _, s, y in rows if y in (0, 1) and s is not None and s == s])
     got = D.eer(df, ["dataset_id"]).first()
-    assert got["eer"] == pytest.approx(brute_eer(s, y))
-    ranged = prefix.with_ranges(D.store_nodes(df, ["dataset_id"]), ["dataset_id"], True)
-    assert max(r["count"] for r in ranged.groupBy(*prefix.RANGE).count().collect()) <= 5
+    assert got["eer"] == pytest.approx(brute_eer(s, y)) and got["threshold"] == got["threshold"]
+    only_nan = df.filter("isnan(score)")
+    assert D.eer(only_nan, ["dataset_id"]).count() == 0
 
 
 def test_ranks_of_tied_scores(spark, monkeypatch):
@@ -127,24 +137,20 @@ def test_ranks_of_tied_scores(spark, monkeypatch):
     assert {r["i"]: r["score"] for r in got.collect()} == dict(enumerate(sorted(s)))
 
 
-def test_running_totals(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "CROWDED", 4)
-    monkeypatch.setattr(prefix, "COARSE", 5)
+def test_running_totals(spark):
     rng = np.random.default_rng(1)
     rows = [("ab"[i % 3 == 0], float(v), int(i)) for i, v in enumerate(rng.integers(0, 30, 200))]
     df = spark.createDataFrame(rows, "g string, v double, w long")
     for down in (False, True):
-        stored = prefix.store(df, "v", "t")
-        for r in prefix.running_totals(stored, ["g"], ["w"], descending=down).collect():
+        for r in prefix.running_totals(df, ["g"], "v", ["w"], descending=down).collect():
             want = sum(w for g, v, w in rows if g == r["g"] and (v >= r["v"] if down else v <= r["v"]))
             assert r["cum_w"] == want
 
 
-def test_ordinal_within(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "CROWDED", 4)
+def test_ordinal_within(spark):
     rows = [("k", float(i % 17), i) for i in range(100)]
     df = spark.createDataFrame(rows, "g string, v double, id long")
-    got = {r["id"]: r["pos"] for r in prefix.ordinal_within(prefix.store(df, "v", "t"), ["g"], ["id"], "pos").collect()}
+    got = {r["id"]: r["pos"] for r in prefix.ordinal_within(df, ["g"], "v", ["id"], "pos").collect()}
     order = sorted(rows, key=lambda r: (r[1], r[2]))
     assert got == {r[2]: i for i, r in enumerate(order)}
 
@@ -161,7 +167,7 @@ def test_properties(spark):
             assert 0 <= r["eer"] <= 1
 
 
-def test_by_group_matches_separate_sets(spark, monkeypatch):
+def test_by_group_matches_separate_sets(spark):
     rng = np.random.default_rng(5)
     rows = []
     for ds in "xy":
@@ -172,9 +178,10 @@ def test_by_group_matches_separate_sets(spark, monkeypatch):
     rows += [("z", "A", 1.0, 1), ("w", None, 1.0, 0)]
     rows += [("perfect", "A", 2.0, 1), ("perfect", None, 1.0, 0)]
     df = spark.createDataFrame(rows, "dataset_id string, attack_type string, score double, label long")
-    for crowded in (250_000, 6):
-        monkeypatch.setattr(prefix, "CROWDED", crowded)
+    for parts in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {(r["dataset_id"], r["attack_type"]): r for r in D.eer_by_group(df, ["dataset_id"]).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert set(got) == {(d, k) for d, k, _, y in rows if y and k}
         for (ds, kind), r in got.items():
             part = [(s, y) for d, k, s, y in rows if d == ds and (y == 0 or k == kind)]
@@ -196,7 +203,7 @@ def test_rates_of_an_empty_class(spark):
     assert row["fpr"] is None and row["fnr"] == 0.5
 
 
-def test_bootstrap_follows_the_resampling_law(spark, monkeypatch):
+def test_bootstrap_follows_the_resampling_law(spark):
     rng = np.random.default_rng(11)
     y = (np.arange(240) % 3 > 0).astype(int)
     s = np.round(rng.normal(y * 1.0, 1.0), 1)
@@ -205,12 +212,10 @@ def test_bootstrap_follows_the_resampling_law(spark, monkeypatch):
     for _ in range(300):
         pos, neg = rng.choice(s[y == 1], (y == 1).sum()), rng.choice(s[y == 0], (y == 0).sum())
         direct.append(brute_eer(np.concatenate([pos, neg]), np.r_[np.ones(len(pos)), np.zeros(len(neg))]))
-    for crowded in (250_000, 8):
-        monkeypatch.setattr(prefix, "CROWDED", crowded)
-        got = [r["eer"] for r in bootstrap.eer_replicates(df, 300).collect()]
-        assert len(got) == 300
-        assert np.mean(got) == pytest.approx(np.mean(direct), abs=0.01)
-        assert np.std(got) == pytest.approx(np.std(direct), rel=0.25)
+    got = [r["eer"] for r in bootstrap.eer_replicates(df, 300).collect()]
+    assert len(got) == 300
+    assert np.mean(got) == pytest.approx(np.mean(direct), abs=0.01)
+    assert np.std(got) == pytest.approx(np.std(direct), rel=0.25)
 
 
 def test_bootstrap_is_repeatable_and_bounded(spark):
@@ -226,13 +231,22 @@ def test_bootstrap_is_repeatable_and_bounded(spark):
     assert bootstrap.eer_bootstrap(df, 0).count() == 0
 
 
-def test_roc_has_no_window_over_a_whole_group(spark, sf_dir, monkeypatch):
-    """Row-level windows must be partitioned by range, not by dataset alone."""
+def _shape(df):
+    """Operators of the plan of a stored curve, without names and numbers."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line.strip(" :+-|").split(" ")[0] for line in lines]
+
+
+def test_roc_has_no_window_over_a_whole_group(spark):
+    """Row-level windows are partitioned by range, and the plan is the same at any size."""
     from detlake.catalog.views import view
 
-    monkeypatch.setattr(prefix, "CROWDED", 100)
-    df = D.roc_nodes(view(spark, sf_dir, "v_line_scores"), ["dataset_id"])
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    rows = [line for line in plan.splitlines() if "Window [" in line and "score#" in line]
-    assert rows and all("_coarse" in line for line in rows)
-    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    shapes = []
+    for sf_dir in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        df = D.roc_nodes(view(spark, sf_dir, "v_line_scores"), ["dataset_id"])
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        rows = [line for line in plan.splitlines() if "Window [" in line and "score#" in line]
+        assert rows and all("_range" in line for line in rows)
+        assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+        shapes.append(_shape(df))
+    assert shapes[0] == shapes[1]
