@@ -5,7 +5,9 @@ of ``PREFIXES`` bytes of longer ones, which catch inflected and compound forms;
 a beginning that 2, 3 or 5 different words of a text share is a further term. Terms
 are hashed to ``BINS`` bins, and a text has each of its terms once. A linear fit with an L1 penalty finds the
 terms that matter, and the machine then learns their weights and ``FACTORS``
-factors each, so that a pair of terms can say what neither says alone.
+factors each, so that a pair of terms can say what neither says alone. The counts
+per term and label that decide which ``SCREENED`` terms the fit looks at are a Spark
+job.
 
 The fit runs on the driver over a bounded sample: at most about ``PER_CLASS``
 labelled texts of each class, weighted back to the class shares. Scoring is one
@@ -26,15 +28,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from detlake.llm.sample import bounded, fold
 from detlake.llm.text import NOT_ALNUM, Words, hashes, mix, pieces, words
+from detlake.session import materialize
 
 BINS = 1 << 18
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
-PER_CLASS = 10_000
+PER_CLASS = 6000
+SCREENED = 4096
 FACTORS = 8
 L1, L2 = 1e-3, 1e-3
 LINEAR_STEPS, STEPS, RATE = 200, 150, 0.05
-ACTIVE = 2048
+ACTIVE = 512
 
 
 def _terms(column: pa.Array):
@@ -149,6 +153,20 @@ def fit_features(y: np.ndarray, weight: np.ndarray, terms: list[np.ndarray]) ->
     return Model(b, slot, w, v)
 
 
+def _telling(rows: DataFrame) -> np.ndarray:
+    """The ``SCREENED`` bins whose shares among the texts of both labels differ most, in standard errors."""
+    size = dict.fromkeys((0, 1), 0) | {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not all(size.values()):
+        return np.zeros(0, np.int32)
+    counts = rows.select("label", F.explode("terms").alias("bin")).groupBy("bin").agg(
+        F.count("*").alias("n"), F.sum("label").alias("n1")).toArrow()  # at most BINS rows
+    bins, n, n1 = (counts[c].to_numpy() for c in ("bin", "n", "n1"))
+    share = n / (size[0] + size[1])
+    gap = n1 / size[1] - (n - n1) / size[0]
+    z = np.abs(gap) / np.sqrt(share * (1 - share) * (1 / size[0] + 1 / size[1]) + 1e-9)
+    return np.sort(bins[np.lexsort((bins, -z))[:SCREENED]])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = PER_CLASS) -> Model:
     """Learn ``toxic`` of ``labels`` from the texts of the documents where ``train`` holds."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)")
@@ -156,7 +174,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_cla
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(bounded(labels, "label", per_class))  # at most about 2 * per_class rows
     rows = docs.select("doc_id", F.lower("text").alias("text")).join(chosen, "doc_id").select("label", "weight", "text")
-    found = rows.mapInArrow(_feature_batches, "label int, weight double, terms array<int>").toArrow()
+    rows = materialize(rows.mapInArrow(_feature_batches, "label int, weight double, terms array<int>"), "toxicity-terms")
+    shared = docs.sparkSession.sparkContext.broadcast(_telling(rows))
+
+    def screened(batches):
+        for batch in batches:
+            terms = batch.column(2)
+            flat, row = terms.flatten().to_numpy(), np.repeat(np.arange(len(batch)), terms.value_lengths().to_numpy())
+            here = np.isin(flat, shared.value)
+            at = np.searchsorted(row[here], np.arange(len(batch) + 1)).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(at), pa.array(flat[here]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], batch.schema.names)
+
+    found = rows.mapInArrow(screened, rows.schema).toArrow()
     terms = found["terms"].combine_chunks()
     parts = np.split(terms.flatten().to_numpy(), np.cumsum(terms.value_lengths().to_numpy()))[:-1] if len(terms) else []
     return fit_features(found["label"].to_numpy().astype(float), found["weight"].to_numpy(), parts)
