@@ -236,16 +236,23 @@ x as (select split_part(gk, '|', 1) dataset_id, split_part(gk, '|', 2) rep, eer
 """
 
 
-@query("eer_bootstrap", SQL_BOOT + """select dataset_id, round(quantile_cont(eer, 0.025), 9) lo,
+@query("eer_bootstrap_md5", SQL_BOOT + """select dataset_id, round(quantile_cont(eer, 0.025), 9) lo,
  round(quantile_cont(eer, 0.975), 9) hi, count(*) n_boot from x group by dataset_id""", ["v_scores"])
-def q_eer_bootstrap(spark, sf_dir):
+def q_eer_bootstrap_md5(spark, sf_dir):
     out = bootstrap.eer_bootstrap_hashed(_scores(spark, sf_dir), 5)
     return out.select("dataset_id", rounded("lo", 9).alias("lo"), rounded("hi", 9).alias("hi"), "n_boot")
 
 
-@query("eer_bootstrap_multinomial")
-def q_eer_bootstrap_multinomial(spark, sf_dir):
-    return bootstrap.eer_bootstrap(_scores(spark, sf_dir), 100)
+@query("eer_bootstrap", f"select dataset_id, cast(100 as bigint) n_boot, true around, true narrow from ({EER_SCORES}) where eer is not null",
+       ["v_scores"])
+def q_eer_bootstrap(spark, sf_dir):
+    """The default form: its interval holds the EER of the data and is no wider than chance allows."""
+    s = _scores(spark, sf_dir)
+    sizes = s.groupBy("dataset_id").agg(F.least(F.sum("label"), F.sum(1 - F.col("label"))).alias("least"))
+    got = bootstrap.eer_bootstrap(s, 100).join(D.eer(s, ["dataset_id"]), "dataset_id").join(sizes, "dataset_id")
+    around = F.col("eer").between(F.col("lo"), F.col("hi"))
+    narrow = F.col("hi") - F.col("lo") <= 5 / F.sqrt("least")
+    return got.select("dataset_id", "n_boot", around.alias("around"), narrow.alias("narrow"))
 
 
 SQL_REPORT = f"""with e as ({EER_SCORES})

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from typing import ClassVar
-
 from pyspark.sql import functions as F
 
 from detlake import fixed_values as fv
 from detlake.catalog.base import query, rounded
 from detlake.catalog.views import view
-from detlake.functions import signal as S
+from detlake.functions import recipes, signal as S
 from detlake.operators import frames as Fr
 from detlake.operators.quality import contract_failures
 from detlake.plans import extract as X
@@ -20,23 +17,12 @@ from detlake.session import shared_path
 SR, N_FFT, HOP, WIN, N_FILTER, N_MELS, CEPS, WIDTH = 16000, 16, 4, 12, 6, 5, 6, 9
 
 
-@dataclass(frozen=True)
-class SmallLfcc(X.Lfcc):
-    name: ClassVar[str] = "lfcc_small"
-    n_fft: int = N_FFT
-    hop_length: int = HOP
-    win_length: int = WIN
-    n_filter: int = N_FILTER
-    n_lfcc: int = CEPS
-
-
-@dataclass(frozen=True)
-class SmallLogMel(X.LogMel):
-    name: ClassVar[str] = "logmel_small"
-    n_fft: int = N_FFT
-    hop_length: int = HOP
-    win_length: int = WIN
-    n_mels: int = N_MELS
+SMALL = {
+    "target_sr": SR, "n_fft": N_FFT, "hop_length": HOP, "win_length": WIN, "n_filter": N_FILTER, "n_lfcc": CEPS,
+    "n_mels": N_MELS, "with_deltas": True, "delta_width": WIDTH, "log_eps": 1e-10, "fmin": 0.0, "fmax": None,
+}
+SMALL_LFCC = recipes.lfcc("lfcc_small", SMALL)
+SMALL_LOGMEL = recipes.logmel("logmel_small", SMALL)
 
 
 def _frames(spark, sf_dir):
@@ -186,27 +172,6 @@ from (select *, case when i between {LEFT} and {LEFT + WIN - 1} then 0.5-0.5*cos
 group by dataset_id, utt_id, frame, k"""
 
 
-class _Power(X.Extractor):
-    """Spectrum only, to check the transform on its own."""
-
-    name = "power_small"
-    channels = N_FFT // 2 + 1
-
-    def spec(self):
-        return {"name": self.name}
-
-    def matrix(self, y):
-        return S.power(y, N_FFT, HOP, WIN)
-
-
-class _Bank(_Power):
-    name = "bank_small"
-    channels = N_FILTER
-
-    def matrix(self, y):
-        return S.power(y, N_FFT, HOP, WIN) @ S.linear_bank(SR, N_FFT, N_FILTER).T
-
-
 def _long(spark, sf_dir, extractor, index, value, digits):
     frames = X.extracted(X.extract(_waves(spark, sf_dir), extractor, double=True))
     rows = frames.select("dataset_id", "utt_id", "frame", F.posexplode("coeffs").alias(index, value))
@@ -215,7 +180,7 @@ def _long(spark, sf_dir, extractor, index, value, digits):
 
 @query("power_spectrum", f"select dataset_id, utt_id, frame, k, round(e, 7)+0.0 e from ({SQL_POWER})", ["v_wave"])
 def q_power_spectrum(spark, sf_dir):
-    return _long(spark, sf_dir, _Power(), "k", "e", 7)
+    return _long(spark, sf_dir, recipes.spectrum("power_small", SMALL), "k", "e", 7)
 
 
 def sql_triangles(edges: str, n: int, norm: bool) -> str:
@@ -236,7 +201,7 @@ group by dataset_id, utt_id, frame, m"""
 
 @query("linear_filterbank", f"select dataset_id, utt_id, frame, m, round(e, 7)+0.0 e from ({SQL_BANK})", ["v_wave"])
 def q_linear_filterbank(spark, sf_dir):
-    return _long(spark, sf_dir, _Bank(), "m", "e", 7)
+    return _long(spark, sf_dir, recipes.bands("bands_small", SMALL), "m", "e", 7)
 
 
 SQL_CEPS = f"""select dataset_id, utt_id, utt_id || ':' || cast(c as string) uc, frame, cast(c as integer) c,
@@ -250,7 +215,7 @@ select dataset_id, utt_id, frame, c, round(v, 5)+0.0 v from ceps
 union all select dataset_id, utt_id, frame, cast(c+{CEPS} as integer), round(d, 5)+0.0 from d1
 union all select dataset_id, utt_id, frame, cast(c+{2 * CEPS} as integer), round(d, 5)+0.0 from d2""", ["v_wave"])
 def q_lfcc(spark, sf_dir):
-    return _long(spark, sf_dir, SmallLfcc(), "c", "v", 5)
+    return _long(spark, sf_dir, SMALL_LFCC, "c", "v", 5)
 
 
 MEL_TOP = float(S.hz_to_mel(SR / 2.0))
@@ -264,16 +229,16 @@ MEL_EDGES = f"""select j, case when j*{MEL_TOP!r}/{N_MELS + 1} < {KNEE!r}
 from ({SQL_POWER}) p join ({sql_triangles(MEL_EDGES, N_MELS, True)}) f using (k)
 group by dataset_id, utt_id, frame, m""", ["v_wave"])
 def q_logmel(spark, sf_dir):
-    return _long(spark, sf_dir, SmallLogMel(), "m", "v", 5)
+    return _long(spark, sf_dir, SMALL_LOGMEL, "m", "v", 5)
 
 
 @query("feature_variants", " union all ".join(
     f"select dataset_id, '{e.feature_id}' feature_id, {e.channels} channels, count(*)*17 n_frames from v_wave group by dataset_id"
-    for e in (SmallLfcc(), SmallLogMel())), ["v_wave"])
+    for e in (SMALL_LFCC, SMALL_LOGMEL)), ["v_wave"])
 def q_feature_variants(spark, sf_dir):
     """Two parameter sets over the same signals stay apart by ``feature_id``."""
     out = []
-    for e in (SmallLfcc(), SmallLogMel()):
+    for e in (SMALL_LFCC, SMALL_LOGMEL):
         frames = X.extracted(X.extract(_waves(spark, sf_dir), e))
         out.append(frames.groupBy("dataset_id").agg(
             F.lit(e.feature_id).alias("feature_id"), F.max(F.size("coeffs")).alias("channels"),
@@ -295,7 +260,7 @@ SQL_RUN = """select dataset_id, cast(count(*) as bigint) total,
 
 @query("extract_features", SQL_RUN, ["v_wave"])
 def q_extract_features(spark, sf_dir):
-    return X.extract_features(_flawed_waves(spark, sf_dir), SmallLfcc(), shared_path(spark, "features"))
+    return X.extract_features(_flawed_waves(spark, sf_dir), SMALL_LFCC, shared_path(spark, "features"))
 
 
 @query("run_stats", SQL_RUN.replace("cast(count(*) as bigint) total,\n cast(sum(case when cast(substr(utt_id,2) as bigint)%25=3 then 0 else 1 end) as bigint) written,\n cast(0 as bigint) skipped",
@@ -303,15 +268,15 @@ def q_extract_features(spark, sf_dir):
 def q_run_stats(spark, sf_dir):
     """Counts of a second run: everything that worked is skipped, failures fail again."""
     root = shared_path(spark, "features")
-    X.extract_features(_flawed_waves(spark, sf_dir), SmallLfcc(), root)
-    return X.extract_features(_flawed_waves(spark, sf_dir), SmallLfcc(), root)
+    X.extract_features(_flawed_waves(spark, sf_dir), SMALL_LFCC, root)
+    return X.extract_features(_flawed_waves(spark, sf_dir), SMALL_LFCC, root)
 
 
-@query("write_features", f"""select dataset_id, '{SmallLfcc().feature_id}' feature_id, count(*) n_utt, count(*)*17 n_rows
+@query("write_features", f"""select dataset_id, '{SMALL_LFCC.feature_id}' feature_id, count(*) n_utt, count(*)*17 n_rows
 from v_wave where cast(substr(utt_id,2) as bigint)%25<>3 group by dataset_id""", ["v_wave"])
 def q_write_features(spark, sf_dir):
     root = shared_path(spark, "features")
-    X.extract_features(_flawed_waves(spark, sf_dir), SmallLfcc(), root)
+    X.extract_features(_flawed_waves(spark, sf_dir), SMALL_LFCC, root)
     t = X.read_table(spark, root).filter(F.col("status") == "ok")
     return t.groupBy("dataset_id", "feature_id").agg(
         F.count_if(F.col("frame") == 0).alias("n_utt"), F.count("*").alias("n_rows"))
@@ -323,8 +288,8 @@ def q_scan_features(spark, sf_dir):
     from detlake.sources.tables import scan_features
 
     root = shared_path(spark, "features")
-    X.extract_features(_flawed_waves(spark, sf_dir), SmallLfcc(), root)
-    frames = scan_features(spark, root, SmallLfcc().feature_id, ["emb1"])
+    X.extract_features(_flawed_waves(spark, sf_dir), SMALL_LFCC, root)
+    frames = scan_features(spark, root, SMALL_LFCC.feature_id, ["emb1"])
     return frames.groupBy("dataset_id", "utt_id").agg(
         F.count("*").alias("n_frames"), F.min(F.size("coeffs")).alias("channels"))
 
@@ -343,7 +308,7 @@ def q_incremental_features(spark, sf_dir):
             F.concat(F.lit("emb"), F.col("vec_id") % 3).alias("dataset_id"),
             F.concat(F.lit("E"), "vec_id").alias("utt_id"),
             F.lit(SR).alias("sr"), F.col("embedding").alias("samples"))
-        incremental_features(waves, SmallLfcc(), root, checkpoint)
+        incremental_features(waves, SMALL_LFCC, root, checkpoint)
     t = X.read_table(spark, root).filter(F.col("status") == "ok")
     return t.groupBy("dataset_id").agg(
         F.count_if(F.col("frame") == 0).alias("n_utt"), F.count("*").alias("n_rows"))

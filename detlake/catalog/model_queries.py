@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from detlake import fixed_values as fv
 from detlake.catalog.base import query, rounded
@@ -67,27 +69,60 @@ def _pooled(spark, sf_dir):
     return materialize(p.join(_labels(spark, sf_dir), ["dataset_id", "utt_id"]).withColumn("split", split), "pooled")
 
 
-@query("fit_scorer")
+@query("fit_scorer", f"""select cast(t as integer) term, true flat, (select count(*) from v_wave
+ where cast(substr(utt_id,2) as bigint)%10<6) n_train from range({2 * C + 1}) r(t)""", ["v_wave"])
 def q_fit_scorer(spark, sf_dir):
-    """Coefficients of the class-weighted fit."""
-    model = Sc.fit_scorer(_pooled(spark, sf_dir).filter("split = 'train'"))
-    coefs = [float(v) for v in model.coefficients] + [float(model.intercept)]
-    return spark.createDataFrame(list(enumerate(coefs)), "term int, weight double")
-
-
-@query("batch_score")
+    """The class-weighted log loss is flat at the fit: every part of its gradient is near zero."""
+    train = _pooled(spark, sf_dir).filter("split = 'train'")
+    model = Sc.fit_scorer(train, max_iter=200)
+    w = Sc.class_weight(train)
+    scored = Sc.batch_score(model, train.withColumn("x", F.col("features")))
+    miss = (F.col("label") - 1 / (1 + F.exp(-F.col("score")))) * F.when(F.col("label") == 1, w).otherwise(1.0)
+    terms = [F.col("x")[i] for i in range(2 * C)] + [F.lit(1.0)]
+    parts = [
+        F.struct(F.lit(i).alias("term"), (F.abs(F.sum(miss * x)) < 1e-3 * F.sum(F.abs(miss * x))).alias("flat"))
+        for i, x in enumerate(terms)
+    ]
+    return scored.agg(F.array(*parts).alias("t"), F.count("*").alias("n_train")).select(F.inline("t"), "n_train")
+
+
+@query("batch_score", "select dataset_id, utt_id, label, true agrees from v_wave", ["v_wave"])
 def q_batch_score(spark, sf_dir):
+    """Scores of all keys against intercept and coefficients written out as a sum."""
     p = _pooled(spark, sf_dir)
     model = Sc.fit_scorer(p.filter("split = 'train'"))
-    return Sc.batch_score(model, p.filter("split = 'test'"))
+    scored = Sc.batch_score(model, p.withColumn("x", F.col("features")))
+    total = F.lit(float(model.intercept))
+    for i, c in enumerate(model.coefficients):
+        total = total + F.lit(float(c)) * F.col("x")[i]
+    agrees = F.abs(F.col("score") - total) <= 1e-9 * (1 + F.abs(total))
+    return scored.select("dataset_id", "utt_id", "label", agrees.alias("agrees"))
+
 
+PLANTED = ["score", "-score", "score + 30 * label", "0.0"]
+SQL_PLANTED = " union all ".join(f"select {i} candidate, label, cast({s} as double) score from v_scores" for i, s in enumerate(PLANTED))
 
-@query("select_by_val_eer")
+
+@query("select_by_val_eer", f"""with p as ({SQL_PLANTED}), e as ({sql_eer('p', 'candidate')})
+select cast(candidate as integer) candidate, round(eer, 9) val_eer, eer = min(eer) over () best from e""", ["v_scores"])
 def q_select_by_val_eer(spark, sf_dir):
+    """Planted candidates: the scores as they are, reversed, shifted for spoof, and constant."""
+    s = view(spark, sf_dir, "v_scores")
+    planted = [s.select(F.lit(i).alias("candidate"), "label", F.expr(e).cast("double").alias("score")) for i, e in enumerate(PLANTED)]
+    best, found = Sc.least_eer(reduce(DataFrame.unionByName, planted))
+    return found.select("candidate", rounded("val_eer", 9).alias("val_eer"), (F.col("candidate") == best).alias("best"))
+
+
+@query("fit_and_select", """select dataset_id, count(*) n_scored, true in_range from v_wave group by dataset_id""", ["v_wave"])
+def q_fit_and_select(spark, sf_dir):
+    """Three fits chosen by dev EER; the chosen one scores all frames through the scorer interface."""
     p = _pooled(spark, sf_dir)
     grid = [{"reg": 0.0}, {"reg": 0.1}, {"reg": 0.1, "weight": "none"}]
-    best, _, found = Sc.select_by_val_eer(p.filter("split = 'train'"), p.filter("split = 'dev'"), grid)
-    return found.withColumn("best", F.col("candidate") == best)
+    _, model, found = Sc.select_by_val_eer(p.filter("split = 'train'"), p.filter("split = 'dev'"), grid)
+    ok = found.filter("val_eer between 0 and 1").count() == len(grid)
+    scored = Sc.SCORERS.get("logistic")(model, C, T).score(_frames(spark, sf_dir))
+    finite = F.count_if(F.abs("score") < float("inf")) == F.count("*")
+    return scored.groupBy("dataset_id").agg(F.count("*").alias("n_scored"), (finite & F.lit(ok)).alias("in_range"))
 
 
 SQL_EVAL = f"""with s as (select * from ({sql_statpool()}) where cast(substr(utt_id,2) as bigint)%200<>7),
@@ -107,8 +142,7 @@ def q_evaluate_experiment(spark, sf_dir):
     selectors = [("emb0", "test"), ("emb1", "test"), ("emb2", "test")]
     out = evaluate_experiment(
         manifest, selectors,
-        lambda rows: Sc.score_statpool_mlp(
-            present_in_cache(have, rows), C, T, WEIGHTS),
+        lambda rows: Sc.SCORERS.get("statpool_mlp")(WEIGHTS, C, T).score(present_in_cache(have, rows)),
         RunConditions("tiny", 1, "statpool_mlp", "raw4", T, "fixed", selectors),
         shared_path(spark, "scores"), n_boot=0, min_coverage=0.9,
     )

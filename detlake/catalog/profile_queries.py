@@ -13,6 +13,9 @@ COUNTS = """cast(sum(case when label=0 then 1 else 0 end) as bigint) bonafide,
  cast(sum(case when label=1 then 1 else 0 end) as bigint) spoof, count(*) total"""
 
 
+MANIFEST_COLUMNS = [f.name for f in schema.MANIFEST if f.dataType.simpleString() != "double"]
+
+
 def _manifest(spark, sf_dir):
     return view(spark, sf_dir, "v_manifest")
 
@@ -62,9 +65,15 @@ def q_column_profile(spark, sf_dir):
     return P.column_profile(_manifest(spark, sf_dir))
 
 
-@query("column_profile_approx")
+@query("column_profile_approx", f"""select "column", count("value") non_null, true close
+ from ({SQL_LONG}) group by "column" """, ["v_manifest"])
 def q_column_profile_approx(spark, sf_dir):
-    return P.column_profile_approx(_manifest(spark, sf_dir))
+    """The distinct counts of one pass, held against the exact ones: within five standard errors."""
+    m = _manifest(spark, sf_dir)
+    exact = P.column_profile(m).select("column", F.col("n_unique").alias("n"))
+    got = P.column_profile_approx(m, 0.02).join(exact, "column")
+    close = F.abs(F.col("n_unique") - F.col("n")) <= F.greatest(0.1 * F.col("n"), F.lit(1))
+    return got.select("column", "non_null", close.alias("close"))
 
 
 @query("value_counts_capped", f"""with l as (select * from ({SQL_LONG}) where "value" is not null)
@@ -75,9 +84,15 @@ def q_value_counts_capped(spark, sf_dir):
     return P.value_counts_capped(_manifest(spark, sf_dir))
 
 
-@query("table_fingerprint")
+SQL_ROW_MD5 = "select md5(concat_ws(chr(31), " + ", ".join(
+    f"""coalesce(cast("{c}" as varchar), '\\N')""" for c in MANIFEST_COLUMNS) + ")) h from v_manifest"
+
+
+@query("table_fingerprint", f"""select count(*) n_rows, md5(concat_ws(',', cast(count(*) as varchar), """ + ", ".join(
+    f"cast(sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint) as varchar)" for i in range(4)) + f""")) fingerprint
+from ({SQL_ROW_MD5})""", ["v_manifest"])
 def q_table_fingerprint(spark, sf_dir):
-    return P.table_fingerprint(_manifest(spark, sf_dir))
+    return P.table_fingerprint(_manifest(spark, sf_dir).select(*MANIFEST_COLUMNS))
 
 
 @query("pos_weight", """select dataset_id, round(cast(sum(1-label) as double)/sum(label), 9) pos_weight

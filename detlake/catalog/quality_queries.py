@@ -19,12 +19,6 @@ def _dirty(spark, sf_dir):
 SENT = "('', '-', 'bonafide', 'unknown', 'none', 'n/a')"
 
 
-@query("dq_missing_columns", """select "column" from (select unnest(['dataset_id','utt_id','path','label','split']) "column")
- where "column" not in ('dataset_id', 'utt_id', 'label') and (select count(*) from orders) > 0""")
-def q_missing_columns(spark, sf_dir):
-    return Q.missing_columns(_dirty(spark, sf_dir).drop("path", "split"))
-
-
 @query("dq_null_required", " union all ".join(
     f"select '{c}' \"column\", cast(sum(case when {c} is null then 1 else 0 end) as bigint) n_bad from v_dirty"
     for c in ["dataset_id", "utt_id", "path", "label", "split"]), ["v_dirty"])
@@ -110,13 +104,14 @@ def q_protocol_duplicate(spark, sf_dir):
     return A.protocol_duplicates(rows, ["source"])
 
 
-@query("dq_protocol_width", """select cast(rn as bigint) line_no, cast(n as integer) n_fields from
-(select row_number() over (order by doc_id) rn, case when doc_id%10=3 then 4 else 13 end n from v_keys) where n<6""", ["v_keys"])
+@query("dq_protocol_width", """select source, rn line_no, cast(n as integer) n_fields from
+(select split_part(line, ' ', 1) source, row_number() over (partition by split_part(line, ' ', 1) order by doc_id) rn,
+ case when doc_id%10=3 then 4 else 13 end n from v_keys) where n<6""", ["v_keys"])
 def q_protocol_width(spark, sf_dir):
-    """Short lines of one protocol file, by their number among non-blank lines.
+    """Short lines of a protocol file per source, by their number among non-blank lines.
 
-    Every tenth line is cut and blank lines are put between, then the file is
-    written by one task so that the file order is the document order.
+    Every tenth line is cut and blank lines are put between; each file is written
+    by one task in document order.
     """
     from detlake.session import shared_path
 
@@ -124,10 +119,13 @@ def q_protocol_width(spark, sf_dir):
     cut = F.when(F.col("doc_id") % 10 == 3, F.substring_index("line", " ", 4)).otherwise(F.col("line"))
     text = F.when(F.col("doc_id") % 6 == 0, F.concat(cut, F.lit("\n \n"))).otherwise(cut)
     path = shared_path(spark, "protocol")
-    v.select("doc_id", text.alias("value")).orderBy("doc_id").coalesce(1).select("value").write.text(path)
+    rows = v.select(F.substring_index("line", " ", 1).alias("source"), "doc_id", text.alias("value"))
+    rows = rows.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id")
+    rows.write.partitionBy("source").text(path)
     lines = proto.with_line_number(proto.read_protocol(spark, path))
     short = proto.short_lines(lines, fv.KEYS_8_FIELDS)
-    return short.select(F.col("line_no").cast("long").alias("line_no"), "n_fields")
+    source = F.regexp_extract("file", "source=([^/]+)/", 1)
+    return short.select(source.alias("source"), F.col("line_no").cast("long").alias("line_no"), "n_fields")
 
 
 SQL_RE = "'.*/'"
@@ -153,19 +151,22 @@ def q_unlabelled_audio(spark, sf_dir):
     return A.unlabelled_audio(files, key_rows(spark, sf_dir), ["utt_id"]).select("path")
 
 
-@query("dq_protocol_file_unique", """select 'dev' split_word, cast(2 as bigint) n_files where (select count(*) from orders)>0
-union all select 'eval', 0 where (select count(*) from orders)>0""")
+@query("dq_protocol_file_unique", """with f as (select word, count(distinct o_orderkey % 4) n from v_protocol
+ where word='train' and o_orderkey%4=1 or word='dev' or word='eval' and o_orderkey<0 group by word)
+select w split_word, cast(coalesce(n, 0) as bigint) n_files from (values ('train'), ('dev'), ('eval')) v(w)
+left join f on word=w where coalesce(n, 0)<>1""", ["v_protocol"])
 def q_protocol_file_unique(spark, sf_dir):
-    """Protocol files with two for dev and none for eval, written from the orders."""
-    word = F.regexp_extract("file", r"cm\.(\w+)/", 1)
+    """One file per word and order group: one for train, several for dev, none for eval."""
     from detlake.session import shared_path
 
     root = shared_path(spark, "protocols")
-    v = view(spark, sf_dir, "v_protocol")
-    for name, keep in [("cm.train", "word = 'train'"), ("cm.dev", "word = 'dev'"), ("cm.dev2", "word = 'eval'")]:
-        v.filter(keep).select("line").write.text(f"{root}/{name}")
-    lines = proto.read_protocol(spark, f"{root}/*")
-    return A.protocol_file_problems(lines.withColumn("file", word))
+    group = F.concat(F.lit("g"), F.col("o_orderkey") % 4)
+    v = view(spark, sf_dir, "v_protocol").withColumn("grp", group)
+    kept = v.filter("word = 'train' and o_orderkey % 4 = 1 or word = 'dev' or word = 'eval' and o_orderkey < 0")
+    kept.select("word", "grp", "line").repartition("word", "grp").write.partitionBy("word", "grp").text(root)
+    lines = proto.read_protocol(spark, root)
+    part = lambda name: F.regexp_extract("file", rf"{name}=(\w+)/", 1)
+    return A.protocol_file_problems(lines.withColumn("file", F.concat_ws(".", part("word"), part("grp"))))
 
 
 @query("spec_preflight", """with w as (select distinct source name from documents)

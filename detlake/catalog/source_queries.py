@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import uuid
 import wave
 
 import numpy as np
@@ -14,11 +17,12 @@ from detlake.catalog.base import query, rounded
 from detlake.catalog.views import table, view
 from detlake.functions import labels as L, paths as P
 from detlake.operators import resume
+from detlake.plans.manifest import build_manifest
 from detlake.session import shared_path
 from detlake.sinks import tables as sinks
 from detlake.sources import adapters as A, protocol as proto, tables as src
 from detlake.sources.listing import describe_listing, scan_audio_listing
-from detlake.sources.waveforms import decode_wav
+from detlake.sources.waveforms import decode_wav, waveform_ingest
 
 
 # --- stored inputs derived from the tables -----------------------------------
@@ -70,15 +74,16 @@ def q_protocol_fields(spark, sf_dir):
     return key_rows(spark, sf_dir).drop("file", "block", "pos")
 
 
-@query("scan_audio_listing")
+@query("scan_audio_listing", """select 'event_type=' || event_type folder, '.wav' suffix, count(distinct event_type) n_files,
+ true has_bytes from events group by event_type""")
 def q_scan_audio_listing(spark, sf_dir):
-    """Files with audio names that the events are written to, one folder per type."""
+    """Files with audio names that the events are written to: one file in a folder per type."""
     root = shared_path(spark, "listing")
     events = table(spark, sf_dir, "events").select("event_type", "user_id", "value")
-    events.write.partitionBy("event_type").option("extension", "wav").csv(root)
+    events.repartition("event_type").write.partitionBy("event_type").option("extension", "wav").csv(root)
     files = scan_audio_listing(spark, root)
     return files.groupBy(P.path_part(F.col("rel"), 0).alias("folder"), "suffix").agg(
-        F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+        F.count("*").alias("n_files"), (F.sum("length") > 0).alias("has_bytes"))
 
 
 SQL_NA = """('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>',
@@ -117,15 +122,20 @@ def q_write_csv(spark, sf_dir):
         F.count("*").alias("n_rows"), F.countDistinct("utt_id").alias("n_utt"))
 
 
-def _stored_manifest(spark, sf_dir):
-    path = shared_path(spark, "manifest")
-    view(spark, sf_dir, "v_manifest").write.parquet(path)
-    return path
-
-
-@query("scan_manifest_pruned", "select dataset_id, utt_id, path from v_manifest", ["v_manifest"])
+@query("scan_manifest_pruned", """select replace(dataset_id, ' ', '_') || '__' || utt_id utt_id, 'audio/' || dataset_id || '/' || utt_id || '.flac' path
+from v_manifest where attack_type is not null or label = 0""", ["v_manifest"])
 def q_scan_manifest_pruned(spark, sf_dir):
-    return src.scan_manifest(spark, _stored_manifest(spark, sf_dir), ["dataset_id", "utt_id", "path"])
+    """A manifest built by an adapter, stored, and read back with two columns."""
+    m = view(spark, sf_dir, "v_manifest").filter("attack_type is not null or label = 0")
+    name = F.concat_ws("__", F.replace("dataset_id", F.lit(" "), F.lit("_")), "utt_id")
+    path = shared_path(spark, "index")
+    place = F.concat(F.lit("audio/"), "dataset_id", F.lit("/"), "utt_id", F.lit(".flac"))
+    index = m.select(name.alias("utt_id"), place.alias("path"), F.col("label").cast("string").alias("label"), "split",
+                     F.col("dataset_id").alias("source_dataset_id"), F.col("utt_id").alias("source_utt_id"), "attack_type")
+    sinks.write_csv(index, path)
+    out = shared_path(spark, "manifest")
+    build_manifest(spark, "csv_index", "mini", out=out, index_path=path, audio_root=index.select("path"))
+    return src.scan_manifest(spark, out, ["utt_id", "path"])
 
 
 @query("table_rowcount", "select count(*) n_rows from lineitem")
@@ -161,13 +171,13 @@ def q_scan_history_jsonl(spark, sf_dir):
     return resume.latest_wins(log, ["run", "epoch"], ["seq"]).drop("seq")
 
 
-@query("append_history", SQL_LATEST.replace("from v_history", "from v_history where epoch<=60 and seq<=2"), ["v_history"])
+@query("append_history", SQL_LATEST.replace("from v_history", "from v_history where epoch<=60"), ["v_history"])
 def q_append_history(spark, sf_dir):
-    """Two appends per run, then the tail after epoch 60 cut as a resume does."""
+    """Seven appends per run, then the tail after epoch 60 cut as a resume does."""
     path = shared_path(spark, "history")
     h = view(spark, sf_dir, "v_history")
     cols = ["run", "epoch", "train_loss", "val_eer", "val_threshold", "lr"]
-    for seq in (1, 2):
+    for seq in range(1, 8):
         sinks.append_history(h.filter(F.col("seq") == seq).select(*cols), path)
     log = src.scan_history(spark, path, _run_history_schema())
     last = resume.latest_wins(log, ["run", "epoch"], ["seq"]).drop("seq")
@@ -203,16 +213,51 @@ def _wav_rows(spark, sf_dir):
     return wav.withColumn("content", F.when(n % 25 == 4, F.substring("content", 1, 20)).otherwise(F.col("content")))
 
 
-@query("waveform_ingest", """select dataset_id, utt_id,
+@query("decode_wav", """select dataset_id, utt_id,
  case when n%25 in (3,4) then null else cast(64 as integer) end n_samples,
  case when n%25=3 then 'ValueError: sample rate 8000, expected 16000' when n%25=4 then 'EOFError: ' end error
 from (select *, cast(substr(utt_id,2) as bigint) n from v_wave)""", ["v_wave"])
-def q_waveform_ingest(spark, sf_dir):
+def q_decode_wav(spark, sf_dir):
     d = decode_wav(_wav_rows(spark, sf_dir), 16000)
     return d.select("dataset_id", "utt_id",
                     F.when(F.col("samples").isNotNull(), F.size("samples")).alias("n_samples"), "error")
 
 
+def _write_files(rows, root: str) -> None:
+    """Write each ``content`` to ``root/path``; a repeated task writes the same bytes again."""
+    local = re.sub("^file:/+", "/", root)
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                place = os.path.join(local, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(f"{place}.{uuid.uuid4().hex}.part", "wb") as f:
+                    f.write(content)
+                os.replace(f.name, place)
+            yield batch[["path"]]
+
+    rows.select("path", "content").mapInPandas(write, "path string").count()
+
+
+@query("waveform_ingest", """select dataset_id, utt_id,
+ case when n%25 in (3,4,5) then null else cast(64 as integer) end n_samples,
+ case when n%25=3 then 'ValueError: sample rate 8000, expected 16000' when n%25=4 then 'EOFError: '
+      when n%25=5 then 'FileNotFoundError: no audio file' end error
+from (select *, cast(substr(utt_id,2) as bigint) n from v_wave) where n%4<>1""", ["v_wave"])
+def q_waveform_ingest(spark, sf_dir):
+    """Real files in a folder per dataset: some missing, some broken, a quarter done before."""
+    n = F.substring("utt_id", 2, 20).cast("long")
+    path = F.concat(F.lit("set="), "dataset_id", F.lit("/"), "utt_id", F.lit(".wav"))
+    rows = _wav_rows(spark, sf_dir).withColumn("path", path)
+    root = shared_path(spark, "audio")
+    _write_files(rows.filter(n % 25 != 5), root)
+    manifest = view(spark, sf_dir, "v_wave").select("dataset_id", "utt_id", path.alias("path"))
+    waves = waveform_ingest(spark, manifest, root, 16000, done=manifest.filter(n % 4 == 1))
+    return waves.select("dataset_id", "utt_id",
+                        F.when(F.col("samples").isNotNull(), F.size("samples")).alias("n_samples"), "error")
+
+
 @query("downmix_mono", """select dataset_id, utt_id, cast(i as integer) i,
  round((round_even(cast(samples[i+1] as double)*20000, 0)+32)/32768.0e0, 6)+0.0 x
 from (select *, cast(unnest(range(64)) as bigint) i from v_wave) where cast(substr(utt_id,2) as bigint)%25 not in (3,4)""", ["v_wave"])
@@ -227,12 +272,12 @@ def q_downmix_mono(spark, sf_dir):
 @query("write_table_atomic", "select dataset_id, count(*) n_rows from v_manifest where split='dev' group by dataset_id",
        ["v_manifest"])
 def q_write_table_atomic(spark, sf_dir):
-    """A table replaced once: readers get the second version only."""
+    """Two versions side by side: the path handed back is the one that counts."""
     root = shared_path(spark, "versioned")
     m = view(spark, sf_dir, "v_manifest")
     sinks.write_table_atomic(m, root)
-    sinks.write_table_atomic(m.filter("split = 'dev'"), root)
-    return sinks.read_table_atomic(spark, root).groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
+    current = sinks.write_table_atomic(m.filter("split = 'dev'"), root)
+    return spark.read.parquet(current).groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
 
 
 @query("write_score_shards", """select dataset_id, utt_id, round(cast(cast(score + case when cast(substr(utt_id,2) as bigint)%3=0 then 0.5 else 0 end as float) as double), 3) score

@@ -21,12 +21,22 @@ def hann(win: int, n_fft: int) -> np.ndarray:
     return np.pad(w, (left, n_fft - win - left))
 
 
+def power_blocks(y: np.ndarray, n_fft: int, hop: int, win: int, block: int):
+    """Power spectrum ``[T, 1 + n_fft/2]``, ``T = 1 + len(y) // hop``, in blocks of frames."""
+    y = np.asarray(y, np.float64)
+    half, shape, n = n_fft // 2, hann(win, n_fft), 1 + len(y) // hop
+    for first in range(0, n, block):
+        count = min(block, n - first)
+        lo = first * hop - half
+        hi = lo + (count - 1) * hop + n_fft
+        part = np.pad(y[max(lo, 0):max(hi, 0)], (max(-lo, 0), max(hi - max(len(y), lo, 0), 0)))
+        spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(part, n_fft)[::hop] * shape, axis=1)
+        yield spectrum.real ** 2 + spectrum.imag ** 2
+
+
 def power(y: np.ndarray, n_fft: int, hop: int, win: int) -> np.ndarray:
-    """Power spectrum ``[T, 1 + n_fft/2]`` with ``T = 1 + len(y) // hop``."""
-    padded = np.pad(np.asarray(y, np.float64), n_fft // 2)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
-    spectrum = np.fft.rfft(frames * hann(win, n_fft), axis=1)
-    return spectrum.real ** 2 + spectrum.imag ** 2
+    """The whole power spectrum of a short signal."""
+    return np.concatenate(list(power_blocks(y, n_fft, hop, win, 1 << 30)))
 
 
 @lru_cache(maxsize=8)
@@ -75,13 +85,9 @@ def dct_matrix(n_in: int, n_out: int) -> np.ndarray:
     return m
 
 
-def delta_width(width: int, frames: int) -> int:
-    """Largest odd window that fits; at least three frames are needed."""
-    w = min(width, frames)
-    w -= 1 - w % 2
-    if w < 3:
-        raise ValueError(f"too short for deltas: {frames} frames")
-    return w
+def half_window(width: int, frames: int) -> int:
+    """Half of the largest odd window of at most ``width`` that fits; below 1 there is none."""
+    return (min(width, frames) - 1) // 2
 
 
 def slope_weights(h: int, order: int) -> np.ndarray:
@@ -95,7 +101,9 @@ def slope_weights(h: int, order: int) -> np.ndarray:
 
 def deltas(x: np.ndarray, width: int, order: int) -> np.ndarray:
     """Derivative of ``[T, C]`` along time; edge frames copy the nearest full window."""
-    h = delta_width(width, len(x)) // 2
+    h = half_window(width, len(x))
+    if h < 1:
+        raise ValueError(f"too short for slopes: {len(x)} frames")
     windows = np.lib.stride_tricks.sliding_window_view(x, 2 * h + 1, axis=0)
     inner = windows @ slope_weights(h, order)
     return np.pad(inner, ((h, h), (0, 0)), mode="edge")

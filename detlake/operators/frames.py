@@ -37,6 +37,13 @@ def fix_length(
     )
 
 
+def assert_frames(keys_of: DataFrame, frames: DataFrame, keys: list[str] = schema.KEY) -> None:
+    """Stop where an utterance of ``keys_of`` has no frame at all, which the long form cannot show."""
+    gone = keys_of.select(*keys).join(frames.filter("frame = 0").select(*keys), keys, "left_anti").limit(3).collect()
+    if gone:
+        raise ValueError(f"utterances without frames: e.g. {[tuple(r) for r in gone]}")
+
+
 def fix_length_array(matrix: Column, t_fixed: int) -> Column:
     """The same for one array per utterance; an empty one stops the job."""
     t = F.size(matrix)

@@ -41,6 +41,10 @@ def union_manifests(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+class NoRows(ValueError):
+    """A choice that leaves nothing."""
+
+
 def select_split(
     manifest: DataFrame, selectors: list[tuple[str, str]], strict: bool = True
 ) -> DataFrame:
@@ -81,10 +85,15 @@ def empty_selectors(
 
 
 def filter_conjunctive(df: DataFrame, **equals) -> DataFrame:
-    """AND of the equalities that are given; ``None`` means no condition."""
+    """AND of the equalities that are given; ``None`` means no condition.
+
+    No row left is an error, told by a scan that stops at the first row.
+    """
     for name, value in equals.items():
         if value is not None:
             df = df.filter(F.col(name) == value)
+    if df.isEmpty():
+        raise NoRows(f"no row with {({k: v for k, v in equals.items() if v is not None})}")
     return df
 
 
@@ -168,9 +177,25 @@ def split_by_rank_quota(rank, quota: dict[str, int] = fv.MINI_SPLIT_QUOTA):
     return out.otherwise("train")
 
 
-def mini_dataset(manifest: DataFrame, k: int = fv.MINI_PER_CLASS) -> DataFrame:
-    """Index of a small balanced dataset drawn from every source."""
+def sources_without_audio(picked: DataFrame, listing: DataFrame) -> DataFrame:
+    """Sources of which a picked row has no file in ``listing`` (``path``): ``dataset_id, reason``."""
+    gone = picked.join(listing.select("path").distinct(), "path", "left_anti")
+    reason = F.concat(F.lit("no audio: "), F.min("path"))
+    return gone.groupBy("dataset_id").agg(reason.alias("reason"))
+
+
+def mini_dataset(
+    manifest: DataFrame, k: int = fv.MINI_PER_CLASS, listing: DataFrame | None = None
+) -> DataFrame:
+    """Index of a small balanced dataset drawn from every source.
+
+    With a ``listing`` of the files that are there, a source that lacks the audio of a
+    picked row is skipped whole; :func:`sources_without_audio` gives the reasons.
+    """
     picked = first_k_per_class(manifest, k)
+    if listing is not None:
+        gone = sources_without_audio(picked, listing)
+        picked = picked.join(gone.select("dataset_id"), "dataset_id", "left_anti")
     ds, utt = F.col("dataset_id"), F.col("utt_id")
     return picked.select(
         P.namespaced_utt(ds, utt).alias("utt_id"),

@@ -43,11 +43,17 @@ def composition_table(df: DataFrame) -> DataFrame:
 
 
 def attack_counts(df: DataFrame, dataset_id: str | None = None) -> DataFrame:
-    """Rows per attack inside each dataset (attack names are local to one)."""
+    """Rows per attack inside each dataset (attack names are local to one).
+
+    A table without any attack is an error.
+    """
     if dataset_id is not None:
         df = df.filter(F.col("dataset_id") == dataset_id)
+    named = df.filter(F.col("attack_type").isNotNull())
+    if named.isEmpty():
+        raise ValueError(f"no attack types in {dataset_id or 'the manifest'}")
     return (
-        df.filter(F.col("attack_type").isNotNull())
+        named
         .groupBy("dataset_id", "attack_type")
         .agg(F.count("*").alias("n_rows"))
         .orderBy("dataset_id", "attack_type")
@@ -116,20 +122,17 @@ def value_counts_capped(
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent content hash: row count, xor and sum of row hashes."""
+    """Order-independent content hash: row count and the sums of the four words of the rows' md5.
+
+    Sums of 32-bit words stay below 2**63 up to 2**31 rows a task and are added as
+    decimals; any engine with md5 can repeat it.
+    """
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
-    row = F.xxhash64(F.sha1(F.concat_ws("\x1f", *cols)))
+    row = F.md5(F.concat_ws("\x1f", *cols))
+    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).cast("string") for i in range(4)]
     return df.select(row.alias("h")).agg(
-        F.count("*").alias("n_rows"),
-        F.sha1(
-            F.concat_ws(
-                ",",
-                F.count("*").cast("string"),
-                F.coalesce(F.bit_xor("h"), F.lit(0)).cast("string"),
-                F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string"),
-            )
-        ).alias("fingerprint"),
-    )
+        F.count("*").alias("n_rows"), F.md5(F.concat_ws(",", F.count("*").cast("string"), *sums)).alias("fingerprint"))
 
 
 def pos_weight(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

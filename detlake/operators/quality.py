@@ -194,12 +194,17 @@ def validation_report(df: DataFrame, dataset_id: str | None = None) -> DataFrame
 def assert_valid(df: DataFrame, dataset_id: str | None = None) -> None:
     """Stop with the complete report when a manifest breaks the contract.
 
-    The report has a row per failed check, or per offending value of a domain
-    check; it is read through an iterator and never collected whole.
+    The driver reads at most ``EXAMPLES`` lines per check, each with the rows and the
+    number of distinct items (columns or offending values) behind the check.
     """
+    report = materialize(validation_report(df, dataset_id), "report")
+    totals = report.groupBy("check").agg(F.count("*").alias("items"), F.sum("n_bad").alias("rows"))
+    first = Window.partitionBy("check").orderBy("item")
+    shown = report.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= EXAMPLES)
     lines = [
-        f"{r['check']} {r['item'] or ''}: {r['n_bad']} e.g. {r['examples']}"
-        for r in validation_report(df, dataset_id).toLocalIterator()
+        f"{r['check']} {r['item'] or ''}: {r['n_bad']} e.g. {r['examples']} "
+        f"(of {r['items']} items, {r['rows']} rows)"
+        for r in shown.join(totals, "check").orderBy("check", "item").collect()
     ]
     if lines:
         raise ManifestInvalid("manifest is not valid:\n" + "\n".join(lines))
@@ -233,6 +238,24 @@ def contract_failures(frames: DataFrame, channels: int) -> DataFrame:
     )
 
 
+class FeatureMismatch(ValueError):
+    """Features, or a model trained on others, that do not fit what is asked for."""
+
+
+def assert_contract(frames: DataFrame, channels: int) -> None:
+    """Stop at the first utterances whose frames break the contract."""
+    bad = contract_failures(frames, channels).limit(EXAMPLES).collect()
+    if bad:
+        raise FeatureMismatch(f"bad frames: e.g. {[r.asDict() for r in bad]}")
+
+
+def assert_preflight(checked: DataFrame) -> None:
+    """Stop where :func:`spec_preflight` found a problem; one row per parameter set is looked at."""
+    bad = checked.filter(F.col("problem").isNotNull()).orderBy("name").limit(20).collect()
+    if bad:
+        raise FeatureMismatch("; ".join(f"{r['name']} ({r['feature_id']}): {r['problem']}" for r in bad))
+
+
 def spec_preflight(wanted: DataFrame, specs: DataFrame, models: DataFrame) -> DataFrame:
     """Compare wanted features, built feature sets and trained models.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from detlake import schema
+from detlake.session import materialize
 
 
 def todo_by_key(df: DataFrame, done: DataFrame, key: list[str] = schema.KEY) -> DataFrame:
@@ -19,6 +20,22 @@ def present_in_cache(
     return manifest.join(features.select(*key), key, "left_semi")
 
 
+class NothingPresent(ValueError):
+    """None of the rows asked for has features."""
+
+
+def present_or_stop(
+    manifest: DataFrame, features: DataFrame, key: list[str] = schema.KEY
+) -> tuple[DataFrame, int]:
+    """:func:`present_in_cache`, and how many rows are missing; none present is an error."""
+    marked = manifest.join(features.select(*key).distinct().withColumn("_has", F.lit(True)), key, "left")
+    marked = materialize(marked, "present")
+    n = marked.agg(F.count("*").alias("n"), F.count("_has").alias("has")).first()
+    if not n["has"]:
+        raise NothingPresent(f"none of {n['n']} rows has features")
+    return marked.filter("_has").drop("_has"), n["n"] - n["has"]
+
+
 def latest_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Last record per key by ``order``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from detlake import fixed_values as fv, schema
 from detlake.operators import bootstrap, detection, profile, resume
 from detlake.operators.manifest import select_split
+from detlake.operators.quality import assert_preflight
 from detlake.session import materialize
 from detlake.sinks import tables
 
@@ -118,13 +119,18 @@ def evaluate_experiment(
     seed: int = fv.DEFAULT_SEED,
     ci: float = fv.DEFAULT_CI,
     shard_rows: int = fv.DEFAULT_SHARD_ROWS,
+    preflight: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Selected rows to scores, coverage and metric tables.
 
     ``score`` maps manifest rows to ``dataset_id, utt_id, score`` for the rows it
     has features for. Scores are stored before the coverage decides, so nothing
-    is computed twice after a stop. Other windows than ``fixed`` do not exist.
+    is computed twice after a stop. ``preflight`` is a result of
+    ``quality.spec_preflight``; any problem in it stops the run before scoring. Other
+    windows than ``fixed`` do not exist.
     """
+    if preflight is not None:
+        assert_preflight(preflight)
     if conditions.window != "fixed":
         raise NotImplementedError(f"window {conditions.window!r}: only 'fixed' is supported")
     requested = select_split(manifest, selectors).select(

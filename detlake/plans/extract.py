@@ -1,126 +1,45 @@
 """Bulk feature extraction: one utterance is one unit of work.
 
-A parameter set is a frozen dataclass with one registered name; its ``feature_id``
-is a hash of its parameters, so tables of different sets never mix. The feature
-table has a row per frame. A failed utterance is one row with ``error`` in the
+A recipe (:mod:`detlake.functions.recipes`) has one registered name and a
+``feature_id`` made from its written form, so tables of different recipes never mix.
+The feature table has a row per frame. A failed utterance is one row with ``error`` in the
 ``status=failed`` folder of the same table, written by the same job.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from detlake import fixed_values as fv, schema
-from detlake.functions import signal as S
+from detlake.functions import recipes
+from detlake.functions.recipes import Recipe
 from detlake.operators.resume import latest_wins, run_stats, todo_by_key
 from detlake.registry import Registry
-from detlake.session import broadcast_if_small, materialize, small_arrow_batches
+from detlake.session import broadcast_if_small, materialize, ship_package
 
 EXTRACTORS = Registry("extractor")
+EXTRACTORS.add("logmel", recipes.logmel("logmel", fv.LOGMEL_PARAMS))
+EXTRACTORS.add("lfcc", recipes.lfcc("lfcc", fv.LFCC_PARAMS))
 BATCH_FRAMES = 4096  # frames sent back from a worker at a time
 TODO_ROWS = 1_000_000  # keys that may be broadcast to a waveform scan
 
 
-class Extractor:
-    """Parameters plus ``matrix``: signal to ``[T, channels]`` in double precision."""
+def get_extractor(name: str) -> Recipe:
+    """The one recipe behind a name; variants get names of their own."""
+    return EXTRACTORS.get(name)
 
-    name: ClassVar[str] = ""
 
-    @property
-    def channels(self) -> int:
-        raise NotImplementedError
-
-    def matrix(self, y: np.ndarray) -> np.ndarray:
-        raise NotImplementedError
-
-    def spec(self) -> dict:
-        return {"name": self.name, **asdict(self)}
-
-    @property
-    def feature_id(self) -> str:
-        text = json.dumps(self.spec(), sort_keys=True, separators=(",", ":"))
-        return f"{self.name}-{hashlib.sha1(text.encode()).hexdigest()[:10]}"
-
-    def checked(self, y: np.ndarray) -> np.ndarray:
-        """The matrix, after the contract: two axes, declared width, finite."""
-        m = self.matrix(y)
-        if m.ndim != 2 or m.shape[1] != self.channels:
-            raise ValueError(f"shape {m.shape}, expected [T, {self.channels}]")
-        if not np.isfinite(m).all():
-            raise ValueError("NaN or Inf in features")
-        return m
-
-
-def _register(cls: type[Extractor]) -> type[Extractor]:
-    return EXTRACTORS.add(cls.name, cls)
-
-
-def get_extractor(name: str) -> Extractor:
-    """The one parameter set behind a name; variants get names of their own."""
-    return EXTRACTORS.get(name)()
-
-
-@_register
-@dataclass(frozen=True)
-class LogMel(Extractor):
-    """Mel spectrogram in decibels."""
-
-    name: ClassVar[str] = "logmel"
-    target_sr: int = fv.LOGMEL_PARAMS["target_sr"]
-    n_fft: int = fv.LOGMEL_PARAMS["n_fft"]
-    hop_length: int = fv.LOGMEL_PARAMS["hop_length"]
-    win_length: int = fv.LOGMEL_PARAMS["win_length"]
-    n_mels: int = fv.LOGMEL_PARAMS["n_mels"]
-    fmin: float = fv.LOGMEL_PARAMS["fmin"]
-    fmax: float | None = fv.LOGMEL_PARAMS["fmax"]
-
-    @property
-    def channels(self) -> int:
-        return self.n_mels
-
-    def matrix(self, y: np.ndarray) -> np.ndarray:
-        top = self.fmax if self.fmax is not None else self.target_sr / 2.0
-        bank = S.mel_bank(self.target_sr, self.n_fft, self.n_mels, self.fmin, top)
-        energy = S.power(y, self.n_fft, self.hop_length, self.win_length) @ bank.T
-        return 10.0 * np.log10(np.maximum(fv.POWER_FLOOR, energy))
-
-
-@_register
-@dataclass(frozen=True)
-class Lfcc(Extractor):
-    """Cepstra of a linear filter bank, with slopes and curvatures."""
-
-    name: ClassVar[str] = "lfcc"
-    target_sr: int = fv.LFCC_PARAMS["target_sr"]
-    n_fft: int = fv.LFCC_PARAMS["n_fft"]
-    hop_length: int = fv.LFCC_PARAMS["hop_length"]
-    win_length: int = fv.LFCC_PARAMS["win_length"]
-    n_filter: int = fv.LFCC_PARAMS["n_filter"]
-    n_lfcc: int = fv.LFCC_PARAMS["n_lfcc"]
-    with_deltas: bool = fv.LFCC_PARAMS["with_deltas"]
-    delta_width: int = fv.LFCC_PARAMS["delta_width"]
-    log_eps: float = fv.LFCC_PARAMS["log_eps"]
-
-    @property
-    def channels(self) -> int:
-        return self.n_lfcc * (3 if self.with_deltas else 1)
-
-    def matrix(self, y: np.ndarray) -> np.ndarray:
-        bank = S.linear_bank(self.target_sr, self.n_fft, self.n_filter)
-        energy = S.power(y, self.n_fft, self.hop_length, self.win_length) @ bank.T
-        x = np.log(energy + self.log_eps) @ S.dct_matrix(self.n_filter, self.n_lfcc).T
-        if not self.with_deltas:
-            return x
-        w = self.delta_width
-        return np.concatenate([x, S.deltas(x, w, 1), S.deltas(x, w, 2)], axis=1)
+def checked(m: np.ndarray, channels: int) -> np.ndarray:
+    """A matrix as it will be stored, after the contract: two axes, declared width, finite."""
+    if m.ndim != 2 or m.shape[1] != channels:
+        raise ValueError(f"shape {m.shape}, expected [T, {channels}]")
+    if not np.isfinite(m).all():
+        raise ValueError("NaN or Inf in features")
+    return m
 
 
 def frames_schema(double: bool = False) -> T.StructType:
@@ -135,7 +54,7 @@ def frames_schema(double: bool = False) -> T.StructType:
     ])
 
 
-def extract(waves: DataFrame, extractor: Extractor, double: bool = False) -> DataFrame:
+def extract(waves: DataFrame, extractor: Recipe, double: bool = False) -> DataFrame:
     """Frame rows of every waveform; a failure is one row with ``error``.
 
     ``waves`` has ``dataset_id, utt_id, sr, samples`` and may carry an ``error``
@@ -143,7 +62,6 @@ def extract(waves: DataFrame, extractor: Extractor, double: bool = False) -> Dat
     """
     number = pa.float64() if double else pa.float32()
     kind = np.float64 if double else np.float32
-    target = getattr(extractor, "target_sr", None)
     out_schema = pa.schema([
         ("dataset_id", pa.string()), ("utt_id", pa.string()), ("frame", pa.int32()),
         ("n_frames", pa.int32()), ("coeffs", pa.list_(number)), ("error", pa.string()),
@@ -152,9 +70,11 @@ def extract(waves: DataFrame, extractor: Extractor, double: bool = False) -> Dat
     def matrix(sr, samples, error) -> np.ndarray:
         if error is not None:
             raise RuntimeError(error)
-        if target is not None and sr != target:
-            raise ValueError(f"sample rate {sr}, expected {target}")
-        return np.ascontiguousarray(extractor.checked(samples), kind)
+        if sr != extractor.rate:
+            raise ValueError(f"sample rate {sr}, expected {extractor.rate}")
+        with np.errstate(over="ignore"):
+            stored = np.ascontiguousarray(extractor.matrix(samples), kind)
+        return checked(stored, extractor.channels)
 
     def frame_rows(ds, utt, m: np.ndarray) -> pa.RecordBatch:
         t, c = m.shape
@@ -192,6 +112,7 @@ def extract(waves: DataFrame, extractor: Extractor, double: bool = False) -> Dat
             if ready:
                 yield _joined(ready)
 
+    ship_package(waves.sparkSession)
     if "error" not in waves.columns:
         waves = waves.withColumn("error", F.lit(None).cast("string"))
     return waves.select(*schema.KEY, "sr", "samples", "error").mapInArrow(
@@ -200,7 +121,8 @@ def extract(waves: DataFrame, extractor: Extractor, double: bool = False) -> Dat
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    (one,) = pa.Table.from_batches(batches).combine_chunks().to_batches()
+    return one
 
 
 def extracted(frames: DataFrame) -> DataFrame:
@@ -216,6 +138,8 @@ def table_schema() -> T.StructType:
         + [
             T.StructField("attempt", T.LongType()),
             T.StructField("partial", T.BooleanType()),
+            T.StructField("recipe", T.StringType()),
+            T.StructField("channels", T.IntegerType()),
             T.StructField("feature_id", T.StringType()),
             T.StructField("dataset_id", T.StringType()),
             T.StructField("status", T.StringType()),
@@ -233,6 +157,11 @@ def read_table(spark: SparkSession, root: str) -> DataFrame:
         raise
 
 
+def specs(table: DataFrame) -> DataFrame:
+    """What was built: ``feature_id, channels, recipe`` of every recipe that was ever run."""
+    return table.filter(F.col("status") == "run").select("feature_id", "channels", "recipe").distinct()
+
+
 def done_keys(table: DataFrame, feature_id: str) -> DataFrame:
     """Finished utterances: the scan reads first frames and no coefficients."""
     return table.filter(
@@ -243,15 +172,15 @@ def done_keys(table: DataFrame, feature_id: str) -> DataFrame:
 def failures(table: DataFrame, feature_id: str) -> DataFrame:
     """Current failure log: the last full run's failures and partial ones after it.
 
-    A key that a later run finished has left the log.
+    Every run leaves one row per dataset it was asked for, so a full run without
+    failures clears the log. A key that a later run finished has left it too.
     """
     mine = table.filter(F.col("feature_id") == feature_id)
     bad = mine.filter(F.col("status") == "failed").select(
         *schema.KEY, "error", "attempt", "partial"
     )
-    full = bad.filter(~F.col("partial")).groupBy("dataset_id").agg(
-        F.max("attempt").alias("last_full")
-    )
+    runs = mine.filter((F.col("status") == "run") & ~F.col("partial"))
+    full = runs.groupBy("dataset_id").agg(F.max("attempt").alias("last_full"))
     current = (
         bad.join(full, "dataset_id", "left")
         .filter(F.col("attempt") >= F.coalesce(F.col("last_full"), F.lit(0)))
@@ -262,18 +191,21 @@ def failures(table: DataFrame, feature_id: str) -> DataFrame:
 
 
 def extract_features(
-    waves: DataFrame, extractor: Extractor, root: str, limit: int | None = None
+    waves: DataFrame, extractor: Recipe, root: str, limit: int | None = None,
+    attempt: int | None = None,
 ) -> DataFrame:
     """Extract what is missing into the feature table and return the run's counts.
 
     Only keys without frames are processed, so a rerun resumes. ``limit`` takes
-    the first keys in order and marks the run as partial. One write stores
+    the first keys in order and marks the run as partial. ``attempt`` numbers the run
+    where the caller counts them. One write stores
     frames and failures; a lost executor repeats only its own tasks.
     """
     spark = waves.sparkSession
     table = read_table(spark, root)
     done = done_keys(table, extractor.feature_id)
-    attempt = (table.agg(F.max("attempt")).first()[0] or 0) + 1
+    if attempt is None:
+        attempt = (table.agg(F.max("attempt")).first()[0] or 0) + 1
     asked, n_skipped = waves, None
     if limit is not None:
         first = waves.select(*schema.KEY).orderBy(*schema.KEY).limit(limit)
@@ -291,8 +223,12 @@ def extract_features(
         F.lit(extractor.feature_id).alias("feature_id"),
         F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"),
     )
-    with small_arrow_batches(spark):
-        write_features(out, root)
+    write_features(out, root)
+    asked_of = waves.select("dataset_id").distinct().select(
+        "dataset_id", F.lit(attempt).cast("long").alias("attempt"), F.lit(limit is not None).alias("partial"),
+        F.lit(extractor.text).alias("recipe"), F.lit(extractor.channels).alias("channels"),
+        F.lit(extractor.feature_id).alias("feature_id"), F.lit("run").alias("status"))
+    write_features(asked_of, root)
     after = read_table(spark, root).filter(
         (F.col("feature_id") == extractor.feature_id) & (F.col("attempt") == attempt)
     )
@@ -334,9 +270,3 @@ def write_features(frames: DataFrame, root: str) -> None:
     """
     parts = ["feature_id", "dataset_id", "status"]
     frames.hint("rebalance", *parts).write.mode("append").partitionBy(*parts).parquet(root)
-
-
-__all__ = [
-    "EXTRACTORS", "Extractor", "LogMel", "Lfcc", "get_extractor", "extract", "extracted",
-    "extract_features", "write_features", "read_table", "done_keys", "failures",
-]

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from detlake import schema
 from detlake.operators import profile, quality
 from detlake.session import materialize
-from detlake.sinks.tables import write_table_atomic
 from detlake.sources.adapters import ADAPTERS
 
 
 def build_manifest(
     spark: SparkSession, adapter: str, dataset_id: str, out: str | None = None, **inputs
 ) -> DataFrame:
-    """Run a registered adapter, stop on any problem, store and return the manifest."""
+    """Run a registered adapter, stop on any problem, store and return the manifest.
+
+    ``out`` is a new path; what is stored there is what ``scan_manifest`` reads.
+    """
     built = ADAPTERS.get(adapter)(spark, dataset_id, **inputs)
     manifest = materialize(built, "manifest")
     quality.assert_valid(manifest, dataset_id)
     if out:
-        write_table_atomic(manifest, out)
+        manifest.select(*schema.MANIFEST.names).write.parquet(out)
     return manifest
 
 

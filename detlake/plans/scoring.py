@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from detlake import fixed_values as fv, schema
 from detlake.operators.detection import eer
-from detlake.operators.frames import fix_length
+from detlake.operators.frames import fix_length, pooled_features
 from detlake.operators.profile import pos_weight
 from detlake.registry import Registry
+from detlake.session import materialize
 
 SCORERS = Registry("scorer")
 
@@ -29,7 +31,6 @@ def class_weight(train: DataFrame, mode: str | float | None = "auto") -> float:
     return float(mode)
 
 
-@SCORERS.register("logistic")
 def fit_scorer(
     train: DataFrame, weight: str | float | None = "auto", reg: float = 0.0,
     max_iter: int = 50,
@@ -56,27 +57,35 @@ def batch_score(model: LogisticRegressionModel, pooled: DataFrame) -> DataFrame:
     return out.select(*keep, F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score"))
 
 
+def least_eer(scored: DataFrame) -> tuple[int, DataFrame]:
+    """Candidate with the least EER of a table with a ``candidate`` column, and the table of all.
+
+    One grouped pass for all candidates; the first one wins a tie, NULL never wins.
+    """
+    table = materialize(eer(scored, ["candidate"]).select("candidate", F.col("eer").alias("val_eer")), "candidates")
+    best = table.filter(F.col("val_eer").isNotNull()).orderBy("val_eer", "candidate").first()
+    if best is None:
+        raise ValueError("no candidate has a dev EER: one class only")
+    return best["candidate"], table
+
+
 def select_by_val_eer(
     train: DataFrame, dev: DataFrame, grid: list[dict]
 ) -> tuple[int, LogisticRegressionModel, DataFrame]:
-    """Candidate with the least dev EER; the first one wins a tie, NULL never wins.
+    """Fit every candidate on the cluster, score all of them on dev and pick by :func:`least_eer`.
 
-    Returns its index, its model and the table of candidates. The loop is over
-    candidates, each fitted and scored on the cluster; the driver sees one
-    number per candidate.
+    Returns its index, its model and the table of candidates.
     """
-    models, rows = [], []
-    for i, params in enumerate(grid):
-        model = fit_scorer(train, **params)
-        scored = batch_score(model, dev).withColumn("candidate", F.lit(i))
-        found = eer(scored, ["candidate"]).first()
-        models.append(model)
-        rows.append((i, found["eer"] if found else None))
-    table = dev.sparkSession.createDataFrame(rows, "candidate int, val_eer double")
-    valid = [(v, i) for i, v in rows if v is not None]
-    if not valid:
-        raise ValueError("no candidate has a dev EER: one class only")
-    best = min(valid)[1]
+    train, dev = train.persist(), dev.persist()
+    try:
+        models = [fit_scorer(train, **params) for params in grid]
+        scored = [
+            batch_score(m, dev).select("label", "score").withColumn("candidate", F.lit(i)) for i, m in enumerate(models)
+        ]
+        best, table = least_eer(reduce(DataFrame.unionByName, scored))
+    finally:
+        train.unpersist()
+        dev.unpersist()
     return best, models[best], table
 
 
@@ -147,4 +156,32 @@ def score_statpool_mlp(
     return m.select(*schema.KEY, statpool_score("matrix", channels, weights).alias("score"))
 
 
-SCORERS.add("statpool_mlp", score_statpool_mlp)
+# --- scorers behind one interface: frames in, ``dataset_id, utt_id, score`` out ---
+
+@dataclass(frozen=True)
+class LogisticScorer:
+    """A fitted logistic model on pooled frames of fixed length."""
+
+    model: LogisticRegressionModel
+    channels: int
+    t_fixed: int
+
+    def score(self, frames: DataFrame) -> DataFrame:
+        pooled = pooled_features(frames, self.channels, self.t_fixed)
+        return batch_score(self.model, pooled).select(*schema.KEY, "score")
+
+
+@dataclass(frozen=True)
+class StatPoolScorer:
+    """The statistics-pooling network with given weights."""
+
+    weights: StatPoolWeights
+    channels: int
+    t_fixed: int
+
+    def score(self, frames: DataFrame) -> DataFrame:
+        return score_statpool_mlp(frames, self.channels, self.t_fixed, self.weights)
+
+
+SCORERS.add("logistic", LogisticScorer)
+SCORERS.add("statpool_mlp", StatPoolScorer)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,36 +11,21 @@ from detlake.operators.resume import history_truncate, latest_wins
 from detlake.session import shared_path
 
 
-def write_table_atomic(df: DataFrame, root: str) -> int:
-    """Replace a table as a whole: readers see the old or the new one.
+def write_table_atomic(df: DataFrame, root: str) -> str:
+    """Write ``df`` as a new version below ``root`` and return its path.
 
-    The data goes to a new version folder; a record in ``commits`` makes it
-    current once everything is written. A failed write leaves no record.
+    A version is never written to again, so readers of an older path are not
+    disturbed; the caller hands the new path on once this returns.
     """
-    version = time.time_ns()
-    df.write.parquet(f"{root}/data/version={version}")
-    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode(
-        "append"
-    ).json(f"{root}/commits")
-    return version
-
-
-def read_table_atomic(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed version."""
-    commits = spark.read.schema("version long").json(f"{root}/commits")
-    version = commits.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/data/version={version}")
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can resolve ``path``; nothing is read."""
-    try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    """Whether ``path`` exists, by one question to its file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def write_score_shards(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from detlake import fixed_values as fv, schema
 from detlake.functions.numeric import nan_to_null
+from detlake.operators.quality import assert_contract
 
 
 def scan_csv_index(
@@ -68,11 +69,18 @@ def scan_features(
     root: str,
     feature_id: str,
     dataset_ids: list[str] | None = None,
+    channels: int | None = None,
 ) -> DataFrame:
-    """Finished feature matrices of one parameter set; both filters prune folders."""
+    """Finished feature matrices of one parameter set; both filters prune folders.
+
+    With ``channels`` the contract is checked on what is read, and a frame of
+    another width or with NaN or Inf stops the job.
+    """
     df = spark.read.parquet(root).filter(
         (F.col("feature_id") == feature_id) & (F.col("status") == "ok")
     )
     if dataset_ids is not None:
         df = df.filter(F.col("dataset_id").isin(dataset_ids))
+    if channels is not None:
+        assert_contract(df, channels)
     return df

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from detlake import schema
+from detlake.functions.paths import plain_path, relative_to
+from detlake.session import broadcast_if_small, materialize, ship_package
 
 _DECODED = T.StructType([
     T.StructField("sr", T.IntegerType()),
@@ -71,33 +73,33 @@ def decode_wav(files: DataFrame, target_sr: int) -> DataFrame:
 
 
 def waveform_ingest(
-    spark: SparkSession, manifest: DataFrame, raw_root: str, target_sr: int
+    spark: SparkSession, manifest: DataFrame, raw_root: str, target_sr: int,
+    done: DataFrame | None = None, listing: DataFrame | None = None,
 ) -> DataFrame:
-    """Waveform rows of the manifest's files, joined by relative path.
+    """Waveform rows of the manifest's files, joined by relative path and decoded last.
 
-    Manifest rows without a file come back with an ``error``.
+    Keys and paths decide what is read: rows whose key is in ``done`` are left out
+    before any content is touched, and only encoded files of wanted paths reach the
+    decoder. Manifest rows without a file come back with an ``error``; they are found
+    in ``listing`` (relative ``path``, such as a storage inventory) or by listing
+    ``raw_root``, without reading content.
     """
+    ship_package(spark)
+    wanted = manifest.select(*schema.KEY, "path")
+    if done is not None:
+        wanted = wanted.join(done.select(*schema.KEY).distinct(), schema.KEY, "left_anti")
+    wanted = materialize(wanted, "ingest-wanted")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(raw_root)
-        .select("path", "content")
+        .withColumn("path", relative_to(plain_path(F.col("path")), raw_root))
     )
-    from detlake.functions.paths import plain_path, relative_to
-
-    files = decode_wav(
-        files.withColumn("path", relative_to(plain_path(F.col("path")), raw_root)),
-        target_sr,
-    )
-    return (
-        manifest.select(*schema.KEY, "path")
-        .join(files, "path", "left")
-        .withColumn(
-            "error",
-            F.when(
-                F.col("samples").isNull() & F.col("error").isNull(),
-                F.lit("FileNotFoundError: no audio file"),
-            ).otherwise(F.col("error")),
-        )
-        .select(*schema.KEY, "path", "sr", "samples", "error")
+    content = files.select("path", "content").join(broadcast_if_small(wanted), "path")
+    decoded = decode_wav(content, target_sr).select(*schema.KEY, "path", "sr", "samples", "error")
+    known = (listing if listing is not None else files).select("path").distinct()
+    missing = wanted.join(known, "path", "left_anti").select(
+        *schema.KEY, "path", *[F.lit(None).cast(decoded.schema[c].dataType).alias(c) for c in ("sr", "samples")],
+        F.lit("FileNotFoundError: no audio file").alias("error"),
     )
+    return decoded.unionByName(missing)

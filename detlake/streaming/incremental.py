@@ -8,11 +8,13 @@ runs again after a failure adds nothing twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.plans.extract import Extractor, extract_features
-from detlake.operators.resume import latest_wins
 from detlake import schema
+from detlake.functions.recipes import Recipe
+from detlake.operators.resume import latest_wins
+from detlake.plans.extract import extract_features
+from detlake.session import broadcast_if_small
 
 
 def waveform_stream(
@@ -25,14 +27,25 @@ def waveform_stream(
     return reader.parquet(folder)
 
 
+def one_per_key(batch: DataFrame) -> DataFrame:
+    """One row per key; only the signals of repeated keys are moved.
+
+    Of a repeated key the highest sample rate stays, then the least hash of its samples.
+    """
+    repeated = batch.groupBy(*schema.KEY).count().filter("count > 1").select(*schema.KEY)
+    repeated = broadcast_if_small(repeated)
+    again = batch.join(repeated, schema.KEY, "left_semi").withColumn("_h", F.xxhash64("samples"))
+    kept = latest_wins(again, schema.KEY, ["sr", "_h"]).select(*batch.columns)
+    return batch.join(repeated, schema.KEY, "left_anti").unionByName(kept)
+
+
 def incremental_features(
-    waves: DataFrame, extractor: Extractor, root: str, checkpoint: str
+    waves: DataFrame, extractor: Recipe, root: str, checkpoint: str
 ) -> None:
     """Process every waveform that has arrived since the last call."""
 
-    def step(batch: DataFrame, _batch_id: int) -> None:
-        unique = latest_wins(batch, schema.KEY, ["sr"])
-        extract_features(unique, extractor, root)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        extract_features(one_per_key(batch), extractor, root, attempt=batch_id + 1)
 
     query = (
         waves.writeStream.foreachBatch(step)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from detlake.functions import signal as S
+from detlake import fixed_values as fv
+from detlake.functions import recipes, signal as S
 from detlake.operators import frames as Fr
 from detlake.operators.quality import contract_failures
 from detlake.plans import extract as X
@@ -113,13 +114,13 @@ def test_default_extractors_on_a_tone():
     """Full-size parameters: shapes, the tone's band, slopes of a steady tone."""
     y = np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000).astype(np.float32)
     lfcc, mel = X.get_extractor("lfcc"), X.get_extractor("logmel")
-    a, b = lfcc.checked(y), mel.checked(y)
+    a, b = (X.checked(e.matrix(y), e.channels) for e in (lfcc, mel))
     assert a.shape == (101, 60) and b.shape == (101, 80)
     assert np.abs(a[20:80, 20:40]).max() < 1e-6
     corner = S.mel_to_hz(np.linspace(0, S.hz_to_mel(8000.0), 82))
     band = int(b[50].argmax())
     assert corner[band] < 1000 < corner[band + 2]
-    assert lfcc.feature_id != X.Lfcc(with_deltas=False).feature_id
+    assert lfcc.feature_id != recipes.lfcc("lfcc", fv.LFCC_PARAMS | {"with_deltas": False}).feature_id
 
 
 def test_power_matches_direct_transform():
@@ -135,6 +136,22 @@ def test_power_matches_direct_transform():
             assert got[t, k] == pytest.approx(abs(z) ** 2)
 
 
+def test_power_in_blocks_equals_the_whole():
+    rng = np.random.default_rng(1)
+    for n in (1, 63, 64, 500, 1001):
+        y = rng.normal(size=n)
+        whole = S.power(y, 64, 16, 40)
+        for block in (1, 3, 7, 100):
+            parts = list(S.power_blocks(y, 64, 16, 40, block))
+            np.testing.assert_allclose(np.concatenate(parts), whole)
+            assert max(len(p) for p in parts) <= block
+
+
+def test_values_that_overflow_when_stored_fail():
+    with pytest.raises(ValueError, match="Inf"):
+        X.checked(np.array([[1e300]]).astype(np.float32), 1)
+
+
 def wav_bytes(x, rate=16000, width=2, channels=1):
     buf = io.BytesIO()
     with wave.open(buf, "wb") as f:
@@ -203,6 +220,44 @@ def test_files_to_features_and_resume(spark, tmp_path):
     assert frames.groupBy("utt_id", "frame").count().filter("count > 1").count() == 0
 
 
+def test_clean_full_run_clears_the_log(spark, tmp_path):
+    wave_of = lambda names, sr: spark.createDataFrame(
+        [("d", n, sr, [0.1] * 3200) for n in names], "dataset_id string, utt_id string, sr int, samples array<float>")
+    lfcc, root = X.get_extractor("lfcc"), str(tmp_path / "features")
+    X.extract_features(wave_of(["gone"], 8000), lfcc, root)
+    assert X.failures(X.read_table(spark, root), lfcc.feature_id).count() == 1
+    X.extract_features(wave_of(["good"], 16000), lfcc, root)
+    assert X.failures(X.read_table(spark, root), lfcc.feature_id).count() == 0
+
+
+def test_ingest_decodes_only_what_is_left(spark, tmp_path):
+    folder = tmp_path / "raw" / "part=1"
+    folder.mkdir(parents=True)
+    for i in range(3):
+        (folder / f"u{i}.wav").write_bytes(wav_bytes(b"\0\1" * 64))
+    (folder / "u0.wav").write_bytes(b"broken, but done before")
+    manifest = spark.createDataFrame([("d", f"u{i}", f"part=1/u{i}.wav") for i in range(4)], "dataset_id string, utt_id string, path string")
+    done = spark.createDataFrame([("d", "u0"), ("d", "u9")], "dataset_id string, utt_id string")
+    waves = W.waveform_ingest(spark, manifest, str(tmp_path / "raw"), 16000, done=done)
+    assert {r["utt_id"]: r["error"] for r in waves.collect()} == {"u1": None, "u2": None, "u3": "FileNotFoundError: no audio file"}
+    # decoding stands above the join with the keys that are left, never below a join or shuffle
+    lines = waves._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert not any("Join" in line for line in lines[:depth])
+    listed = spark.createDataFrame([(f"part=1/u{i}.wav",) for i in range(3)], "path string")
+    again = W.waveform_ingest(spark, manifest, str(tmp_path / "raw"), 16000, listing=listed)
+    assert again.filter("error like 'FileNot%'").count() == 1 and again.count() == 4
+
+
+def test_stream_repeats_move_alone(spark):
+    from detlake.streaming.incremental import one_per_key
+
+    rows = [("d", "a", 16000, [1.0]), ("d", "a", 16000, [2.0]), ("d", "a", 8000, [3.0]), ("d", "b", 16000, [4.0])]
+    batch = spark.createDataFrame(rows, "dataset_id string, utt_id string, sr int, samples array<float>")
+    first = sorted(map(str, one_per_key(batch).collect()))
+    assert len(first) == 2 and first == sorted(map(str, one_per_key(batch.orderBy("samples", ascending=False)).collect()))
+
+
 def test_contract_reports_width_and_values(spark):
     rows = [("d", "a", 0, [1.0, 2.0]), ("d", "b", 0, [1.0]), ("d", "c", 0, [float("nan"), 1.0]),
             ("d", "e", 0, [float("-inf"), 1.0]), ("d", "f", 0, None)]

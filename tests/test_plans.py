@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from detlake import schema
 from detlake.operators.resume import coverage_gate, coverage_stats, run_stats, top_failures
 from detlake.plans import evaluate as E, scoring as Sc
 
@@ -112,3 +113,75 @@ def test_statpool_masks_padding():
     full = Sc.statpool_logits(x[:, :6], np.array([6, 6]), w)
     padded = Sc.statpool_logits(x, np.array([6, 6]), w)
     np.testing.assert_allclose(full, padded)
+
+
+def test_stored_manifest_reads_back(spark, tmp_path):
+    from detlake.operators.manifest import select_split
+    from detlake.plans.manifest import build_manifest
+    from detlake.sources.tables import scan_manifest
+
+    rows = [(f"u{i}", f"a/u{i}.wav", str(i % 2), "train" if i < 4 else "dev", "s", f"u{i}", "A1" if i % 2 else None) for i in range(6)]
+    index, out = str(tmp_path / "index"), str(tmp_path / "m")
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in schema.INDEX_COLUMNS)).write.csv(index, header=True)
+    listing = spark.createDataFrame([(r[1],) for r in rows], "path string")
+    build_manifest(spark, "csv_index", "mini", out=out, index_path=index, audio_root=listing)
+    back = scan_manifest(spark, out, ["dataset_id", "utt_id", "split"])
+    assert "ReadSchema: struct<dataset_id:string,utt_id:string,split:string>" in back._jdf.queryExecution().toString()
+    assert select_split(scan_manifest(spark, out), [("mini", "dev")]).count() == 2
+
+
+def test_losses_and_empty_choices_are_loud(spark):
+    from detlake.operators import frames as Fr, manifest as M, profile as P, resume as R
+
+    df = spark.createDataFrame([("d", "a", 0, None), ("d", "b", 1, "A1")], "dataset_id string, utt_id string, label long, attack_type string")
+    with pytest.raises(M.NoRows):
+        M.filter_conjunctive(df, label=7)
+    with pytest.raises(ValueError, match="no attack"):
+        P.attack_counts(df.filter("label = 0"))
+    frames = spark.createDataFrame([("d", "a", 0), ("d", "a", 1)], "dataset_id string, utt_id string, frame int")
+    present, missing = R.present_or_stop(df, frames)
+    assert (present.count(), missing) == (1, 1)
+    with pytest.raises(R.NothingPresent):
+        R.present_or_stop(df, frames.filter("false"))
+    with pytest.raises(ValueError, match="without frames"):
+        Fr.assert_frames(df, frames)
+
+
+def test_mini_dataset_skips_sources_without_audio(spark):
+    from detlake.operators import manifest as M
+
+    rows = [(d, f"{d}{i}", f"{d}/{i}.wav", i % 2, "train", None) for d in ("x", "y") for i in range(10)]
+    m = spark.createDataFrame(rows, "dataset_id string, utt_id string, path string, label long, split string, attack_type string")
+    listing = m.select("path").filter("path <> 'y/3.wav'")
+    got = {r["source_dataset_id"] for r in M.mini_dataset(m, 5, listing).collect()}
+    assert got == {"x"}
+    gone = M.sources_without_audio(M.first_k_per_class(m, 5), listing).collect()
+    assert [(r["dataset_id"], r["reason"]) for r in gone] == [("y", "no audio: y/3.wav")]
+
+
+def test_preflight_and_contract_stop_the_run(spark, tmp_path):
+    from detlake.operators import quality as Q
+    from detlake.plans import extract as X
+    from detlake.plans.evaluate import RunConditions, evaluate_experiment
+    from detlake.sources.tables import scan_features
+
+    waves = spark.createDataFrame([("d", "a", 16000, [0.1] * 3200)], "dataset_id string, utt_id string, sr int, samples array<float>")
+    lfcc, root = X.get_extractor("lfcc"), str(tmp_path / "features")
+    X.extract_features(waves, lfcc, root)
+    built = X.specs(X.read_table(spark, root))
+    assert [(r["feature_id"], r["channels"], r["recipe"]) for r in built.collect()] == [(lfcc.feature_id, 60, lfcc.text)]
+    assert scan_features(spark, root, lfcc.feature_id, channels=60).count() == 21
+    with pytest.raises(Q.FeatureMismatch, match="width 60"):
+        scan_features(spark, root, lfcc.feature_id, channels=80)
+    cases = [(lfcc.feature_id, 60, lfcc.feature_id, 60, None), ("other", 60, "other", 60, "not built"), (lfcc.feature_id, 80, None, None, "width differs"),
+             (lfcc.feature_id, 60, "other", 60, "other features"), (lfcc.feature_id, 60, None, 80, "another width")]
+    manifest = spark.createDataFrame([("d", "a", 0, "test", None)], "dataset_id string, utt_id string, label long, split string, attack_type string")
+    for want, channels, trained, width, problem in cases:
+        wanted = spark.createDataFrame([("m", want, channels)], "name string, feature_id string, channels int")
+        models = spark.createDataFrame([("m", trained, width)], "name string, feature_id string, in_channels int")
+        checked = Q.spec_preflight(wanted, built, models)
+        if problem is None:
+            Q.assert_preflight(checked)
+            continue
+        with pytest.raises(Q.FeatureMismatch, match=problem):
+            evaluate_experiment(manifest, [("d", "test")], lambda rows: rows, RunConditions("w"), str(tmp_path / "s"), preflight=checked)
