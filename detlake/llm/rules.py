@@ -31,7 +31,7 @@ METRICS = {  # metric: least distance of the quartiles, whether low values fail
     "length": (5, True),
     "symbols": (10, False),
     "lines": (100, False),
-    "repeats": (50, False),
+    "repeats": (100, False),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
