@@ -33,8 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, never used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, never used before; :func:`discard` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
+
+
+def _made(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_detlake_made"):
+        sc._detlake_made = []
+    return sc._detlake_made
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove the intermediate tables this session has written, and say how many.
+
+    For when every result that rests on them is stored: results are lazy, so nothing
+    is removed before the caller says so.
+    """
+    made, jvm = _made(spark), spark.sparkContext._jvm
+    for name in made:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(made)
+    made.clear()
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +89,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_detlake_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.join(tempfile.mkdtemp(prefix="detlake-code-"), "detlake")
-    sc.addPyFile(shutil.make_archive(base, "zip", root, "detlake"))
+    folder = tempfile.TemporaryDirectory(prefix="detlake-code-")  # gone with the session
+    sc.addPyFile(shutil.make_archive(os.path.join(folder.name, "detlake"), "zip", root, "detlake"))
+    sc._detlake_code = folder
     sc._detlake_shipped = True

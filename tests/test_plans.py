@@ -185,3 +185,18 @@ def test_preflight_and_contract_stop_the_run(spark, tmp_path):
             continue
         with pytest.raises(Q.FeatureMismatch, match=problem):
             evaluate_experiment(manifest, [("d", "test")], lambda rows: rows, RunConditions("w"), str(tmp_path / "s"), preflight=checked)
+
+
+def test_intermediates_can_be_discarded(spark, tmp_path):
+    from detlake import session
+
+    kept = session._made(spark)[:]
+    session._made(spark).clear()
+    table = session.materialize(spark.range(3), "scrap")
+    path = session._made(spark)[0]
+    table.write.parquet(str(tmp_path / "result"))
+    assert session.discard(spark) == 1
+    from detlake.sinks.tables import path_exists
+
+    assert not path_exists(spark, path) and spark.read.parquet(str(tmp_path / "result")).count() == 3
+    session._made(spark).extend(kept)
