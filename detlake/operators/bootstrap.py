@@ -27,7 +27,7 @@ from detlake import fixed_values as fv
 from detlake.functions.numeric import md5_int
 from detlake.operators import prefix
 from detlake.operators.detection import curve_of, eer_of_nodes, gate, ranged_nodes, score_nodes
-from detlake.session import broadcast_if_small, materialize
+from detlake.session import broadcast_if_small, materialize, ship_package
 
 CHUNK = 50      # replicates drawn together
 PIECE = 10_000  # ranks of one score written out together
@@ -62,6 +62,7 @@ def eer_replicates(
     group: str = "dataset_id",
 ) -> DataFrame:
     """One EER per group and replicate: ``<group>, rep, eer``."""
+    ship_package(scores.sparkSession)
     # Bins by rank: about sqrt(rows) bins of at most sqrt(rows) scores, whatever the
     # values are and however the table is stored.
     curve = curve_of(ranged_nodes(score_nodes(scores, [group]), [group]), [group], False)

@@ -17,7 +17,7 @@ from detlake.operators.detection import eer
 from detlake.operators.frames import fix_length, pooled_features
 from detlake.operators.profile import pos_weight
 from detlake.registry import Registry
-from detlake.session import materialize
+from detlake.session import materialize, ship_package
 
 SCORERS = Registry("scorer")
 
@@ -152,6 +152,7 @@ def score_statpool_mlp(
     frames: DataFrame, channels: int, t_fixed: int, weights: StatPoolWeights
 ) -> DataFrame:
     """``dataset_id, utt_id, score`` of every utterance with frames."""
+    ship_package(frames.sparkSession)
     m = fixed_matrices(frames, t_fixed)
     return m.select(*schema.KEY, statpool_score("matrix", channels, weights).alias("score"))
 

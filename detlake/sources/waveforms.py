@@ -48,6 +48,8 @@ def decode_wav(files: DataFrame, target_sr: int) -> DataFrame:
     ``error`` and no samples; no row is dropped.
     """
 
+    ship_package(files.sparkSession)
+
     @F.pandas_udf(_DECODED)
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for contents in batches:
@@ -84,7 +86,6 @@ def waveform_ingest(
     in ``listing`` (relative ``path``, such as a storage inventory) or by listing
     ``raw_root``, without reading content.
     """
-    ship_package(spark)
     wanted = manifest.select(*schema.KEY, "path")
     if done is not None:
         wanted = wanted.join(done.select(*schema.KEY).distinct(), schema.KEY, "left_anti")
