@@ -27,6 +27,7 @@ BINS = 1 << 15
 PER_LANGUAGE = 5000
 SMOOTHING = 0.5
 UNKNOWN = "und"
+SLICE = 1 << 19  # bytes of text worked on at once; each becomes some sixty bytes of arrays
 
 
 @functools.cache
@@ -71,7 +72,7 @@ def _count_batches(batches):
     texts: dict[str, int] = {}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        for a, b, data, offsets in pieces(batch.column(1)):
+        for a, b, data, offsets in pieces(batch.column(1), SLICE):
             bins, rows, _ = grams(*code_points(data, offsets))
             names, code = np.unique(langs[a:b].astype(str), return_inverse=True)
             flat = code[rows][:, None] * BINS + bins
@@ -114,7 +115,7 @@ def _score(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and posterior of every text of a column."""
     names = np.array([*model.langs, UNKNOWN], object)
     pred, score = [names[:0]], [np.zeros(0)]
-    for _, _, data, offsets in pieces(column):
+    for _, _, data, offsets in pieces(column, SLICE):
         bins, rows, has = grams(*code_points(data, offsets))
         total = np.tile(model.prior, (len(has), 1))
         best = np.full(len(has), len(model.langs))
