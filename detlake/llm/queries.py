@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.llm import chat, decontaminate, langid, lexical, mixing, passages, quality, rules, simhash, toxicity, urls
+from detlake.llm import chat, collocations, decontaminate, langid, lexical, mixing, passages, quality, rules, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_ranked_search", lexical.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_collocations", collocations.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
