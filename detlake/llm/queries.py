@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from detlake.llm import chat, collocations, decontaminate, langid, lexical, mixing, passages, quality, rules, simhash, toxicity, urls
+from detlake.llm import chat, collocations, decontaminate, langid, lexical, mixing, passages, quality, rules, simhash, toxicity, urls, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_collocations", collocations.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_html_text")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(_table(spark, sf_dir, "pages"))
