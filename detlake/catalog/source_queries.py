@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
-import re
-import uuid
 import wave
 
 import numpy as np
@@ -21,6 +18,7 @@ from detlake.plans.manifest import build_manifest
 from detlake.session import shared_path
 from detlake.sinks import tables as sinks
 from detlake.sources import adapters as A, protocol as proto, tables as src
+from detlake.sources.files import write_files
 from detlake.sources.listing import describe_listing, scan_audio_listing
 from detlake.sources.waveforms import decode_wav, waveform_ingest
 
@@ -74,13 +72,13 @@ def q_protocol_fields(spark, sf_dir):
     return key_rows(spark, sf_dir).drop("file", "block", "pos")
 
 
-@query("scan_audio_listing", """select 'event_type=' || event_type folder, '.wav' suffix, count(distinct event_type) n_files,
+@query("scan_audio_listing", """select 'event_type=' || event_type folder, '.wav' suffix, count(distinct user_id % 16) n_files,
  true has_bytes from events group by event_type""")
 def q_scan_audio_listing(spark, sf_dir):
-    """Files with audio names that the events are written to: one file in a folder per type."""
+    """Files with audio names that the events are written to: per type a folder of up to 16, one file in each."""
     root = shared_path(spark, "listing")
-    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value")
-    events.repartition("event_type").write.partitionBy("event_type").option("extension", "wav").csv(root)
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value", F.expr("user_id % 16").alias("part"))
+    events.repartition("event_type", "part").write.partitionBy("event_type", "part").option("extension", "wav").csv(root)
     files = scan_audio_listing(spark, root)
     return files.groupBy(P.path_part(F.col("rel"), 0).alias("folder"), "suffix").agg(
         F.count("*").alias("n_files"), (F.sum("length") > 0).alias("has_bytes"))
@@ -223,23 +221,6 @@ def q_decode_wav(spark, sf_dir):
                     F.when(F.col("samples").isNotNull(), F.size("samples")).alias("n_samples"), "error")
 
 
-def _write_files(rows, root: str) -> None:
-    """Write each ``content`` to ``root/path``; a repeated task writes the same bytes again."""
-    local = re.sub("^file:/+", "/", root)
-
-    def write(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                place = os.path.join(local, path)
-                os.makedirs(os.path.dirname(place), exist_ok=True)
-                with open(f"{place}.{uuid.uuid4().hex}.part", "wb") as f:
-                    f.write(content)
-                os.replace(f.name, place)
-            yield batch[["path"]]
-
-    rows.select("path", "content").mapInPandas(write, "path string").count()
-
-
 @query("waveform_ingest", """select dataset_id, utt_id,
  case when n%25 in (3,4,5) then null else cast(64 as integer) end n_samples,
  case when n%25=3 then 'ValueError: sample rate 8000, expected 16000' when n%25=4 then 'EOFError: '
@@ -251,7 +232,7 @@ def q_waveform_ingest(spark, sf_dir):
     path = F.concat(F.lit("set="), "dataset_id", F.lit("/"), "utt_id", F.lit(".wav"))
     rows = _wav_rows(spark, sf_dir).withColumn("path", path)
     root = shared_path(spark, "audio")
-    _write_files(rows.filter(n % 25 != 5), root)
+    write_files(rows.filter(n % 25 != 5), root)
     manifest = view(spark, sf_dir, "v_wave").select("dataset_id", "utt_id", path.alias("path"))
     waves = waveform_ingest(spark, manifest, root, 16000, done=manifest.filter(n % 4 == 1))
     return waves.select("dataset_id", "utt_id",

@@ -12,7 +12,8 @@ from detlake.functions import recipes, signal as S
 from detlake.operators import frames as Fr
 from detlake.operators.quality import contract_failures
 from detlake.plans import extract as X
-from detlake.sources import waveforms as W
+from detlake.sources import files, waveforms as W
+from detlake.sources.listing import scan_audio_listing
 
 
 def frame_table(spark, lengths, seed=0):
@@ -240,15 +241,73 @@ def test_ingest_decodes_only_what_is_left(spark, tmp_path):
     done = spark.createDataFrame([("d", "u0"), ("d", "u9")], "dataset_id string, utt_id string")
     waves = W.waveform_ingest(spark, manifest, str(tmp_path / "raw"), 16000, done=done)
     assert {r["utt_id"]: r["error"] for r in waves.collect()} == {"u1": None, "u2": None, "u3": "FileNotFoundError: no audio file"}
-    # decoding stands above the join with the keys that are left, never below a join or shuffle
+    # files are opened above the last shuffle, which moves paths only
     lines = waves._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    depth = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
-    assert not any("Join" in line for line in lines[:depth])
+    depth = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert not any(kind in line for line in lines[:depth] for kind in ("Join", "Repartition"))
     listed = spark.createDataFrame([(f"part=1/u{i}.wav",) for i in range(3)], "path string")
     again = W.waveform_ingest(spark, manifest, str(tmp_path / "raw"), 16000, listing=listed)
     assert again.filter("error like 'FileNot%'").count() == 1 and again.count() == 4
 
 
+def test_bytes_read_follow_the_files_wanted(spark, tmp_path, monkeypatch):
+    """Of 60 files 12 are wanted: those bytes are read, in bundles, and files that are not wanted stay closed."""
+    sizes = {}
+    for i in range(60):
+        folder = tmp_path / f"part={i % 3}"
+        folder.mkdir(exist_ok=True)
+        raw = wav_bytes(b"\0\1" * (200 * i + 64))
+        (folder / f"u{i}.wav").write_bytes(raw)
+        sizes[i] = len(raw)
+        (folder / f"u{i}.wav").chmod(0o644)
+    path = lambda i: f"part={i % 3}/u{i}.wav"
+    manifest = spark.createDataFrame([("d", f"u{i}", path(i)) for i in range(60)] + [("d", "gone", "part=0/gone.wav"), ("d", "folder", "part=1"), ("d", "none", None)],
+                                     "dataset_id string, utt_id string, path string")
+    done = spark.createDataFrame([("d", f"u{i}") for i in range(60) if i % 5], "dataset_id string, utt_id string")
+    wanted = [i for i in range(60) if i % 5 == 0]
+    for i in set(range(60)) - set(wanted):
+        (tmp_path / path(i)).unlink()
+        (tmp_path / path(i)).mkdir()  # opening it as a file would fail the task
+    monkeypatch.setattr(W, "BUNDLE", 50_000)
+    monkeypatch.setattr(W, "OPENING", 100)
+    waves = W.waveform_ingest(spark, manifest, str(tmp_path), 16000, done=done)
+    rows = {r["utt_id"]: r for r in waves.collect()}
+    assert len(rows) == 15 and sum(r["n_bytes"] for r in rows.values()) == sum(sizes[i] for i in wanted)
+    assert all(rows[f"u{i}"]["n_bytes"] == sizes[i] and len(rows[f"u{i}"]["samples"]) == 200 * i + 64 for i in wanted)
+    assert {k for k, r in rows.items() if r["error"]} == {"gone", "folder", "none"}
+    tasks = waves.filter("n_bytes > 0").groupBy(F.spark_partition_id().alias("task")).agg(F.sum("n_bytes").alias("n")).collect()
+    assert len(tasks) >= 3 and max(r["n"] for r in tasks) <= 50_000 + max(sizes.values())
+    listed = spark.createDataFrame([(path(i), sizes[i]) for i in wanted], "path string, length long")
+    again = W.waveform_ingest(spark, manifest, str(tmp_path), 16000, done=done, listing=listed)
+    assert sorted(map(str, again.collect())) == sorted(map(str, waves.collect()))
+    assert W.waveform_ingest(spark, manifest.limit(0), str(tmp_path), 16000).count() == 0
+
+
+def test_a_store_that_only_spark_opens_is_scanned(spark, tmp_path):
+    (tmp_path / "u0.wav").write_bytes(wav_bytes(b"\0\1" * 64))
+    manifest = spark.createDataFrame([("d", "u0", "u0.wav"), ("d", "u1", "u1.wav")], "dataset_id string, utt_id string, path string")
+    plain = W.waveform_ingest(spark, manifest, str(tmp_path), 16000)
+    scanned = W._scan_and_decode(spark, manifest, str(tmp_path), 16000, None)
+    assert plain.columns == scanned.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, scanned.collect()))
+    assert not files.reachable("viewfs://lake/raw")
+
+
+def test_walk_lists_as_the_file_source_does(spark, tmp_path):
+    for name in ("a/b/c/x.wav", "a/b/y.FLAC", "z.mp3", "a/.hidden/n.wav", "a/_temporary/m.wav", ".x.wav", "a/b/_y.wav", "notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    (tmp_path / "empty").mkdir()
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    want = {r["path"].removeprefix(f"file:{tmp_path}/") for r in source.select("path").collect()}
+    assert {(r["path"], r["length"]) for r in files.walk(spark, str(tmp_path)).collect()} == {(p, 5) for p in want}
+    listed = scan_audio_listing(spark, f"file://{tmp_path}")
+    assert {r["rel"] for r in listed.collect()} == {"a/b/c/x.wav", "a/b/y.FLAC", "z.mp3"}
+    assert files.walk(spark, str(tmp_path / "empty")).count() == 0
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan
+
+
 def test_stream_repeats_move_alone(spark):
     from detlake.streaming.incremental import one_per_key
 
