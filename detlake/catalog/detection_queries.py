@@ -105,24 +105,7 @@ join v_scores s on s.dataset_id=g.dataset_id and s.label=0
 group by g.dataset_id, g.attack_type, g.n_spoof""", ["v_scores"])
 def q_negatives_per_attack(spark, sf_dir):
     """All negatives of the dataset meet each attack, through counts instead of copies."""
-    from pyspark.sql import Window
-
-    from detlake.operators.prefix import running_totals
-
-    s = _scores(spark, sf_dir)
-    cum = running_totals(D.score_nodes(s, ["dataset_id"]), ["dataset_id"], "score", ["n"], descending=True)
-    size = s.filter("label = 0").groupBy("dataset_id").agg(F.count("*").alias("n_bonafide"))
-    kinds = (
-        s.filter("label = 1 and attack_type is not null")
-        .groupBy("dataset_id", "attack_type")
-        .agg(F.count("*").alias("n_spoof"), F.max("score").alias("score"))
-    )
-    return (
-        kinds.join(cum.select("dataset_id", "score", "cum_n"), ["dataset_id", "score"])
-        .join(size, "dataset_id")
-        .select("dataset_id", "attack_type", "n_spoof", "n_bonafide",
-                F.col("cum_n").alias("n_bonafide_at_top"))
-    )
+    return D.negatives_at_or_above(_scores(spark, sf_dir), ["dataset_id"])
 
 
 SQL_ROC = f"""with {sql_curve('v_scores', 'dataset_id')}

@@ -6,11 +6,13 @@ the group columns. All results are per group, never pooled over datasets.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from detlake import fixed_values as fv
 from detlake.functions.numeric import probit, share
-from detlake.operators import prefix
+from detlake.operators import bracket, prefix
 from detlake.session import broadcast_if_small, materialize
 
 INF = float("inf")
@@ -78,6 +80,19 @@ def ranged_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
 
 def curve_of(ranged: DataFrame, group: list[str], drop_collinear: bool) -> DataFrame:
     """The nodes of :func:`roc_nodes`, for groups with one class too."""
+    out = _walked(ranged, group)
+    if drop_collinear:
+        out = out.filter(F.col("first") | F.col("next_p").isNull() | _turns())
+    return out.drop("next_p", "next_n")
+
+
+def _turns() -> Column:
+    """Whether the step into a node differs from the step out of it."""
+    return (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
+
+
+def _walked(ranged: DataFrame, group: list[str]) -> DataFrame:
+    """All nodes with running counts, the next node's counts and whether a node is the first."""
     top = [F.max_by(c, "score").alias(f"top_{c}") for c in ("p", "n")]
     per_range = prefix.range_totals(ranged, group, ["p", "n"], top)
 
@@ -97,7 +112,7 @@ def curve_of(ranged: DataFrame, group: list[str], drop_collinear: bool) -> DataF
 
     local = Window.partitionBy(*group, *prefix.RANGE).orderBy(F.col("score").desc())
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    out = prefix.join_offsets(ranged, offsets, group).select(
+    return prefix.join_offsets(ranged, offsets, group).select(
         *group, "score", "p", "n", "all_p", "all_n",
         (F.col("off_p") + F.sum("p").over(upto)).alias("tp"),
         (F.col("off_n") + F.sum("n").over(upto)).alias("fp"),
@@ -105,10 +120,6 @@ def curve_of(ranged: DataFrame, group: list[str], drop_collinear: bool) -> DataF
         F.coalesce(F.lead("n").over(local), F.col("after_n")).alias("next_n"),
         (F.col("first_range") & (F.row_number().over(local) == 1)).alias("first"),
     )
-    if drop_collinear:
-        turns = (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
-        out = out.filter(F.col("first") | F.col("next_p").isNull() | turns)
-    return out.drop("next_p", "next_n")
 
 
 def roc_points(scores: DataFrame, group: list[str]) -> DataFrame:
@@ -165,10 +176,60 @@ def eer(scores: DataFrame, group: list[str]) -> DataFrame:
     nodes. A group with one class has NULL for both. A crossing before the first
     node has threshold +inf, or NULL when all scores are equal.
 
-    Rows are reduced to one per score before anything is stored; the curve then
-    runs range by range (:mod:`detlake.operators.prefix`), the same way at any size.
+    Quantile sketches bracket the crossing (:mod:`detlake.operators.bracket`). Rows
+    outside a bracket are counted, only distinct scores inside are stored and walked, range
+    by range (:mod:`detlake.operators.prefix`). A group whose crossing, or a node it
+    is interpolated from, is not proven to lie inside is done again with a wider
+    bracket, at last with the whole curve.
     """
-    return eer_of_nodes(score_nodes(scores, group), group)
+    rows = gate(scores).select(*group, "label", F.col("score").cast("double").alias("score"))
+    of_class = bracket.sketches(rows, [*group, "label"], "sketch").groupBy(*group).agg(
+        F.max(F.when(F.col("label") == 1, F.col("sketch"))).alias("spoof"),
+        F.max(F.when(F.col("label") == 0, F.col("sketch"))).alias("bona"),
+    )
+    of_class = materialize(of_class, "eer_sketches")
+    one_class = F.col("spoof").isNull() | F.col("bona").isNull()
+    none = F.lit(None).cast("double")
+    out = of_class.filter(one_class).select(*group, none.alias("eer"), none.alias("threshold"))
+    left, margin = of_class.filter(~one_class), bracket.MARGIN
+    while True:
+        found = materialize(_bracketed(rows, bracket.brackets(left, group, margin), group), "eer_found")
+        out = out.unionByName(found.filter("settled").drop("settled"))
+        if margin is None or found.filter("not settled").isEmpty():
+            return out
+        left, margin = of_class.join(found.filter("not settled").select(*group), group, "left_semi"), bracket.wider(margin)
+
+
+def zoned_nodes(rows: DataFrame, ends: DataFrame, group: list[str]) -> DataFrame:
+    """Counts per distinct score inside the brackets, and in total above and below; stored."""
+    zone = bracket.zone(F.col("score"), F.col("lo"), F.col("hi"))
+    inside = F.when(F.col("zone") == 0, F.col("score"))
+    zoned = rows.join(ends, group).withColumn("zone", zone).withColumn("score", inside)
+    nodes = zoned.groupBy(*group, "zone", "score").agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    return materialize(nodes, "eer_nodes")
+
+
+def _bracketed(rows: DataFrame, ends: DataFrame, group: list[str]) -> DataFrame:
+    """EER and threshold of each bracketed group and whether they are proven right (``settled``)."""
+    nodes = zoned_nodes(rows, ends, group)
+    of_zone = lambda z, c: F.coalesce(F.sum(F.when(F.col("zone") == z, c)), F.lit(0))
+    sizes = nodes.groupBy(*group).agg(
+        of_zone(1, F.col("p")).alias("above_p"), of_zone(1, F.col("n")).alias("above_n"),
+        of_zone(-1, F.col("p") + F.col("n")).alias("below"),
+        F.sum("p").alias("size_p"), F.sum("n").alias("size_n"),
+    )
+    inside = nodes.filter("zone = 0").drop("zone")
+    walked = _walked(ranged_nodes(inside, group), group).join(sizes, group)
+    no_above, no_below = F.col("above_p") + F.col("above_n") == 0, F.col("below") == 0
+    kept = (F.col("first") & no_above) | F.when(F.col("next_p").isNull(), no_below).otherwise(_turns())
+    curve = walked.filter(kept).select(
+        *group, "score", (F.col("tp") + F.col("above_p")).alias("tp"), (F.col("fp") + F.col("above_n")).alias("fp"),
+        F.col("size_p").alias("all_p"), F.col("size_n").alias("all_n"),
+    )
+    found = sizes.select(*group, no_above.alias("no_above")).join(_neighbours(curve, group), group, "left")
+    settled = (F.col("no_above") | F.col("a_score").isNotNull()) & F.col("b_tp").isNotNull()
+    return _interpolated(found, [*group, settled.alias("settled")])
 
 
 def eer_of_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
@@ -178,17 +239,26 @@ def eer_of_nodes(nodes: DataFrame, group: list[str]) -> DataFrame:
 
 def _crossing(curve: DataFrame, group: list[str]) -> DataFrame:
     """EER and threshold between the last node above and the first node below."""
+    return _interpolated(_neighbours(curve, group), group)
+
+
+def _neighbours(curve: DataFrame, group: list[str]) -> DataFrame:
+    """The last node above the crossing (``a_``) and the first below (``b_``) of each group."""
     above = _side(F.col("tp"), F.col("fp")) >= 0
     hi = lambda c: F.when(above, F.col(c))
     lo = lambda c: F.when(~above, F.col(c))
     # Counts grow and scores fall along the curve: the extremes on each side of
     # the crossing are its two neighbouring nodes.
-    found = curve.groupBy(*group).agg(
+    return curve.groupBy(*group).agg(
         F.min(hi("score")).alias("a_score"), F.max(lo("score")).alias("b_score"),
         F.coalesce(F.max(hi("tp")), F.lit(0)).alias("a_tp"), F.min(lo("tp")).alias("b_tp"),
         F.coalesce(F.max(hi("fp")), F.lit(0)).alias("a_fp"), F.min(lo("fp")).alias("b_fp"),
         F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"),
     )
+
+
+def _interpolated(found: DataFrame, group: list[str | Column]) -> DataFrame:
+    """EER and threshold between the two neighbours."""
     k_a = _balance(F.col("a_tp"), F.col("a_fp")).cast("double")
     k_b = _balance(F.col("b_tp"), F.col("b_fp")).cast("double")
     found = found.withColumn("t", k_a / F.nullif(k_a - k_b, F.lit(0.0)))
@@ -214,22 +284,70 @@ def eer_by_group(
     spoof rows with a NULL kind are left out, bonafide rows always count. The
     negatives are not repeated per kind: each spoof score only needs how many
     bonafide scores lie at or above it, which one running total per dataset gives.
+
+    Every kind has its own bracket (:mod:`detlake.operators.bracket`); bonafide scores are kept
+    only where some bracket of the dataset lies and counted by gap elsewhere, so what
+    is sorted is a part of the scores. Kinds that are not proven to cross inside are done
+    again with wider brackets.
     """
     by = by or ["attack_type"]
     kinds = [*within, *by]
-    ok = gate(scores).withColumn("score", F.col("score").cast("double"))
-    spoof = ok.filter(F.col("label") == fv.LABEL_SPOOF)
-    for c in by:
-        spoof = spoof.filter(F.col(c).isNotNull())
-    spoof = spoof.groupBy(*kinds, "score").agg(F.count("*").alias("p"))
-    bona = (
-        ok.filter(F.col("label") == fv.LABEL_BONAFIDE)
-        .groupBy(*within, "score")
-        .agg(F.count("*").alias("n"))
-    )
-    merged = spoof.withColumn("n", F.lit(0).cast("long")).unionByName(
-        bona.withColumn("p", F.lit(0).cast("long")), allowMissingColumns=True
+    is_spoof = F.col("label") == fv.LABEL_SPOOF
+    rows = gate(scores).select(
+        *within, *[F.when(is_spoof, F.col(c)).alias(c) for c in by], "label", F.col("score").cast("double").alias("score"))
+    named = functools.reduce(lambda a, c: a & F.col(c).isNotNull(), by, F.lit(True))
+    rows = rows.filter(~is_spoof | named)
+    sketches = materialize(bracket.sketches(rows, [*kinds, "label"], "sketch"), "kind_sketches")
+    bona = sketches.filter(~is_spoof).select(*within, F.col("sketch").alias("bona"))
+    of_kind = sketches.filter(is_spoof).select(*kinds, F.col("sketch").alias("spoof")).join(bona, within, "left")
+    n_spoof = F.kll_sketch_get_n_double("spoof").alias("n_spoof")
+    out = of_kind.filter("bona is null").select(*kinds, n_spoof, F.lit(None).cast("double").alias("eer"))
+    left, margin = of_kind.filter("bona is not null"), bracket.MARGIN
+    while True:
+        found = materialize(_kinds_bracketed(rows, bracket.brackets(left, kinds, margin), within, by), "kind_found")
+        out = out.unionByName(found.filter("settled").drop("settled"))
+        if margin is None or found.filter("not settled").isEmpty():
+            return out.withColumn("eer", F.bround("eer", 6))
+        left = of_kind.join(found.filter("not settled").select(*kinds), kinds, "left_semi")
+        margin = bracket.wider(margin)
+
+
+def _covered(ends: DataFrame, within: list[str]) -> DataFrame:
+    """The brackets of a dataset's kinds as separate intervals: arrays ``los``, ``his`` in ascending order."""
+    open_ends = ends.select(*within, F.coalesce("lo", F.lit(-INF)).alias("lo"), F.coalesce("hi", F.lit(INF)).alias("hi"))
+    in_order = Window.partitionBy(*within).orderBy("lo", "hi")  # one row per kind
+    reach = F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1))
+    islands = open_ends.withColumn("new", starts).withColumn("island", F.sum("new").over(in_order))
+    islands = islands.groupBy(*within, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return islands.groupBy(*within).agg(
+        F.sort_array(F.collect_list("lo")).alias("los"), F.sort_array(F.collect_list("hi")).alias("his"))
+
+
+def _kinds_bracketed(rows: DataFrame, ends: DataFrame, within: list[str], by: list[str]) -> DataFrame:
+    """EER of the bracketed kinds and whether their crossing is proven to lie inside."""
+    kinds, is_spoof = [*within, *by], F.col("label") == fv.LABEL_SPOOF
+    # One pass: spoof scores inside their own bracket, bonafide scores under any bracket, and
+    # one row per gap between brackets, which stands at the end of the bracket below it.
+    held = rows.join(ends.withColumn("known", F.lit(True)), kinds, "left").join(_covered(ends, within), within)
+    at_least = F.size(F.filter("los", lambda x: x <= F.col("score")))
+    beyond = F.size(F.filter("his", lambda x: x < F.col("score")))
+    gap = F.when(F.col("gap") > 0, F.get("his", F.col("gap") - 1)).otherwise(-INF)
+    held = held.filter(~is_spoof | F.col("known")).select(
+        *kinds, "label", "score", "his",
+        F.when(is_spoof, bracket.zone(F.col("score"), F.col("lo"), F.col("hi"))).alias("zone"),
+        F.when(~is_spoof & (at_least == beyond), at_least).alias("gap"),
     )
+    place = F.when(F.col("zone") != 0, None).when(F.col("gap").isNull(), F.col("score")).otherwise(gap)
+    held = held.groupBy(*kinds, "label", "zone", F.col("gap").isNull().alias("real"), place.alias("score"))
+    nodes = materialize(held.agg(F.count("*").alias("rows")), "kind_scores")
+    spoof = nodes.filter(is_spoof).withColumnRenamed("rows", "p")
+    of_zone = lambda z: F.coalesce(F.sum(F.when(F.col("zone") == z, F.col("p"))), F.lit(0))
+    sizes = spoof.groupBy(*kinds).agg(of_zone(1).alias("above_p"), of_zone(-1).alias("below_p"), F.sum("p").alias("all_p"))
+    count = lambda on: F.when(on, F.col("rows")).otherwise(0)
+    merged = nodes.filter(~is_spoof | (F.col("zone") == 0)).select(
+        *kinds, "score", count(is_spoof).alias("p"), count(~is_spoof).alias("n"), count(~is_spoof & F.col("real")).alias("here"))
+
     # Bonafide rows at each score, then at or above it, for every spoof node.
     ranged = prefix.with_ranges(merged, within, "score", descending=True, name="kind_nodes")
     offsets = prefix.range_totals(ranged, within, ["n"]).select(
@@ -237,14 +355,8 @@ def eer_by_group(
         F.coalesce(F.sum("n").over(prefix.before_range(within)), F.lit(0)).alias("off_n"),
         F.sum("n").over(Window.partitionBy(*within)).alias("all_n"),
     )
-    kind_offsets = (
-        prefix.range_totals(ranged.filter(F.col("p") > 0), kinds, ["p"])
-        .select(
-            *kinds, *prefix.RANGE,
-            F.coalesce(F.sum("p").over(prefix.before_range(kinds)), F.lit(0)).alias("off_p"),
-            F.sum("p").over(Window.partitionBy(*kinds)).alias("all_p"),
-        )
-    )
+    kind_offsets = prefix.range_totals(ranged.filter(F.col("p") > 0), kinds, ["p"]).select(
+        *kinds, *prefix.RANGE, F.coalesce(F.sum("p").over(prefix.before_range(kinds)), F.lit(0)).alias("off_p"))
     in_range = Window.partitionBy(*within, *prefix.RANGE)
     upto = in_range.orderBy(F.col("score").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -253,7 +365,7 @@ def eer_by_group(
     with_fp = (
         prefix.join_offsets(ranged, offsets, within)
         .withColumn("fp", F.col("off_n") + F.sum("n").over(upto))
-        .withColumn("n_here", F.sum("n").over(same))
+        .withColumn("n_here", F.sum("here").over(same))
         .filter(F.col("p") > 0)
     )
     kind_upto = (
@@ -261,17 +373,16 @@ def eer_by_group(
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    nodes = prefix.join_offsets(with_fp, kind_offsets, kinds).withColumn(
-        "tp", F.col("off_p") + F.sum("p").over(kind_upto)
-    )
-    beyond = _side(F.col("tp"), F.col("fp")) < 0
+    nodes = prefix.join_offsets(with_fp, kind_offsets, kinds).join(sizes, kinds)
+    nodes = nodes.withColumn("tp", F.col("above_p") + F.col("off_p") + F.sum("p").over(kind_upto))
+    past = _side(F.col("tp"), F.col("fp")) < 0
     found = nodes.groupBy(*kinds).agg(
-        F.sum("p").alias("n_spoof"),
-        F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"),
-        *[F.min(F.when(beyond, F.col(c))).alias(f"b_{c}") for c in ("tp", "fp")],
-        F.min(F.when(beyond, F.col("tp") - F.col("p"))).alias("a_tp"),
-        F.min(F.when(beyond, F.col("fp") - F.col("n_here"))).alias("a_fp"),
+        F.max("all_n").alias("all_n"), F.bool_or(~past).alias("some_before"),
+        *[F.min(F.when(past, F.col(c))).alias(f"b_{c}") for c in ("tp", "fp")],
+        F.min(F.when(past, F.col("tp") - F.col("p"))).alias("a_tp"),
+        F.min(F.when(past, F.col("fp") - F.col("n_here"))).alias("a_fp"),
     )
+    found = sizes.join(found, kinds, "left")
     # Up to node b only the bonafide count moves; the crossing lies there or on b.
     p, n = F.col("all_p").cast("double"), F.col("all_n").cast("double")
     tp_a, fp_a = F.col("a_tp"), F.col("a_fp")
@@ -279,12 +390,33 @@ def eer_by_group(
     k_b = _balance(F.col("b_tp"), F.col("b_fp")).cast("double")
     t = k_a / (k_a - k_b)
     value = (
-        F.when(F.col("all_n") == 0, None)
-        .when(F.col("b_tp").isNull(), 0.0)
+        F.when(F.col("b_tp").isNull(), 0.0)
         .when(k_a < 0, 1.0 - tp_a / p)
         .otherwise((fp_a + t * (F.col("b_fp") - fp_a)) / n)
     )
-    return found.select(*kinds, "n_spoof", F.bround(value, 6).alias("eer"))
+    before = (F.col("above_p") == 0) | F.coalesce("some_before", F.lit(False))
+    after = (F.col("below_p") == 0) | F.col("b_tp").isNotNull()
+    return found.select(*kinds, F.col("all_p").alias("n_spoof"), value.alias("eer"), (before & after).alias("settled"))
+
+
+def negatives_at_or_above(
+    scores: DataFrame, within: list[str], by: list[str] | None = None
+) -> DataFrame:
+    """Per kind of spoof its rows, all bonafide rows of the dataset, and those at or above the kind's top score.
+
+    ``n_spoof``, ``n_bonafide``, ``n_bonafide_at_top``; kinds as in :func:`eer_by_group`. All
+    negatives meet each kind through one running total, not as copies.
+    """
+    by = by or ["attack_type"]
+    ok = gate(scores).withColumn("score", F.col("score").cast("double"))
+    cum = prefix.running_totals(score_nodes(ok, within), within, "score", ["n"], descending=True)
+    size = ok.filter(F.col("label") == fv.LABEL_BONAFIDE).groupBy(*within).agg(F.count("*").alias("n_bonafide"))
+    kinds = ok.filter(F.col("label") == fv.LABEL_SPOOF)
+    for c in by:
+        kinds = kinds.filter(F.col(c).isNotNull())
+    kinds = kinds.groupBy(*within, *by).agg(F.count("*").alias("n_spoof"), F.max("score").alias("score"))
+    return kinds.join(size, within).join(cum.select(*within, "score", "cum_n"), [*within, "score"]).select(
+        *within, *by, "n_spoof", "n_bonafide", F.col("cum_n").alias("n_bonafide_at_top"))
 
 
 # --- confusion ---------------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from detlake.operators import bootstrap, detection as D, prefix
+from detlake.operators import bootstrap, bracket, detection as D, prefix
 
 GOLDEN = [
     ([.1, .2, .8, .9], [0, 0, 1, 1], 0.0, 0.8),
@@ -250,3 +250,117 @@ def test_roc_has_no_window_over_a_whole_group(spark):
         assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
         shapes.append(_shape(df))
     assert shapes[0] == shapes[1]
+
+
+# --- brackets ------------------------------------------------------------------
+
+def _bracket_cases():
+    """Score tables where the crossing is easy, tied, at an end, on a long straight run, or infinite."""
+    rng = np.random.default_rng(11)
+    rows = []
+
+    def add(g, label, scores):
+        rows.extend((g, f"k{i % 3}", label, float(x)) for i, x in enumerate(scores))
+
+    for g in range(6):
+        n, m = int(rng.integers(1, 3000)), int(rng.integers(1, 3000))
+        add(f"normal{g}", 1, rng.normal(rng.uniform(-1, 2), 1, n))
+        add(f"normal{g}", 0, rng.normal(0, 1, m))
+    add("ties", 1, rng.integers(0, 5, 2000))
+    add("ties", 0, rng.integers(-2, 4, 2000))
+    add("half", 1, [0.5] * 900 + list(rng.uniform(0, 1, 900)))
+    add("half", 0, [0.5] * 900 + list(rng.uniform(0, 1, 900)))
+    add("apart", 1, rng.uniform(2, 3, 1500))
+    add("apart", 0, rng.uniform(0, 1, 1500))
+    add("turned", 1, rng.uniform(0, 1, 1500))
+    add("turned", 0, rng.uniform(2, 3, 1500))
+    add("run", 1, np.r_[np.arange(0, 10), np.arange(5000, 5010)])  # the crossing lies in a run of 4000 equal steps
+    add("run", 0, np.r_[np.arange(100, 4100), np.arange(6000, 6400)])
+    add("same", 1, [1.0] * 50)
+    add("same", 0, [1.0] * 70)
+    add("infinite", 1, np.r_[[np.inf] * 300, rng.normal(1, 1, 300), [-np.inf] * 200])
+    add("infinite", 0, np.r_[[np.inf] * 150, rng.normal(0, 1, 300), [-np.inf] * 400])
+    add("largest", 1, np.r_[[1.7976931348623157e308] * 30, [np.inf] * 30, rng.normal(1, 1, 300)])
+    add("largest", 0, np.r_[[1.7976931348623157e308] * 30, [np.inf] * 20, rng.normal(0, 1, 300)])
+    add("one", 1, rng.normal(0, 1, 40))
+    add("few", 1, [0.3])
+    add("few", 0, [0.1, 0.2, 0.4])
+    rows += [("normal0", None, 1, 0.1), ("normal0", "k0", 1, float("nan")), ("normal0", "k0", None, 0.2), ("normal0", "k0", 0, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def bracket_cases(spark):
+    rows = _bracket_cases()
+    return spark.createDataFrame(rows, "g string, kind string, label int, score double").repartition(5), rows
+
+
+def _same(got, want):
+    assert set(got) == set(want)
+    for k, v in want.items():
+        for a, b in zip(got[k], v):
+            assert (a is None and b is None) or a == b or abs(a - b) < 1e-9, (k, got[k], v)
+
+
+@pytest.mark.parametrize("margin, few, grid", [(bracket.MARGIN, bracket.FEW, bracket.GRID), (1e-6, 0.0, 8)])
+def test_bracketed_eer_is_the_whole_curves(spark, bracket_cases, monkeypatch, margin, few, grid):
+    """Also with margins that miss the crossing at first and have to be widened."""
+    monkeypatch.setattr(bracket, "MARGIN", margin)
+    monkeypatch.setattr(bracket, "FEW", few)
+    monkeypatch.setattr(bracket, "GRID", grid)
+    df, rows = bracket_cases
+    key = lambda r: (r["eer"], r["threshold"])
+    whole = {r["g"]: key(r) for r in D.eer_of_nodes(D.score_nodes(df, ["g"]), ["g"]).collect()}
+    _same({r["g"]: key(r) for r in D.eer(df, ["g"]).collect()}, whole)
+
+    kinds = df.filter("label = 1 and kind is not null").select("g", F.col("kind").alias("attack_type")).distinct()
+    copies = kinds.join(df, "g").filter("label = 0 or kind = attack_type")
+    each = D.eer_of_nodes(D.score_nodes(copies, ["g", "attack_type"]), ["g", "attack_type"])
+    want = {(r["g"], r["attack_type"]): (None if r["eer"] is None else round(r["eer"], 6),) for r in each.collect()}
+    got = D.eer_by_group(df.withColumnRenamed("kind", "attack_type"), ["g"])
+    n = {(r["g"], r["kind"]): r["n"] for r in D.gate(df).filter("label = 1").groupBy("g", "kind").agg(F.count("*").alias("n")).collect()}
+    found = got.collect()
+    assert all(r["n_spoof"] == n[r["g"], r["attack_type"]] for r in found)
+    for r in found:
+        a, b = r["eer"], want[r["g"], r["attack_type"]][0]
+        assert (a is None and b is None) or abs(a - b) < 2e-6
+    assert len(found) == len(want)
+
+
+def test_few_scores_are_kept_inside_a_bracket(spark, monkeypatch):
+    rows = spark.range(300_000).select(
+        F.expr("if(id % 3 = 0, 'a', 'b')").alias("g"), F.expr("cast(id % 2 as int)").alias("label"),
+        (F.randn(5) + F.expr("id % 2")).alias("score"))
+    rows = rows.withColumn("attack_type", F.expr("if(label = 1, concat('k', hash(score) % 4), null)"))
+    seen = {}
+    store = D.materialize
+
+    def counted(df, name):
+        out = store(df, name)
+        seen[name] = out.count()
+        return out
+
+    rows = store(rows, "bracket-scores")
+    monkeypatch.setattr(D, "materialize", counted)
+    D.eer(rows, ["g"]).collect()
+    assert 0 < seen["eer_nodes"] < 0.06 * 300_000
+    D.eer_by_group(rows, ["g"]).collect()
+    assert 0 < seen["kind_scores"] < 0.12 * 300_000
+
+
+def test_bracketed_eer_of_no_rows(spark):
+    none = spark.createDataFrame([], "g string, attack_type string, label int, score double")
+    assert D.eer(none, ["g"]).collect() == [] and D.eer_by_group(none, ["g"]).collect() == []
+
+
+def test_negatives_at_or_above_the_top(spark, bracket_cases):
+    df, rows = bracket_cases
+    got = {(r["g"], r["kind"]): (r["n_spoof"], r["n_bonafide"], r["n_bonafide_at_top"]) for r in D.negatives_at_or_above(df, ["g"], ["kind"]).collect()}
+    ok = [r for r in rows if r[2] is not None and r[3] is not None and not np.isnan(r[3])]
+    want = {}
+    for g, k in {(r[0], r[1]) for r in ok if r[2] == 1 and r[1] is not None}:
+        spoof = [r[3] for r in ok if r[:2] == (g, k) and r[2] == 1]
+        bona = [r[3] for r in ok if r[0] == g and r[2] == 0]
+        if bona:
+            want[g, k] = (len(spoof), len(bona), sum(x >= max(spoof) for x in bona))
+    assert got == want
