@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 
 import numpy as np
@@ -18,7 +19,7 @@ from detlake.plans.manifest import build_manifest
 from detlake.session import shared_path
 from detlake.sinks import tables as sinks
 from detlake.sources import adapters as A, protocol as proto, tables as src
-from detlake.sources.files import write_files
+from detlake.sources.files import content_digests, write_files
 from detlake.sources.listing import describe_listing, scan_audio_listing
 from detlake.sources.waveforms import decode_wav, waveform_ingest
 
@@ -121,10 +122,10 @@ def q_write_csv(spark, sf_dir):
 
 
 @query("scan_manifest_pruned", """select replace(dataset_id, ' ', '_') || '__' || utt_id utt_id, 'audio/' || dataset_id || '/' || utt_id || '.flac' path
-from v_manifest where attack_type is not null or label = 0""", ["v_manifest"])
+from v_manifest""", ["v_manifest"])
 def q_scan_manifest_pruned(spark, sf_dir):
     """A manifest built by an adapter, stored, and read back with two columns."""
-    m = view(spark, sf_dir, "v_manifest").filter("attack_type is not null or label = 0")
+    m = view(spark, sf_dir, "v_manifest")
     name = F.concat_ws("__", F.replace("dataset_id", F.lit(" "), F.lit("_")), "utt_id")
     path = shared_path(spark, "index")
     place = F.concat(F.lit("audio/"), "dataset_id", F.lit("/"), "utt_id", F.lit(".flac"))
@@ -138,7 +139,7 @@ def q_scan_manifest_pruned(spark, sf_dir):
 
 @query("table_rowcount", "select count(*) n_rows from lineitem")
 def q_table_rowcount(spark, sf_dir):
-    return src.table_rowcount(table(spark, sf_dir, "lineitem"))
+    return src.footer_rowcount(spark, f"{sf_dir}/lineitem.parquet")
 
 
 SQL_LATEST = """select run, epoch, train_loss, val_eer, val_threshold, lr from v_history
@@ -253,12 +254,23 @@ def q_downmix_mono(spark, sf_dir):
 @query("write_table_atomic", "select dataset_id, count(*) n_rows from v_manifest where split='dev' group by dataset_id",
        ["v_manifest"])
 def q_write_table_atomic(spark, sf_dir):
-    """Two versions side by side: the path handed back is the one that counts."""
-    root = shared_path(spark, "versioned")
+    """A table is replaced under its name: what the name means afterwards counts."""
+    root, name = shared_path(spark, "versioned"), f"manifest_{uuid.uuid4().hex}"
     m = view(spark, sf_dir, "v_manifest")
-    sinks.write_table_atomic(m, root)
-    current = sinks.write_table_atomic(m.filter("split = 'dev'"), root)
-    return spark.read.parquet(current).groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
+    sinks.replace_table(m, name, root)
+    sinks.replace_table(m.filter("split = 'dev'"), name, root)
+    return spark.table(name).groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
+
+
+@query("content_digests", """select c_nationkey || '.txt' path, cast(length(t) as bigint) length, sha256(sha256(t)) digest
+from (select c_nationkey, string_agg(c_name, ',' order by c_name) t from customer group by c_nationkey)""")
+def q_content_digests(spark, sf_dir):
+    """Files with the customers of each nation, told apart by what is in them."""
+    names = F.array_join(F.sort_array(F.collect_list("c_name")), ",")
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.encode(names, "utf-8").alias("content"))
+    root = shared_path(spark, "weights")
+    write_files(rows.select(F.concat("c_nationkey", F.lit(".txt")).alias("path"), "content"), root)
+    return content_digests(spark, root)
 
 
 @query("write_score_shards", """select dataset_id, utt_id, round(cast(cast(score + case when cast(substr(utt_id,2) as bigint)%3=0 then 0.5 else 0 end as float) as double), 3) score

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from detlake import fixed_values as fv, schema
 from detlake.functions import paths as P
 from detlake.functions.numeric import md5_int, nan_to_null
+from detlake.session import materialize
 
 
 class SchemaProblem(ValueError):
@@ -102,17 +103,47 @@ def stable_key_sort(df: DataFrame, key: list[str] = schema.KEY) -> DataFrame:
     return df.orderBy(*key)
 
 
+def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The ``n`` first rows in an order, chosen without bringing them together.
+
+    Only the order columns are dealt into ranges and counted; one range holds the
+    ``n``-th row, and its columns become a filter on ``df``. Rows that are equal in the
+    order count by a hash of all their columns; of such that are equal in that too, as many as are left go along.
+    """
+    if n <= 0:
+        return df.limit(0)
+    place = F.struct(*order, F.xxhash64(*df.columns).alias("_tie")).alias("_place")
+    ranged = df.select(place).repartitionByRange("_place").withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "first_n")
+    before, cut = 0, None
+    for row in ranged.groupBy("_range").count().orderBy("_range").collect():  # one row per range
+        if before + row["count"] >= n:
+            cut = row["_range"]
+            break
+        before += row["count"]
+    if cut is None:
+        return df
+    in_range = Window.partitionBy("_range").orderBy("_place")
+    inside = ranged.filter(F.col("_range") == cut).withColumn("_at", F.row_number().over(in_range))
+    last = inside.filter(F.col("_at") == n - before).select(F.col("_place").alias("_last"))
+    last = materialize(last, "first_n_last")  # one row
+    below = before + inside.join(F.broadcast(last)).filter(F.col("_place") < F.col("_last")).count()
+    placed = df.withColumn("_place", place).join(F.broadcast(last))
+    rest = placed.filter(F.col("_place") == F.col("_last")).limit(n - below)
+    return placed.filter(F.col("_place") < F.col("_last")).unionByName(rest).select(*df.columns)
+
+
 def limit_first_n(df: DataFrame, n: int, key: list[str] = schema.KEY) -> DataFrame:
-    """First ``n`` rows by key, kept per task before the final merge."""
-    return df.orderBy(*key).limit(n)
+    """First ``n`` rows by key, in key order."""
+    return first_n(df, n, [F.col(c) for c in key]).orderBy(*key)
 
 
 def seeded_sample_n(
     df: DataFrame, n: int, seed: int = fv.DEFAULT_SEED, key: list[str] = schema.KEY
 ) -> DataFrame:
     """``n`` rows without replacement by hashed key, returned in key order."""
-    draw = F.md5(F.concat_ws(",", F.lit(str(seed)), *key))
-    return df.orderBy(draw, *key).limit(n).orderBy(*key)
+    draw = F.md5(F.concat_ws(",", F.lit(str(seed)), *key)).alias("_draw")
+    return first_n(df, n, [draw, *[F.col(c) for c in key]]).orderBy(*key)
 
 
 def domain_except(df: DataFrame, column: str, allowed: list) -> DataFrame:

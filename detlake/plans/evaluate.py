@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from detlake import fixed_values as fv, schema
 from detlake.operators import bootstrap, detection, profile, resume
 from detlake.operators.manifest import select_split
-from detlake.operators.quality import assert_preflight
+from detlake.operators.quality import assert_preflight, spec_preflight
+from detlake.plans.extract import read_table, specs
 from detlake.session import materialize
 from detlake.sinks import tables
+from detlake.sources.files import content_digest
 
 
 class CoverageTooLow(RuntimeError):
@@ -21,7 +23,11 @@ class CoverageTooLow(RuntimeError):
 
 @dataclass(frozen=True)
 class RunConditions:
-    """What a score depends on; any change starts a new run."""
+    """What a score depends on; any change starts a new run.
+
+    ``weights_path`` is the file or folder the weights are read from: its content counts, so
+    other bytes under the same name are another run.
+    """
 
     weights: str
     epoch: int | None = None
@@ -30,6 +36,8 @@ class RunConditions:
     t_fixed: int | None = fv.DEFAULT_T_FIXED
     window: str = "fixed"
     selectors: list[tuple[str, str]] = field(default_factory=list)
+    weights_path: str | None = None
+    channels: int | None = None
 
 
 def run_fingerprint(
@@ -48,15 +56,33 @@ def run_fingerprint(
 def run_id(df: DataFrame, c: RunConditions) -> str:
     """The fingerprint of one run as a string."""
     chosen = F.array(*[F.lit(f"{d}:{s}") for d, s in c.selectors]) if c.selectors else F.array()
+    weights = c.weights
+    if c.weights_path is not None:
+        weights = f"{c.weights}:{content_digest(df.sparkSession, c.weights_path)}"
     one = df.sparkSession.range(1).select(
         run_fingerprint(
-            F.lit(c.weights), F.lit(c.epoch), F.lit(c.model_name), F.lit(c.feature_id),
+            F.lit(weights), F.lit(c.epoch), F.lit(c.model_name), F.lit(c.feature_id),
             F.lit(c.t_fixed), F.lit(c.window), chosen.cast("array<string>"),
         ).alias("id")
     )
     return one.first()["id"]
 
 
+def preflight_of(
+    spark: SparkSession, c: RunConditions, features: str, models: DataFrame | None = None
+) -> DataFrame:
+    """``quality.spec_preflight`` of the one feature set that a run wants; ``models``: ``name, feature_id, in_channels``."""
+    if c.feature_id is None:
+        raise ValueError("a run on a feature table needs a feature_id")
+    built = specs(read_table(spark, features))
+    channels = F.lit(c.channels).cast("int") if c.channels is not None else F.col("channels")
+    wanted = spark.range(1).select(F.lit(c.model_name or c.weights).alias("name"), F.lit(c.feature_id).alias("feature_id"))
+    wanted = wanted.join(built.select("feature_id", "channels"), "feature_id", "left").withColumn("channels", channels)
+    if models is None:
+        models = spark.createDataFrame([], "name string, feature_id string, in_channels int")
+    return spec_preflight(wanted, built, models)
+
+
 def score_resumable(
     requested: DataFrame, score: Callable[[DataFrame], DataFrame], root: str, run: str,
     shard_rows: int = fv.DEFAULT_SHARD_ROWS,
@@ -120,15 +146,21 @@ def evaluate_experiment(
     ci: float = fv.DEFAULT_CI,
     shard_rows: int = fv.DEFAULT_SHARD_ROWS,
     preflight: DataFrame | None = None,
+    features: str | None = None,
+    models: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Selected rows to scores, coverage and metric tables.
 
     ``score`` maps manifest rows to ``dataset_id, utt_id, score`` for the rows it
     has features for. Scores are stored before the coverage decides, so nothing
-    is computed twice after a stop. ``preflight`` is a result of
-    ``quality.spec_preflight``; any problem in it stops the run before scoring. Other
+    is computed twice after a stop. With a feature table (``features``) the
+    feature set of the conditions is checked against what is built there and, where given, against the
+    trained ``models`` before anything is scored; ``preflight`` is a result of
+    ``quality.spec_preflight`` instead. Any problem stops the run. Other
     windows than ``fixed`` do not exist.
     """
+    if preflight is None and features is not None:
+        preflight = preflight_of(manifest.sparkSession, conditions, features, models)
     if preflight is not None:
         assert_preflight(preflight)
     if conditions.window != "fixed":

@@ -18,6 +18,7 @@ from detlake import fixed_values as fv, schema
 from detlake.functions import recipes
 from detlake.functions.recipes import Recipe
 from detlake.operators.resume import latest_wins, run_stats, todo_by_key
+from detlake.plans import finished
 from detlake.registry import Registry
 from detlake.session import broadcast_if_small, materialize, ship_package
 
@@ -162,11 +163,15 @@ def specs(table: DataFrame) -> DataFrame:
     return table.filter(F.col("status") == "run").select("feature_id", "channels", "recipe").distinct()
 
 
-def done_keys(table: DataFrame, feature_id: str) -> DataFrame:
-    """Finished utterances: the scan reads first frames and no coefficients."""
+def _finished(table: DataFrame, feature_id: str) -> DataFrame:
     return table.filter(
         (F.col("feature_id") == feature_id) & (F.col("status") == "ok") & (F.col("frame") == 0)
-    ).select(*schema.KEY)
+    ).select(*schema.KEY, "attempt")
+
+
+def done_keys(table: DataFrame, feature_id: str) -> DataFrame:
+    """Finished utterances: the scan reads first frames and no coefficients."""
+    return _finished(table, feature_id).select(*schema.KEY)
 
 
 def failures(table: DataFrame, feature_id: str) -> DataFrame:
@@ -196,21 +201,25 @@ def extract_features(
 ) -> DataFrame:
     """Extract what is missing into the feature table and return the run's counts.
 
-    Only keys without frames are processed, so a rerun resumes. ``limit`` takes
+    Only keys without frames are processed, so a rerun resumes; which of them are finished is
+    read from an index (:mod:`detlake.plans.finished`), in proportion to what is asked. ``limit`` takes
     the first keys in order and marks the run as partial. ``attempt`` numbers the run
     where the caller counts them. One write stores
     frames and failures; a lost executor repeats only its own tasks.
     """
     spark = waves.sparkSession
     table = read_table(spark, root)
-    done = done_keys(table, extractor.feature_id)
+    known = finished.marks(spark, root, extractor.feature_id)
     if attempt is None:
-        attempt = (table.agg(F.max("attempt")).first()[0] or 0) + 1
+        attempt = (table.filter(F.col("status") == "run").agg(F.max("attempt")).first()[0] or 0) + 1
+        attempt = max([attempt, *(a + 1 for a in known)])
     asked, n_skipped = waves, None
     if limit is not None:
         first = waves.select(*schema.KEY).orderBy(*schema.KEY).limit(limit)
         asked = waves.join(broadcast_if_small(first), schema.KEY, "left_semi")
-    if attempt > 1:
+    if attempt > 1 or known:
+        done = finished.among(
+            asked.select(*schema.KEY), _finished(table, extractor.feature_id), root, extractor.feature_id, known)
         skipped = asked.select(*schema.KEY).join(done, schema.KEY, "left_semi")
         n_skipped = materialize(
             skipped.groupBy("dataset_id").agg(F.count("*").alias("n")), "skipped"
@@ -223,12 +232,15 @@ def extract_features(
         F.lit(extractor.feature_id).alias("feature_id"),
         F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"),
     )
+    finished.begin(spark, root, extractor.feature_id, attempt)
     write_features(out, root)
     asked_of = waves.select("dataset_id").distinct().select(
         "dataset_id", F.lit(attempt).cast("long").alias("attempt"), F.lit(limit is not None).alias("partial"),
         F.lit(extractor.text).alias("recipe"), F.lit(extractor.channels).alias("channels"),
         F.lit(extractor.feature_id).alias("feature_id"), F.lit("run").alias("status"))
     write_features(asked_of, root)
+    finished.settle(
+        _finished(read_table(spark, root), extractor.feature_id), root, extractor.feature_id, attempt, known)
     after = read_table(spark, root).filter(
         (F.col("feature_id") == extractor.feature_id) & (F.col("attempt") == attempt)
     )

@@ -22,6 +22,48 @@ def write_table_atomic(df: DataFrame, root: str) -> str:
     return path
 
 
+def replace_table(df: DataFrame, name: str, root: str) -> str:
+    """Make ``df`` the content of the catalog table ``name``: a new version below ``root``, then one switch.
+
+    Until the switch the name means the old version and after it the new one; readers that have
+    begun keep theirs, as versions are never written to again (:func:`expire_versions` removes
+    old ones). The first version creates the table. Other columns than the table's raise
+    ``ValueError`` before anything is written.
+    """
+    spark = df.sparkSession
+    known = spark.catalog.tableExists(name)
+    if known:
+        columns = lambda t: [(f.name, f.dataType) for f in t.schema]
+        if columns(spark.table(name)) != columns(df):
+            raise ValueError(f"{name} has the columns {spark.table(name).schema.simpleString()}")
+    path = write_table_atomic(df, root)
+    if known:
+        spark.sql(f"alter table {name} set location '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"create table {name} using parquet location '{path}'")
+    return path
+
+
+def table_location(spark: SparkSession, name: str) -> str:
+    """The folder a catalog table means now."""
+    rows = spark.sql(f"describe table extended {name}").filter(F.col("col_name") == "Location")
+    return rows.first()["data_type"]
+
+
+def expire_versions(spark: SparkSession, name: str, root: str, keep: int = 1) -> int:
+    """Remove versions below ``root`` other than the table's own and the ``keep - 1`` latest besides; say how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(conf)
+    own = jvm.org.apache.hadoop.fs.Path(table_location(spark, name)).getName()
+    versions = [s for s in store.listStatus(folder) if s.getPath().getName().startswith("v-") and s.getPath().getName() != own]
+    versions.sort(key=lambda s: (-s.getModificationTime(), s.getPath().getName()))
+    for old in versions[max(keep - 1, 0):]:
+        store.delete(old.getPath(), True)
+    return len(versions[max(keep - 1, 0):])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists, by one question to its file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

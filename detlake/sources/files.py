@@ -7,6 +7,7 @@ only Spark's readers can open is told by :func:`reachable`.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from detlake.session import materialize, ship_package
 
 DEEPEST = 64  # levels of folders; more is taken for a loop of links
 STEP = 1000   # paths asked for at once
+BLOCK = 8 << 20  # bytes hashed at once
 
 
 def open_root(root: str) -> tuple[fs.FileSystem, str]:
@@ -100,6 +102,48 @@ def add_lengths(paths: DataFrame, root: str) -> DataFrame:
     return paths.mapInArrow(run, f"{schema}, length bigint")
 
 
+def content_digests(spark: SparkSession, root: str) -> DataFrame:
+    """``path``, ``length`` and ``digest`` of every file below a folder, or of one file (its own name as path).
+
+    A file's digest is the SHA-256 of the hexadecimal SHA-256 of its blocks of ``BLOCK``
+    bytes, one after the other, so the blocks of one large file are hashed by many tasks.
+    """
+    ship_package(spark)
+    store, base = open_root(root)
+    if store.get_file_info(base).is_file:
+        folder, _, name = root.rstrip("/").rpartition("/")
+        found = add_lengths(spark.createDataFrame([(name,)], "path string"), folder)
+    else:
+        folder, found = root, walk(spark, root)
+    last = F.greatest(F.ceil(F.col("length") / BLOCK) - 1, F.lit(0)).cast("long")
+    blocks = found.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    blocks = blocks.repartition(spark.sparkContext.defaultParallelism, "path", "block")
+    hashed = blocks.mapInArrow(_hash_blocks(folder), "path string, length bigint, block bigint, hash string")
+    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hash"))), lambda b: b["hash"]), "")
+    return hashed.groupBy("path", "length").agg(F.sha2(in_order, 256).alias("digest"))
+
+
+def _hash_blocks(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_root(root)
+        for batch in batches:
+            out = []
+            for path, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                with store.open_input_file(f"{base}/{path}") as f:
+                    f.seek(block * BLOCK)
+                    out.append(hashlib.sha256(f.read(BLOCK)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], ["path", "length", "block", "hash"])
+
+    return run
+
+
+def content_digest(spark: SparkSession, root: str) -> str:
+    """One SHA-256 over the names and digests of all files below ``root``, in order of their names."""
+    line = F.concat_ws(":", "path", "digest")
+    lines = content_digests(spark, root).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("all"))
+    return lines.select(F.sha2("all", 256)).first()[0]
+
+
 def write_files(rows: DataFrame, root: str) -> int:
     """Write each row's ``content`` to ``root/path`` and say how many; a repeated task writes the same bytes again."""
     ship_package(rows.sparkSession)

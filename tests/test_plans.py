@@ -200,3 +200,138 @@ def test_intermediates_can_be_discarded(spark, tmp_path):
 
     assert not path_exists(spark, path) and spark.read.parquet(str(tmp_path / "result")).count() == 3
     session._made(spark).extend(kept)
+
+
+def _waves(spark, names, sr=16000):
+    return spark.createDataFrame([("d", n, sr, [0.1] * 3200) for n in names], "dataset_id string, utt_id string, sr int, samples array<float>")
+
+
+def test_each_drain_reads_the_finished_keys_of_its_own_folders(spark, tmp_path, monkeypatch):
+    """Three drains of a stream: what is read of the index follows the batch, not what was finished before."""
+    from detlake.plans import extract as X, finished
+    from detlake.streaming.incremental import incremental_features, waveform_stream
+
+    monkeypatch.setattr(finished, "BUCKETS", 64)
+    read, among = [], finished.among
+
+    def counted(keys, done, *args):
+        out = among(keys, done, *args)
+        read.append((keys.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(finished, "among", counted)
+    folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "features", "stream"))
+    lfcc = X.get_extractor("lfcc")
+    drains = [[f"a{i}" for i in range(400)], ["b0", "b1", "a7"], ["c0", "a1", "b1"]]
+    for names in drains:
+        batch = _waves(spark, names)
+        batch.coalesce(1).write.mode("append").parquet(folder)
+        incremental_features(waveform_stream(spark, folder, batch.schema), lfcc, root, checkpoint)
+    table = X.read_table(spark, root)
+    keys = [r["utt_id"] for r in X.done_keys(table, lfcc.feature_id).collect()]
+    assert len(keys) == len(set(keys)) == 403
+    assert [n for n, _ in read] == [3, 3] and all(n < 60 for _, n in read)  # 400 finished keys in 64 folders
+    assert set(finished.marks(spark, root, lfcc.feature_id).values()) == {True}
+
+
+def test_a_stopped_run_is_found_in_the_table(spark, tmp_path, monkeypatch):
+    from detlake.plans import extract as X, finished
+
+    lfcc, root = X.get_extractor("lfcc"), str(tmp_path / "features")
+
+    def stop(*args):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(finished, "settle", stop)
+        with pytest.raises(RuntimeError):
+            X.extract_features(_waves(spark, ["a", "b"]), lfcc, root, attempt=1)
+    assert finished.marks(spark, root, lfcc.feature_id) == {1: False}
+    X.extract_features(_waves(spark, ["a", "b", "c"]), lfcc, root, attempt=1)  # the batch again
+    X.extract_features(_waves(spark, ["a", "b", "c", "e"]), lfcc, root)
+    assert sorted(r["utt_id"] for r in X.done_keys(X.read_table(spark, root), lfcc.feature_id).collect()) == ["a", "b", "c", "e"]
+    assert set(finished.marks(spark, root, lfcc.feature_id).values()) == {True}
+
+
+def test_a_table_from_before_the_index_is_indexed(spark, tmp_path):
+    import shutil
+
+    from detlake.plans import extract as X, finished
+
+    lfcc, root = X.get_extractor("lfcc"), str(tmp_path / "features")
+    X.extract_features(_waves(spark, ["a", "b"]), lfcc, root)
+    for name in ("_marks", "_finished"):
+        shutil.move(f"{root}/{name}", str(tmp_path / name))
+    for names in (["a", "c"], ["a", "b", "c"]):
+        X.extract_features(_waves(spark, names), lfcc, root)
+    assert sorted(r["utt_id"] for r in X.done_keys(X.read_table(spark, root), lfcc.feature_id).collect()) == ["a", "b", "c"]
+    assert spark.read.parquet(f"{root}/_finished").count() == 3
+
+
+def test_other_bytes_under_one_name_are_another_run(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from detlake.plans.evaluate import RunConditions, run_id
+    from detlake.sources import files
+
+    monkeypatch.setattr(files, "BLOCK", 1000)
+    folder = tmp_path / "best"
+    folder.mkdir()
+    raw = np.random.default_rng(0).integers(0, 256, 4321, dtype=np.uint8).tobytes()
+    (folder / "w.bin").write_bytes(raw)
+    (folder / "empty").write_bytes(b"")
+    blocks = "".join(hashlib.sha256(raw[i:i + 1000]).hexdigest() for i in range(0, 4321, 1000))
+    got = {r["path"]: (r["length"], r["digest"]) for r in files.content_digests(spark, str(folder)).collect()}
+    assert got["w.bin"] == (4321, hashlib.sha256(blocks.encode()).hexdigest()) and got["empty"][0] == 0
+    one = files.content_digests(spark, str(folder / "w.bin")).collect()
+    assert [(r["path"], r["digest"]) for r in one] == [("w.bin", got["w.bin"][1])]
+    cond = RunConditions("best", 3, weights_path=str(folder))
+    first = run_id(spark.range(1), cond)
+    assert run_id(spark.range(1), cond) == first != run_id(spark.range(1), RunConditions("best", 3))
+    (folder / "w.bin").write_bytes(raw[:2500] + b"!" + raw[2501:])
+    assert run_id(spark.range(1), cond) != first
+
+
+def test_runs_on_a_feature_table_are_checked_before_scoring(spark, tmp_path):
+    from detlake.operators.quality import FeatureMismatch
+    from detlake.plans import extract as X
+    from detlake.plans.evaluate import RunConditions, evaluate_experiment
+
+    lfcc, root = X.get_extractor("lfcc"), str(tmp_path / "features")
+    X.extract_features(_waves(spark, ["a"]), lfcc, root)
+    manifest = spark.createDataFrame([("d", "a", 0, "test", None)], "dataset_id string, utt_id string, label long, split string, attack_type string")
+    models = spark.createDataFrame([("m", lfcc.feature_id, 80)], "name string, feature_id string, in_channels int")
+
+    def never(rows):
+        raise AssertionError("scored")
+
+    for cond, kw, problem in [(RunConditions("w", feature_id="other"), {}, "not built"),
+                              (RunConditions("w", feature_id=lfcc.feature_id, channels=61), {}, "width differs"),
+                              (RunConditions("w", model_name="m", feature_id=lfcc.feature_id), {"models": models}, "another width")]:
+        with pytest.raises(FeatureMismatch, match=problem):
+            evaluate_experiment(manifest, [("d", "test")], never, cond, str(tmp_path / "s"), features=root, **kw)
+    with pytest.raises(AssertionError, match="scored"):
+        evaluate_experiment(manifest, [("d", "test")], never, RunConditions("w", feature_id=lfcc.feature_id, channels=60), str(tmp_path / "s"), features=root)
+
+
+def test_statpool_from_moments_is_the_forward_pass(spark):
+    rng = np.random.default_rng(4)
+    C, H, T = 5, 7, 40
+    w = Sc.StatPoolWeights(rng.normal(size=(H, C)), rng.normal(size=H), rng.normal(size=(H, 2 * H)), rng.normal(size=H), rng.normal(size=H), 0.3)
+    x = {f"u{i}": rng.normal(size=(n, C)) * 3 + 50 for i, n in enumerate([1, 2, 7, 39, 40, 41, 90, 13, 20])}
+    rows = [("d", u, f, [float(v) for v in m[f]], len(m)) for u, m in x.items() for f in range(len(m))]
+    frames = spark.createDataFrame(rows, "dataset_id string, utt_id string, frame int, coeffs array<double>, n_frames int").repartition(7)
+    want = {}
+    for u, m in x.items():
+        fixed = np.concatenate([m] * (-(-T // len(m))))[:T]
+        want[u] = Sc.statpool_logits(fixed[None], np.array([T]), w)[0]
+    for table in (frames, frames.drop("n_frames"), frames.orderBy("utt_id", "frame").coalesce(1)):
+        got = {r["utt_id"]: r["score"] for r in Sc.score_statpool_mlp(table, C, T, w).collect()}
+        assert set(got) == set(want) and all(abs(got[u] - want[u]) < 1e-8 for u in want)
+    assert Sc.score_statpool_mlp(frames.limit(0), C, T, w).collect() == []
+    # with stored lengths no coefficient meets an exchange
+    plan = Sc.score_statpool_mlp(frames, C, T, w)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow _moments")[0] if "MapInArrow _moments" in plan else plan[:plan.rindex("MapInArrow")]
+    assert "coeffs" not in "".join(line for line in above.splitlines() if "Exchange" in line)
+    with pytest.raises(Exception, match="coefficients"):
+        Sc.score_statpool_mlp(frames, C + 1, T, w).collect()
