@@ -11,6 +11,9 @@ are a candidate pair, and ``AGREE`` of ``HASHES`` functions must
 say so. Both documents are then compared exactly: maximal stretches
 whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more are reported.
 
+Texts that are equal as a whole are told apart from all others first, by their hashes, and
+only the first document of each goes on.
+
 A minimum shared by many documents links each of them to the first document that
 holds it and to the one before, never all to all: every later copy has a link to an
 earlier one. The first holder may share no more than those five words. All documents are
@@ -23,7 +26,7 @@ a large share of all documents does not make a large group. A candidate pair is
 compared over both whole texts, so what is found does not rest on where it was linked.
 
 Words are split at white space, A-Z lower-cased. Documents are ordered by
-``doc_id``, a whole number; the later document of a pair carries the duplicate.
+``doc_id``, a whole number (``TypeError`` otherwise); the later document of a pair carries the duplicate.
 Defined cases: null, empty and short texts (under ``LEAST`` words) have no passages;
 rows without id are left alone; rows that share an id are never compared with each
 other; repeats inside one document are not looked for; no rows give no rows. Texts
@@ -38,7 +41,9 @@ import gc
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
+from detlake.llm.sample import free
 from detlake.llm.text import LOWER, _powers, hashes, mix, pieces, runs, words
 from detlake.session import materialize
 
@@ -52,7 +57,8 @@ SIDE = RUN // 2  # a run of RUN shingles has so many on one side of any of its p
 CUT, OVERLAP = 1 << 18, 1 << 12
 BITS = 1 << 26  # 8 MB; more ids than that let more documents through, never fewer
 EXACT = 7  # in place of the function: the key is that of a whole run
-SLICE = 1 << 23
+SLICE = 1 << 22  # bytes of text worked on at once
+ROWS = 1000  # documents that go to Python at once
 GAPS = (2 * SHINGLE, SHINGLE, 0)
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -249,20 +255,24 @@ def _bits(ids: DataFrame, place=None):
     return ids.sparkSession.sparkContext.broadcast(np.packbits(out))
 
 
-def _minima(batches):
+def _minima(only=None):
     """Minima under the first function and the least and greatest document of the batch that holds each."""
-    for batch in batches:
-        key, doc, _ = _windows(batch.column(1), batch.column(0).to_numpy(), functions=1)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
-        end = np.append(start[1:], len(key)) - 1 if len(key) else start
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[start], doc[start], doc[end])], ["key", "a", "b"])
+    def run(batches):
+        for batch in batches:
+            batch = batch if only is None else _held(batch, only, 2)
+            key, doc, _ = _windows(batch.column(1), batch.column(0).to_numpy(), functions=1)  # one in 20 words
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+            end = np.append(start[1:], len(key)) - 1 if len(key) else start
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[start], doc[start], doc[end])], ["key", "a", "b"])
 
+    return run
 
-def _shared_minima(rows: DataFrame):
+
+def _shared_minima(rows: DataFrame, only=None):
     """Set of the minima that more than one document holds."""
-    found = rows.mapInArrow(_minima, "key bigint, a bigint, b bigint").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    found = rows.mapInArrow(_minima(only), "key bigint, a bigint, b bigint").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return _bits(found.filter("a < b"), F.expr(f"shiftrightunsigned(key, 3) % {BITS}"))
 
 
@@ -272,14 +282,16 @@ def _held(batch: pa.RecordBatch, among, place: int) -> pa.RecordBatch:
     return batch.filter(pa.array(among.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
 
 
-def _emit(windows, limit=None):
+def _emit(windows, only=None, limit=SLICE):
     """Windows to compare across batches, told by ``said`` = 0, and the links within the batch.
 
-    Of each key all places of the batch's first document go on. ``limit``: bytes of text worked on at once.
+    Of each key all places of the first document of a slice go on. ``only``: set of the documents to
+    work on; ``limit``: bytes of text worked on at once.
     """
     def run(batches):
         for batch in batches:
-            for a, b in [(p[0], p[1]) for p in pieces(batch.column(1), limit)] if limit else [(0, len(batch))]:
+            batch = batch if only is None else _held(batch, only, 2)
+            for a, b in [(p[0], p[1]) for p in pieces(batch.column(1), limit)]:
                 part = batch.slice(a, b - a)
                 key, doc, spot = _widest(*windows(part.column(1), part.column(0).to_numpy()))
                 first, links = _grouped(key, doc, spot)
@@ -306,43 +318,47 @@ def _compare(batches):
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id is {kind.simpleString()}, but documents are ordered by a whole number")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     return rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
 
 
-def _pairs(rows: DataFrame, windows, limit=None) -> DataFrame:
-    found = rows.mapInArrow(_emit(windows, limit), _SCHEMA).repartition("key").sortWithinPartitions("key", "a")
+def _pairs(rows: DataFrame, windows, only=None, limit=SLICE) -> DataFrame:
+    found = rows.mapInArrow(_emit(windows, only, limit), _SCHEMA).repartition("key").sortWithinPartitions("key", "a")
     found = found.mapInArrow(_compare, _SCHEMA).groupBy("a", "b").agg(F.bit_or("said").alias("said"))
     return found.filter(F.bit_count("said") >= AGREE).drop("said")
 
 
-def candidate_pairs(docs: DataFrame, sides: bool = False) -> DataFrame:
+def candidate_pairs(docs: DataFrame, sides: bool = False, only=None) -> DataFrame:
     """Pairs ``a < b`` of documents that have windows in common.
 
-    With ``sides`` the minima are keyed together with what stands beside them.
+    With ``sides`` the minima are keyed together with what stands beside them. ``only``: set of the
+    documents that count (:func:`_bits`).
     """
-    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides))
+    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides), only)
 
 
-def exact_pairs(docs: DataFrame) -> DataFrame:
+def exact_pairs(docs: DataFrame, only=None) -> DataFrame:
     """Pairs ``a < b`` so that every document is with an earlier holder of each run of ``LEAST`` words it repeats.
 
     The key is the run itself, so chance holders of a part of it do not stand between;
     runs whose minimum only one document holds are left out in the scan.
     """
     rows = _rows(docs)
-    among = _shared_minima(rows)
-    return _pairs(rows, lambda column, doc: _exact_runs(column, doc, among), SLICE)
+    among = _shared_minima(rows, only)
+    return _pairs(rows, lambda column, doc: _exact_runs(column, doc, among), only, SLICE // 2)
 
 
 def _shingled(batches):
     """The text as bytes of shingles."""
     for batch in batches:
-        out = [b""] * len(batch)
         for a, b, data, offsets in pieces(batch.column(2)):
             sh, at = shingles(data, offsets)
-            out[a:b] = [sh[at[i]:at[i + 1]].tobytes() for i in range(b - a)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["a", "b", "x"])
+            out = [sh[at[i]:at[i + 1]].tobytes() for i in range(b - a)]
+            ids = (c.slice(a, b - a) for c in batch.columns[:2])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(out, pa.binary())], ["a", "b", "x"])
 
 
 def _stretches(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
@@ -358,11 +374,12 @@ def _stretches(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
 def _blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs that ``x`` and ``y`` hold alike: where they begin in both and their lengths, in order of ``y``."""
     order = np.argsort(x, kind="stable")
-    low, high = (np.searchsorted(x[order], y, side) for side in ("left", "right"))
+    ordered = x[order]
+    low, high = ordered.searchsorted(y, "left"), ordered.searchsorted(y, "right")
     hit = np.flatnonzero(high > low)
     total = np.cumsum((high - low)[hit])
     out = [(np.zeros(0, np.int64),) * 3]
-    for part in np.split(hit, np.flatnonzero(np.diff(total >> 22)) + 1):  # a bounded number of meetings at once
+    for part in np.split(hit, np.flatnonzero(np.diff(total >> 22)) + 1) if len(hit) else []:  # a bounded number of meetings at once
         size = (high - low)[part]
         j = np.repeat(part, size)
         i = order[np.repeat(low[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
@@ -376,34 +393,51 @@ def _blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _followers(i: np.ndarray, j: np.ndarray, n: np.ndarray, far: int) -> list[int]:
-    """For each block the nearest that follows it in both texts, at most ``far`` places away; -1: none."""
-    i_end, j_end, out = i + n, j + n, [-1] * len(i)
-    after = np.searchsorted(j, j, "right")
-    for at in range(len(i) - 1):
-        a, near = after[at], 16
-        while a < len(i):
-            near = min(near, far)
-            b = np.searchsorted(j, j_end[at] + near, "right")
-            apart = np.maximum(np.abs(i[a:b] - i_end[at]), np.abs(j[a:b] - j_end[at]))
-            apart[(i[a:b] <= i[at]) | (i_end[a:b] <= i_end[at]) | (j_end[a:b] <= j_end[at])] = far + 1
-            if len(apart) and apart.min() <= near:
-                out[at] = int(a + apart.argmin())
-                break
-            if near == far:
-                break
-            near *= 4
-    return out
+    """For each block the nearest that follows it in both texts, at most ``far`` places away; -1: none.
 
-
-def _likeness(x: np.ndarray, y: np.ndarray) -> float:
-    own, other = np.unique(y), np.unique(x)
-    both = len(np.intersect1d(own, other, assume_unique=True))
-    return both / (len(own) + len(other) - both)
-
-
-def _chained(x: np.ndarray, y: np.ndarray, far: int):
+    All blocks look at their next one in ``y``, then the one after it, as long as that
+    could still be nearer.
+    """
+    i_end, j_end = i + n, j + n
+    out, best = np.full(len(i), -1), np.full(len(i), far + 1)
+    at, other = np.arange(len(i)), j.searchsorted(j, "right")
+    while True:
+        on = other < len(i)
+        on[on] = (j[other[on]] - j_end[at[on]]) < best[at[on]]
+        at, other = at[on], other[on]
+        if not len(at):
+            return out.tolist()
+        apart = np.maximum(np.abs(i[other] - i_end[at]), np.abs(j[other] - j_end[at]))
+        good = (i[other] > i[at]) & (i_end[other] > i_end[at]) & (j_end[other] > j_end[at]) & (apart < best[at])
+        out[at[good]], best[at[good]] = other[good], apart[good]
+        other = other + 1
+
+
+class _Pair:
+    """Two texts as small numbers, one for each different shingle of either."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        own, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+        self.x, self.y, self.kinds = codes[:len(x)], codes[len(x):], len(own)
+
+    def marks(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.kinds, bool)
+        out[codes] = True
+        return out
+
+    def likeness(self, f: int, t: int, s: int, e: int) -> float:
+        """Jaccard similarity of a range of ``x`` and one of ``y``."""
+        if t - f + e - s > self.kinds >> 3:
+            one, two = self.marks(self.x[f:t]), self.marks(self.y[s:e])
+            both = np.count_nonzero(one & two)
+            return both / (np.count_nonzero(one) + np.count_nonzero(two) - both)
+        one, two = set(self.x[f:t].tolist()), set(self.y[s:e].tolist())
+        both = len(one & two)
+        return both / (len(one) + len(two) - both)
+
+
+def _chained(pair: _Pair, i: np.ndarray, j: np.ndarray, n: np.ndarray, far: int):
     """From each block the longest similar stretch that ends with a block after it."""
-    i, j, n = _blocks(x, y)
     follows = _followers(i, j, n, far)
     i, j, n = i.tolist(), j.tolist(), n.tolist()
     ends: dict[int, int] = {}  # block a stretch ends with and where the first such stretch begins
@@ -421,7 +455,7 @@ def _chained(x: np.ndarray, y: np.ndarray, far: int):
             if q in ends:  # inside a stretch found before, and so are all before it
                 break
             f, t, s, e = i[p], i[q] + n[q], j[p], j[q] + n[q]
-            share = _likeness(x[f:t], y[s:e])
+            share = pair.likeness(f, t, s, e)
             if share >= SIMILAR:
                 yield f, t, s, e, share
                 ends[q] = p
@@ -434,19 +468,28 @@ def similar_stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int,
     Runs alike in both texts are joined while the whole stays similar; stretches of hits
     are held against those of ``x`` too, of their own shingles and of all, as parts may be in another order.
     """
-    in_x, in_y = np.isin(x, y), np.isin(y, x)
-    if not in_y.any():
+    pair = _Pair(x, y)
+    in_x, in_y = pair.marks(pair.y)[pair.x], pair.marks(pair.x)[pair.y]
+    hits, found = min(int(np.count_nonzero(in_x)), int(np.count_nonzero(in_y))), []
+    if np.count_nonzero(in_y) < SIMILAR * RUN:
         return []
-    hits, found = min(int(in_x.sum()), int(in_y.sum())), []
-    if in_y.sum() >= SIMILAR * RUN:
-        found = list(_chained(x, y, hits // 4 + SHINGLE))
+    (f, t), (s, e) = ((int(h.argmax()), len(h) - int(h[::-1].argmax())) for h in (in_x, in_y))
+    if e - s >= RUN:
+        share = pair.likeness(f, t, s, e)
+        if share >= SIMILAR:  # all they share is one stretch
+            return [(f, t, s, e, share)]
+    i, j, n = _blocks(pair.x, pair.y)
+    if len(n) == 1:
+        return [(f, t, s, e, 1.0)] if e - s >= RUN else []
+    found = list(_chained(pair, i, j, n, hits // 4 + SHINGLE))
     for gap in GAPS:
-        others = _stretches(in_x, gap)
+        others = None
         for s, e in _stretches(in_y, gap):
             if e - s < RUN or any(f <= s and e <= t for _, _, f, t, _ in found):
                 continue
-            likes = {*others, *_stretches(np.isin(x, y[s:e]), gap)}
-            share, _, f, t = max(((_likeness(x[f:t], y[s:e]), -f, f, t) for f, t in likes), default=(0, 0, 0, 0))
+            others = _stretches(in_x, gap) if others is None else others
+            likes = {*others, *_stretches(pair.marks(pair.y[s:e])[pair.x], gap)}
+            share, _, f, t = max(((pair.likeness(f, t, s, e), -f, f, t) for f, t in likes), default=(0, 0, 0, 0))
             if share >= SIMILAR:
                 found.append((f, t, s, e, share))
     out: list[tuple[int, int, int, int, float]] = []
@@ -478,8 +521,16 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
     Windows and texts are each shuffled once and then of no use, but Spark keeps such
     files until the driver collects its garbage; so the disk holds one step at a time.
+    While it is written, Python gets ``ROWS`` rows at once, as a batch is held by the
+    executor and its worker both; the session's own setting is put back.
     """
-    table = materialize(df, f"passages-{name}")
+    conf, name_of = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name_of)
+    conf.set(name_of, str(ROWS))
+    try:
+        table = materialize(df, f"passages-{name}")
+    finally:
+        conf.set(name_of, before)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return table
@@ -501,18 +552,40 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, schema).distinct()
 
 
+def _copies(docs: DataFrame) -> tuple[DataFrame, object]:
+    """Whole copies of texts of ``LEAST`` words, as passages of the first document with that text, and the set of those first ones.
+
+    Texts count as equal where two 64-bit hashes and their numbers of words do.
+    """
+    words_in = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    texts = _rows(docs).select("doc_id", F.xxhash64("text").alias("text_id"), F.xxhash64(F.lit(1), "text").alias("also"), words_in.alias("n"))
+    texts = _stored(texts, "texts")
+    key = ["text_id", "also", "n"]
+    first = _stored(texts.groupBy(*key).agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last")), "texts")
+    found = texts.join(first.filter(f"last > other_id and n >= {LEAST}").drop("last"), key).filter("doc_id > other_id")
+    zero = F.lit(0).cast("bigint")
+    found = found.select("doc_id", zero.alias("first_word"), F.col("n").alias("end_word"), "other_id", zero.alias("other_first"),
+                         F.col("n").alias("other_end"), F.lit(1.0).alias("similarity"), "text_id").distinct()
+    return found, _bits(first.select(F.col("other_id").alias("_id")))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages of a document that an earlier document holds too, one row per passage and earlier document found.
 
     Columns: ``doc_id``, ``first_word``, ``end_word`` (excluded), ``other_id``, ``other_first``,
     ``other_end``, ``similarity``, ``text_id`` (xxhash64 of the text the words are counted in).
+
+    A later copy of a whole text is one passage of the first document with that text, which alone
+    stands for the text in what follows.
     """
-    pairs = _stored(candidate_pairs(docs), "pairs")
+    copies, only = _copies(docs)
+    pairs = _stored(candidate_pairs(docs, only=only), "pairs")
     found = _stored(_compared(docs, pairs), "found")
     new = lambda more, *known: functools.reduce(lambda m, k: m.join(k, ["a", "b"], "left_anti"), known, more)
-    exact = _stored(new(exact_pairs(docs), pairs), "pairs")
-    finer = _stored(new(candidate_pairs(docs, True), pairs, exact), "pairs")
-    return found.unionByName(_compared(docs, exact.unionByName(finer)))
+    exact = _stored(new(exact_pairs(docs, only), pairs), "pairs")
+    finer = _stored(new(candidate_pairs(docs, True, only), pairs, exact), "pairs")
+    more = _stored(_compared(docs, exact.unionByName(finer)), "found")
+    return found.unionByName(more).unionByName(copies)
 
 
 def _cut_batches(batches):
@@ -538,16 +611,18 @@ def _cut_batches(batches):
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that earlier documents hold; what has no word left goes.
 
-    ``n_chars``, where there, is counted anew for the texts that change.
+    ``n_chars``, where there, is counted anew for the texts that change. Other columns may have
+    any names and are kept as they are.
     """
     found = _stored(repeated_passages(docs), "found")
-    spans = found.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), "_spans")
-    named = docs.withColumn("_text_id", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("bigint"))
-    joined = named.join(spans, ["_id", "_text_id"], "left")
-    whole = joined.filter("_spans is null").select(*docs.columns)
+    spans = found.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))
+    own, text_id, cuts = free(docs, "id", "text_id", "spans")
+    spans = spans.select(F.col("doc_id").alias(own), F.col("text_id").alias(text_id), F.col("spans").alias(cuts))
+    named = docs.withColumns({text_id: F.xxhash64("text"), own: F.col("doc_id").cast("bigint")})
+    joined = named.join(spans, [own, text_id], "left")
+    whole = joined.filter(F.col(cuts).isNull()).select(*docs.columns)
     rest = [c for c in docs.columns if c != "text"]
-    cut = joined.filter("_spans is not null").select("text", "_spans", *rest)
+    cut = joined.filter(F.col(cuts).isNotNull()).select("text", cuts, *rest)
     cut = cut.mapInArrow(_cut_batches, docs.select("text", *rest).schema).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
