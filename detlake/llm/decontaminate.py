@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from detlake.llm.sample import free
 from detlake.llm.text import NOT_ALNUM, hashes, mix, pieces, words
 
 EDITS = 0.2
@@ -243,16 +244,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n_tables: int = TABLES)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n_tables: int = TABLES) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark."""
+    """The rows of ``docs`` that hold no passage of the benchmark; other columns may have any names."""
+    (lower,) = free(docs, "lower")
+
     def drop(shared):
         def run(batches):
             for batch in batches:
                 bad = np.zeros(len(batch), bool)
                 bad[[f[0] for f in _found(shared.value, batch.column(batch.num_columns - 1))]] = True
-                yield batch.drop_columns(["_lower"]).filter(pa.array(~bad))
+                yield batch.drop_columns([lower]).filter(pa.array(~bad))
 
         return run
 
     for shared in _indexes(benchmark, n_tables):
-        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(drop(shared), docs.schema)
+        docs = docs.withColumn(lower, F.lower("text")).mapInArrow(drop(shared), docs.schema)
     return docs

@@ -19,16 +19,23 @@ all documents.
 
 Defined cases: null source or language is a value of its own; texts without words
 have no tokens, no topic words (topic 0) and the factors of their cell; repeated
-rows are drawn alike; no rows give no rows; a target of zero drops its value.
+rows are drawn alike; no rows give no rows; a target of zero drops its value; of topics that are
+over-represented alike the first counts; very long texts are worked on whole; targets that
+cannot be met together (a language that one source alone has, say) are met as nearly as
+``ROUNDS`` rounds bring them, with a warning and the gap as column ``off``; more than ``MAX_LANGS``
+languages raise ``ValueError``.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from detlake.llm.sample import free
 from detlake.llm.text import NOT_ALNUM, SPACE, add_by_row, hashes, pieces, words
 from detlake.session import materialize
 
@@ -36,6 +43,7 @@ TOPICS = 8
 TEMPERATURE = 0.7
 ROUNDS = 100
 CLOSE = 1e-6
+APART = 1e-3  # shares further off than this after all rounds are warned of
 MAX_LANGS = 1024
 SEED = 17
 
@@ -90,8 +98,8 @@ def _targets(tokens: np.ndarray, names: list, given: dict | None) -> np.ndarray:
 
 
 def factors(rows: DataFrame, langs_to: dict | None = None, topics_to: dict | None = None,
-            sources_to: dict | None = None, topics: int = TOPICS) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray]:
-    """Raked factors: a table ``(_source, a)`` per source, the languages, and factors per language and topic.
+            sources_to: dict | None = None, topics: int = TOPICS) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, float]:
+    """Raked factors: a table ``(_source, a)`` per source, the languages, factors per language and topic, and how far off shares are.
 
     ``*_to`` map values (null as None) to target shares of all tokens.
     """
@@ -123,7 +131,7 @@ def factors(rows: DataFrame, langs_to: dict | None = None, topics_to: dict | Non
     else:
         table = table.withColumn("goal", soft / F.lit(table.agg(F.sum(soft).alias("s")).first()["s"] or 1.0))
     table = materialize(table.select("_source", "cells", "goal"), "mixing-table")
-    b, c = np.ones(len(langs)), np.ones(topics)
+    b, c, off = np.ones(len(langs)), np.ones(topics), 0.0
 
     def weighted(bc: np.ndarray):
         lit = F.array(*[F.lit(float(x)) for x in bc])
@@ -142,14 +150,16 @@ def factors(rows: DataFrame, langs_to: dict | None = None, topics_to: dict | Non
         for _ in range(5):
             b = to_lang / np.maximum(m @ c, 1e-300)
             c = to_topic / np.maximum(m.T @ b, 1e-300)
-    return table.select("_source", weighted(np.outer(b, c).ravel()).alias("a")), langs, b, c
+    if off > APART:
+        warnings.warn(f"no factors meet the targets: after {ROUNDS} rounds shares are {off:.3g} off")
+    return table.select("_source", weighted(np.outer(b, c).ravel()).alias("a")), langs, b, c, float(off)
 
 
 def mix_sources(docs: DataFrame, langs_to: dict | None = None, topics_to: dict | None = None,
                 sources_to: dict | None = None, topics: int = TOPICS) -> DataFrame:
-    """``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``prob``, ``draw``, ``text_id`` and ``kept`` of every row."""
+    """``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``prob``, ``draw``, ``text_id``, ``off`` and ``kept`` of every row."""
     rows = profile(docs, topics)
-    by_source, langs, b, c = factors(rows, langs_to, topics_to, sources_to, topics)
+    by_source, langs, b, c, off = factors(rows, langs_to, topics_to, sources_to, topics)
     by_source = materialize(by_source, "mixing-factors")
     lang_at = F.array_position(F.array(*map(F.lit, langs)), _named("lang")) if langs else F.lit(0)
     lang_factor = F.get(F.array(F.lit(0.0), *[F.lit(float(x)) for x in b]), lang_at.cast("int"))
@@ -160,17 +170,20 @@ def mix_sources(docs: DataFrame, langs_to: dict | None = None, topics_to: dict |
     most = out.filter("n_tokens > 0").agg(F.max("_w").alias("w")).first()["w"] or 1.0
     prob = F.least(F.col("_w") / F.lit(float(most)), F.lit(1.0))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", prob.alias("prob"), "draw", "text_id",
-                      (F.col("draw") < prob).alias("kept"))
+                      F.lit(off).alias("off"), (F.col("draw") < prob).alias("kept"))
 
 
 def sample(docs: DataFrame, **targets) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their ``topic`` and ``prob``."""
+    """The rows of ``docs`` that are drawn, with their ``topic`` and ``prob``.
+
+    Columns of ``docs`` stay as they are: where one is named ``topic`` or ``prob``, the new
+    column has an underscore behind its name.
+    """
     drawn = mix_sources(docs, **targets).filter("kept")
-    name = lambda table: table.withColumn("_id", _named("doc_id"))
-    drawn = name(drawn).select("_id", F.col("text_id").alias("_text_id"), "source", "lang", "topic", "prob")
-    keys = ["_id", "_text_id", "_source", "_lang"]
-    grouped = lambda table: table.withColumns({"_source": _named("source"), "_lang": _named("lang")})
-    drawn = grouped(drawn).drop("source", "lang").dropDuplicates(keys)
-    rows = grouped(name(docs).withColumn("_text_id", F.xxhash64("text")))
-    names = [c for c in docs.columns if c not in ("topic", "prob")]
-    return rows.drop("topic", "prob").join(drawn, keys).select(*names, "topic", "prob")
+    topic, prob = free(docs, "topic", "prob")
+    keys = free(docs, "id", "text_id", "source_name", "lang_name")
+    named = [_named("doc_id"), None, _named("source"), _named("lang")]
+    drawn = drawn.select(
+        *[(F.col("text_id") if c is None else c).alias(k) for k, c in zip(keys, named)], F.col("topic").alias(topic), F.col("prob").alias(prob))
+    rows = docs.withColumns({k: F.xxhash64("text") if c is None else c for k, c in zip(keys, named)})
+    return rows.join(drawn.dropDuplicates(keys), keys).select(*docs.columns, topic, prob)

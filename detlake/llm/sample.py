@@ -1,4 +1,4 @@
-"""Folds by id and bounded samples of labelled rows to fit a model on."""
+"""Folds by id, bounded samples of labelled rows to fit a model on, and column names that are free."""
 
 from __future__ import annotations
 
@@ -26,3 +26,14 @@ def bounded(rows: DataFrame, label: str, bound: int) -> DataFrame:
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     kept = rows.join(small, label).filter(share < F.lit(float(bound)) / F.col("_n"))
     return kept.withColumn("weight", F.greatest(F.col("_n") / float(bound), F.lit(1.0))).drop("_n")
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

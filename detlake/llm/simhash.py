@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from detlake.llm.components import components
+from detlake.llm.sample import free
 from detlake.llm.text import LOWER, SPACE, Words, pieces, words
 from detlake.session import materialize
 
@@ -168,17 +169,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one of each group, the smallest id.
 
-    Rows that share that id are one row afterwards; where all ids are null, one of
-    the rows with the least text hash stays.
+    Rows that share id and text are one row afterwards; rows that share an id alone are
+    documents of their own. Where all ids of a group are null, the row with the least text
+    hash stays. Other columns may have any names and are kept as they are.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
-    named = docs.withColumn("_key", key)
-    found = near_duplicates(named.select(F.struct("doc_id", "_key").alias("doc_id"), "text"))
-    doc_id, key = F.col("doc_id.doc_id"), F.col("doc_id._key")
-    order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("_key"))
-    first = found.groupBy("component_id").agg(F.min(order).alias("first")).select("first._key")
-    rows = found.groupBy(key.alias("_key")).agg(F.count("*").alias("n"))
-    chosen = materialize(first.distinct().join(rows, "_key"), "simhash-kept")
-    once = named.join(chosen.filter("n = 1").select("_key"), "_key", "left_semi")
-    more = named.join(chosen.filter("n > 1").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    (name,) = free(docs, "key")
+    own = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("none"))
+    named = docs.withColumn(name, F.concat_ws("/", own, F.xxhash64("text").cast("string")))
+    found = near_duplicates(named.select(F.struct("doc_id", F.col(name).alias("key")).alias("doc_id"), "text"))
+    doc_id, key = F.col("doc_id.doc_id"), F.col("doc_id.key")
+    order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("key"))
+    first = found.groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
+    rows = found.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    chosen = materialize(first.distinct().join(rows, "key"), "simhash-kept").withColumnRenamed("key", name)
+    once = named.join(chosen.filter("n = 1").select(name), name, "left_semi")
+    more = named.join(chosen.filter("n > 1").select(name), name, "left_semi").dropDuplicates([name])
     return once.unionByName(more).select(*docs.columns)

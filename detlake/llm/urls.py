@@ -2,8 +2,13 @@
 
 The words of a URL (host, path, query names, marked by where they stand; numbers
 left out) and a ``bad`` mark from the labels are one basket per labelled page.
-Frequent itemsets (FP-growth) give rules ``words -> bad`` that are pruned by
-support, confidence and a smaller rule that is at least as sure. A page is blocked
+Words on fewer than ``LEAST`` pages can be in no rule and are left out. FP-growth finds the
+frequent combinations; a basket of over ``WIDE`` words goes in as all triples of its groups of
+``GROUP`` words, which hold every combination of ``LONGEST`` words, and what is found that way is
+counted anew over whole baskets. Rules ``words -> bad`` stay if they rest on ``LEAST`` bad pages, are
+right more often than not (``CONFIDENCE``), ``LIFT`` times as often as pages are bad at all, and so often that
+chance would not do it (``SURE`` standard errors over that rate, as many words are looked at),
+and if no smaller rule is at least as sure. A page is blocked
 if some rule's words are all in its URL. Each rule is indexed under its rarest
 word; a URL looks up its words there and checks the few rules it finds.
 
@@ -13,9 +18,9 @@ wins, and it overrides the mined ones.
 
 Defined cases: null URL or one without ``://`` has empty host and path, no rule, and
 is allowed; no labels or no frequent words: nothing is mined; equal URLs get equal
-verdicts; a document labelled twice is bad if one label says so. For mining (not
-for matching) a basket holds at most ``BASKET`` words, chosen by hash, as the
-itemsets of very long equal URLs would not end.
+verdicts; a document labelled twice is bad if one label says so; very long URLs count with
+all their words; of rules that are equally sure any may name the verdict; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from detlake.session import materialize
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-SUPPORT = 0.005
-LEAST = 5  # pages a rule must rest on
+LEAST = 20  # bad pages a rule must rest on, whatever the size of the table
 CONFIDENCE = 0.5
-BASKET = 12
+LIFT = 1.5
+SURE = 5.0
 LONGEST = 3  # words in a rule
+GROUP, WIDE = 4, 12
 _BAD = "!bad"
 
 
@@ -75,24 +81,51 @@ def document_of(url: Column) -> Column:
     return F.when(digits != "", digits).try_cast("bigint")
 
 
-def mine(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def _narrow(words_of: Column) -> Column:
+    """Baskets of at most ``WIDE`` words that together hold all combinations of ``LONGEST`` words."""
+    n = F.ceil(F.size(words_of) / F.lit(GROUP)).cast("int")
+    group = lambda i: F.slice(words_of, i * GROUP + 1, F.lit(GROUP))
+    below = lambda k: F.sequence(F.lit(0), k - 1)
+    triples = F.flatten(F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.flatten(F.transform(
+        F.sequence(F.lit(1), i - 1), lambda j: F.transform(below(j), lambda k: F.concat(group(i), group(j), group(k)))))))
+    return F.when(F.size(words_of) > WIDE, triples).otherwise(F.array(words_of))
+
+
+def _rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rule`` and ``need`` with the rarest of its words as ``key``."""
+    keyed = rules.withColumn("key", F.explode("need")).join(counts, "key")
+    return keyed.groupBy("need").agg(F.min(F.struct("n", "key"))["key"].alias("key")).withColumn("rule", F.xxhash64("need"))
+
+
+def mine(baskets: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, sure: float = SURE) -> DataFrame:
     """Rules ``rule``, ``need`` (words), ``confidence``, ``key`` (rarest word) from ``words`` and ``bad``."""
-    short = F.slice(F.array_sort("words", lambda a, b: F.when(F.xxhash64(a) < F.xxhash64(b), -1).otherwise(1)), 1, BASKET)
-    short = F.when(F.size("words") > BASKET, short).otherwise(F.col("words"))
-    items = baskets.select(
-        F.concat(short, F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    items = materialize(items, "urls-baskets")
-    none = items.sparkSession.createDataFrame([], "rule bigint, need array<string>, confidence double, key string")
-    n = items.count()
-    if n < LEAST:
+    spark = baskets.sparkSession
+    baskets = materialize(baskets.select(F.monotonically_increasing_id().alias("id"), "words", "bad"), "urls-baskets")
+    none = spark.createDataFrame([], "rule bigint, need array<string>, confidence double, key string")
+    total = baskets.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    if total["bad"] < least:
+        return none
+    base = total["bad"] / total["n"]
+    counts = baskets.select("bad", F.explode("words").alias("key")).groupBy("key").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("n_bad")).filter(F.col("n_bad") >= least)
+    counts = materialize(counts, "urls-words")
+    held = baskets.select("id", "bad", F.explode("words").alias("key")).join(counts.select("key"), "key")
+    held = held.groupBy("id", "bad").agg(F.sort_array(F.collect_list("key")).alias("words"))
+    items = held.select("bad", F.explode(_narrow(F.col("words"))).alias("items"))
+    mark = F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))
+    items = materialize(items.select(F.concat("items", mark).alias("items")), "urls-items")
+    n_items = items.count()
+    if not n_items:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST / n), minConfidence=confidence).fit(items)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BAD)))
-    rules = rules.filter(F.size("antecedent") <= LONGEST).select(F.sort_array("antecedent").alias("need"), "confidence")
-    rare = items.select(F.explode("items").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    keyed = rules.withColumn("key", F.explode("need")).join(rare, "key")
-    keyed = keyed.groupBy("need", "confidence").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
-    keyed = materialize(keyed.select(F.xxhash64("need").alias("rule"), "need", "confidence", "key"), "urls-rules")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_items * (1 - 1e-9)), minConfidence=0.0).fit(items)
+    found = model.freqItemsets.filter(F.array_contains("items", _BAD) & (F.size("items") > 1) & (F.size("items") <= LONGEST + 1))
+    rules = _rarest(found.select(F.sort_array(F.array_remove("items", _BAD)).alias("need")), counts.select("key", "n"))
+    rules = materialize(rules, "urls-candidates")
+    exact = _hits(baskets, rules).groupBy("rule", "need", "key").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    share = F.col("n_bad") / F.col("n")
+    chance = F.lit(base) + F.lit(sure) * F.sqrt(F.lit(base * (1 - base)) / F.col("n"))
+    strong = (F.col("n_bad") >= least) & (share >= confidence) & (share >= lift * base) & (share >= chance)
+    keyed = materialize(exact.filter(strong).select("rule", "need", share.alias("confidence"), "key"), "urls-rules")
     smaller = _hits(keyed.select(F.col("rule").alias("id"), F.col("need").alias("words"), F.col("confidence").alias("own")), keyed)
     worse = smaller.filter((F.col("id") != F.col("rule")) & (F.col("confidence") >= F.col("own"))).select(F.col("id").alias("rule"))
     return keyed.join(worse.distinct(), "rule", "left_anti")
