@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from detlake.llm import decontaminate, mixing, quality, rules, urls
 from detlake.llm.queries import QUERIES
@@ -136,7 +137,7 @@ def test_mixing_edges(spark):
     assert len(got) == 6 and all(0 <= r.prob <= 1 for r in got)
     assert [r.n_tokens for r in got if r.doc_id in (1, 2)] == [0, 0]
     drawn = mixing.sample(docs)
-    assert [c for c in drawn.columns if c not in ("topic", "prob")] == [c for c in docs.columns if c not in ("topic", "prob")]
+    assert drawn.columns == [*docs.columns, "topic_", "prob_"]  # columns that were there keep their names
     assert drawn.count() == sum(r.kept for r in got)
     assert mixing.mix_sources(docs.filter("false")).count() == 0
     none = mixing.mix_sources(docs, langs_to={"en": 0.0}).filter("lang = 'en' and n_tokens > 0").collect()
@@ -219,10 +220,44 @@ def test_mined_rules_against_brute_force(spark):
     assert mined
     for r in mined:
         own = [bad for w, bad in data if set(r.need) <= w]
-        assert r.confidence == pytest.approx(np.mean(own)) and sum(own) >= urls.SUPPORT * len(data)
+        assert r.confidence == pytest.approx(np.mean(own)) and sum(own) >= urls.LEAST
         assert not any(set(o.need) < set(r.need) and o.confidence >= r.confidence for o in mined)
 
 
+def test_rules_of_long_urls_and_pairs_against_brute_force(spark):
+    """URLs of 30 frequent words; a pair of words is bad that neither word tells alone; noise mines nothing."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    names = [f"k{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rows, marks = [], []
+    for i in range(600):
+        w = list(rng.choice(names[2:], 30 if i % 3 == 0 else 6, replace=False))
+        w += [n for n, p in zip(names[:2], rng.random(2)) if p < 0.6]
+        bad = {names[0], names[1]} <= set(w) and rng.random() < 0.9 or rng.random() < 0.05
+        rows.append((i, f"http://s.org/{'/'.join(w)}/{i}"))
+        marks.append((i, int(not bad), 0))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    baskets = pages.select(urls.words(pages.url).alias("words"), urls.document_of(pages.url).alias("doc_id")).join(labels, "doc_id")
+    baskets = baskets.selectExpr("words", "quality = 0 as bad")
+    data = [(frozenset(r.words), r.bad) for r in baskets.collect()]
+    n, base = len(data), np.mean([b for _, b in data])
+    strong = {}
+    for size in (1, 2, 3):
+        for need in combinations(sorted({w for ws, _ in data for w in ws}), size):
+            own = [b for ws, b in data if set(need) <= ws]
+            share = np.mean(own) if own else 0
+            if sum(own) >= urls.LEAST and share >= max(urls.CONFIDENCE, urls.LIFT * base, base + urls.SURE * np.sqrt(base * (1 - base) / len(own))):
+                strong[need] = share
+    want = {k: v for k, v in strong.items() if not any(set(o) < set(k) and strong[o] >= v for o in strong)}
+    mined = {tuple(r.need): r.confidence for r in urls.mine(baskets).collect()}
+    assert mined.keys() == want.keys() and all(mined[k] == pytest.approx(v) for k, v in want.items())
+    assert tuple(sorted(f"p:{w}" for w in names[:2])) in mined
+    noise = baskets.select("words", (F.rand(3) < 0.25).alias("bad"))
+    assert urls.mine(noise).collect() == []
+
+
 # --- adaptive rules ----------------------------------------------------------
 
 def test_rule_edges(spark):

@@ -71,8 +71,9 @@ def test_stage_edges(spark, stage):
     docs = spark.createDataFrame(rows, kind)
     name, f = cp.STAGES[stage]
     got = f(spark, docs, SF)
-    extra = ["topic", "prob"] if name == "mix" else []
-    assert [c for c in got.columns if c not in extra] == [c for c in docs.columns if c not in extra]
+    extra = ["topic_", "prob"] if name == "mix" else []  # the column that was there keeps its name
+    assert got.columns == docs.columns + extra
+    assert {r.topic for r in got.collect()} <= {"clash"}
     assert got.count() <= len(rows)
     assert f(spark, docs.filter("false"), SF).count() == 0
     if name in ("benchmark", "repeated_passages"):
@@ -83,6 +84,50 @@ def test_stage_edges(spark, stage):
         assert sorted((r.doc_id for r in got.collect() if r.doc_id is not None)) == [1, 4, 6, 7, 8]
 
 
+INTERNAL = ["key", "_key", "id", "_id", "text_id", "_text_id", "spans", "_spans", "lower", "_lower", "source_name", "_source", "lang_name",
+            "_lang", "topic", "prob", "a", "b", "fp", "n", "place", "weight", "_w", "draw", "groups", "n_tokens", "component_id", "root", "x"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_columns_named_like_the_work_columns_are_kept(spark, stage):
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 9999, 90))
+    texts = [text() for _ in range(6)]
+    rows = [(i % 5, t, "en", "s", len(t), *(f"{c}{i}" for c in INTERNAL)) for i, t in enumerate([*texts, texts[0] + " more", texts[0] + " " + text()])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in INTERNAL))
+    name, f = cp.STAGES[stage]
+    got = f(spark, docs, SF)
+    assert got.columns[:len(docs.columns)] == docs.columns
+    whole = {tuple(r[5:5 + len(INTERNAL)]) for r in got.collect()}
+    assert whole and whole <= {tuple(r[5:]) for r in rows}
+    if name == "near_duplicates":  # ids 0, 1 and 2 are on unlike texts too
+        assert got.count() == 7 and {r.text for r in got.collect()} >= set(texts)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    from detlake.llm import simhash
+
+    rng = np.random.default_rng(2)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 60)) for _ in range(4)]
+    docs = spark.createDataFrame([(7, text[0]), (7, text[1]), (8, text[2]), (9, text[0]), (7, text[1]), (None, text[3]), (None, text[2])], "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(7, text[0]), (7, text[1]), (8, text[2]), (None, text[3])], key=str)
+
+
+def test_ids_that_are_no_whole_numbers_are_told_at_once(spark):
+    docs = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="string"):
+        passages.repeated_passages(docs)
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(8)], "doc_id bigint, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="off"):
+        out = mixing.mix_sources(docs, langs_to={"en": 0.9, "de": 0.1}, sources_to={"a": 0.1, "b": 0.9})
+    assert out.first().off > 0.1
+    assert mixing.mix_sources(docs).first().off < 1e-3
+
+
 def test_fold_is_crc32(spark):
     from detlake.llm.sample import fold
 
