@@ -89,7 +89,7 @@ SQL_ROW_MD5 = "select md5(concat_ws(chr(31), " + ", ".join(
 
 
 @query("table_fingerprint", f"""select count(*) n_rows, md5(concat_ws(',', cast(count(*) as varchar), """ + ", ".join(
-    f"cast(sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint) as varchar)" for i in range(4)) + f""")) fingerprint
+    f"cast(sum(('0x' || substr(h, {15 * i + 1}, 15))::bigint) as varchar)" for i in range(2)) + f""")) fingerprint
 from ({SQL_ROW_MD5})""", ["v_manifest"])
 def q_table_fingerprint(spark, sf_dir):
     return P.table_fingerprint(_manifest(spark, sf_dir).select(*MANIFEST_COLUMNS))

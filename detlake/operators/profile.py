@@ -122,15 +122,14 @@ def value_counts_capped(
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent content hash: row count and the sums of the four words of the rows' md5.
+    """Order-independent content hash: row count and the sums of two words of 60 bits of the rows' md5.
 
-    Sums of 32-bit words stay below 2**63 up to 2**31 rows a task and are added as
-    decimals; any engine with md5 can repeat it.
+    The words are added as decimals, so the sums are exact; any engine with md5 can repeat it.
     """
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
     row = F.md5(F.concat_ws("\x1f", *cols))
-    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
-    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).cast("string") for i in range(4)]
+    word = lambda i: F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("bigint").cast("decimal(19,0)")
+    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).cast("string") for i in range(2)]
     return df.select(row.alias("h")).agg(
         F.count("*").alias("n_rows"), F.md5(F.concat_ws(",", F.count("*").cast("string"), *sums)).alias("fingerprint"))
 
