@@ -20,7 +20,8 @@ a shuffle. Words are runs of letters and digits of the lower-cased text.
 
 Defined cases: null and empty texts match nothing; items of fewer than ``LEAST``
 words are no evidence and are left out; repeated items count once, repeated
-documents each; ties go to the first passage; no items or no documents give no rows.
+documents each; ties go to the first passage; very long texts are worked on whole, alone; other
+columns are not read; no items or no documents give no rows.
 """
 
 from __future__ import annotations

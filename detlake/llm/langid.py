@@ -8,7 +8,8 @@ matrix of log probabilities, ``BINS`` floats for each of at most
 
 Defined cases: null text, or no letter: ``und`` with score 0; no labelled row at
 all: every text is ``und``; null ids are kept; equal rows get equal answers; ties
-go to the language that sorts first. Memory follows the longest text.
+go to the language that sorts first; more than ``sample.MAX_CLASSES`` languages raise ``ValueError``;
+other columns are not read (:func:`keep_known` keeps them). Memory follows the longest text.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ of each grade, weighted back to the grades' shares. Grading is one pass without
 shuffle. Defined cases: null and empty texts have no features and get the grade
 the thresholds give a score of zero; without ratings the grade is null and nothing
 is selected; one grade only gives that grade; several ratings of a document count as
-their mean, rounded; equal rows get equal grades.
+their mean, rounded; equal rows get equal grades; very long texts count whole; other columns
+are not read.
 """
 
 from __future__ import annotations

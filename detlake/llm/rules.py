@@ -11,8 +11,8 @@ its language, and if that is small too, of all texts.
 
 Only DataFrame functions are used. Defined cases: null text has no words and
 fails; null language or source is a group of its own; equal rows get equal
-answers; with no text of 50 words anywhere there are no cuts; other columns are
-not read. Windows are compared by 64-bit hashes of their three words within one
+answers; with no text of 50 words anywhere there are no cuts; very long texts count
+whole, as one row; other columns are not read. Windows are compared by 64-bit hashes of their three words within one
 text.
 """
 

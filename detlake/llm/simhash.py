@@ -9,7 +9,8 @@ pair; at 26 bits buckets stay short even for very many texts.
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any
 other; fewer than three words are one run; equal rows share one fingerprint; null
 ids link like others and never become a component id unless all are null. Only
-``doc_id`` and ``text`` are read. No rows give no rows.
+``doc_id`` and ``text`` are read; a very long text is one row of its worker and counts whole. No
+rows give no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ pass without a shuffle.
 
 Defined cases: null and empty texts score as texts without terms; no labelled row
 gives score 0 for all; one class only gives that class's rate; a document labelled
-twice is toxic if one label says so; rows may repeat; null ids are scored.
+twice is toxic if one label says so; rows may repeat; null ids are scored; very long texts count
+whole; other columns are not read.
 """
 
 from __future__ import annotations

@@ -167,6 +167,63 @@ def test_ordinal_fit_recovers_order():
     assert np.abs((1 - p).sum(1) - np.array([0.1, 1.1, 2.1, 3.0])).max() < 0.25
 
 
+def _plain_features(text):
+    """Square roots of shares of words and of word shapes, counted one word at a time."""
+    import re
+
+    from detlake.llm.text import LOWER, SAME, Words, hashes
+
+    def bins(words, fold, block):
+        out = {}
+        for w in words:
+            data = np.frombuffer(w, np.uint8)
+            h = int(hashes(data, Words(np.array([0]), np.array([len(data)]), np.array([0, 1])), fold)[0])
+            at = (h >> (64 - quality.BITS)) + (block << quality.BITS)
+            out[at] = out.get(at, 0) + 1
+        return {k: np.sqrt(v / len(words)) for k, v in out.items()}
+
+    kind = lambda b: ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("A") if 0x41 <= b <= 0x5A else ord("0") if 0x30 <= b <= 0x39 else b
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    shapes = [re.sub(rb"(?s)(.)\1\1+", rb"\1\1", bytes(map(kind, w))) for w in words]
+    return bins(words, LOWER, 0) | bins(shapes, SAME, 1)
+
+
+def test_grades_against_a_plain_cumulative_link_model(spark, monkeypatch):
+    """Features one word at a time; at the fit no parameter can be moved to a better penalised likelihood."""
+    monkeypatch.setattr(quality, "STEPS", 4000)
+    monkeypatch.setattr(quality, "RATE", 0.01)
+    monkeypatch.setattr(quality, "DECAY", 1e-2)
+    rng = np.random.default_rng(3)
+    tone = [["good", "fine", "It's"], ["so", "So-so", "meh!!!"], ["BAD", "###", "|99|", "çà"]]
+    grades = rng.integers(0, 3, 90)
+    texts = [" ".join(rng.choice(tone[2 - g] + ["the", "a\n"], 8)) + rng.choice(["", "  x1", "\tzz"]) for g in grades]
+    docs = _docs(spark, list(enumerate(texts)))
+    marks = spark.createDataFrame([(i, int(g)) for i, g in enumerate(grades)], "doc_id bigint, grade int")
+    model = quality.fit(docs, marks)
+    plain = [_plain_features(t) for t in texts]
+    used = sorted({k for f in plain for k in f})
+
+    def loss(cuts, w):
+        z = np.array([sum(w[k] * v for k, v in f.items()) for f in plain])
+        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+        p = 1 / (1 + np.exp(-(edge[grades + 1] - z))) - 1 / (1 + np.exp(-(edge[grades] - z)))
+        return -np.log(p).mean() + quality.DECAY / 2 * (w[used] ** 2).sum()
+
+    best = loss(model.cuts, model.w)
+    for k in used:
+        for step in (-0.05, 0.05):
+            w = model.w.copy()
+            w[k] += step
+            assert loss(model.cuts, w) > best - 1e-6
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            assert loss(model.cuts + step * (np.arange(2) == k), model.w) > best - 1e-6
+    for r in quality.predict(docs, model, 2).collect():
+        z = sum(model.w[k] * v for k, v in plain[r.doc_id].items())
+        above = 1 - 1 / (1 + np.exp(-(model.cuts - z)))
+        assert r.expected_grade == pytest.approx(above.sum(), abs=1e-5) and r.tail_prob == pytest.approx(above[1], abs=1e-5)
+
+
 def test_grade_edges(spark):
     docs = _docs(spark, [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "### ###"), (6, "word " * 300_000)])
     marks = spark.createDataFrame([(3, 2), (3, 2), (2, 0), (1, None), (None, 1), (6, 1)], "doc_id bigint, grade int")
