@@ -17,7 +17,7 @@ only the first document of each goes on.
 A minimum shared by many documents links each of them to the first document that
 holds it and to the one before, never all to all: every later copy has a link to an
 earlier one. The first holder may share no more than those five words. All documents are
-therefore linked again under finer keys: the whole run of ``LEAST`` words, which finds
+therefore linked again under finer keys, of which ``FINER`` must agree: the whole run of ``LEAST`` words, which finds
 an earlier holder of every exact repeat whatever else shares parts of it, and, for
 repeats with edits, a minimum together with the minimum of another function over the
 ``SIDE`` shingles on its left or right. Rows of a batch with the same key are linked
@@ -29,7 +29,8 @@ Words are split at white space, A-Z lower-cased. Documents are ordered by
 ``doc_id``, a whole number (``TypeError`` otherwise); the later document of a pair carries the duplicate.
 Defined cases: null, empty and short texts (under ``LEAST`` words) have no passages;
 rows without id are left alone; rows that share an id are never compared with each
-other; repeats inside one document are not looked for; no rows give no rows. Texts
+other; repeats inside one document are not looked for; other columns are not read (:func:`cut_repeats`
+keeps them); no rows give no rows. Texts
 over ``CUT`` shingles are worked on in parts that overlap by ``OVERLAP``.
 """
 
@@ -51,6 +52,7 @@ SHINGLE = 5
 LEAST = 50
 HASHES = 4
 AGREE = 2
+FINER = 1  # functions that must agree under the finer keys, which hold two minima each
 SIMILAR = 0.8
 RUN = LEAST - SHINGLE + 1
 SIDE = RUN // 2  # a run of RUN shingles has so many on one side of any of its places
@@ -325,10 +327,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
 
 
-def _pairs(rows: DataFrame, windows, only=None, limit=SLICE) -> DataFrame:
+def _pairs(rows: DataFrame, windows, only=None, limit=SLICE, agree=AGREE) -> DataFrame:
     found = rows.mapInArrow(_emit(windows, only, limit), _SCHEMA).repartition("key").sortWithinPartitions("key", "a")
     found = found.mapInArrow(_compare, _SCHEMA).groupBy("a", "b").agg(F.bit_or("said").alias("said"))
-    return found.filter(F.bit_count("said") >= AGREE).drop("said")
+    return found.filter(F.bit_count("said") >= agree).drop("said")
 
 
 def candidate_pairs(docs: DataFrame, sides: bool = False, only=None) -> DataFrame:
@@ -337,7 +339,7 @@ def candidate_pairs(docs: DataFrame, sides: bool = False, only=None) -> DataFram
     With ``sides`` the minima are keyed together with what stands beside them. ``only``: set of the
     documents that count (:func:`_bits`).
     """
-    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides), only)
+    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides), only, agree=FINER if sides else AGREE)
 
 
 def exact_pairs(docs: DataFrame, only=None) -> DataFrame:
@@ -465,26 +467,33 @@ def _chained(pair: _Pair, i: np.ndarray, j: np.ndarray, n: np.ndarray, far: int)
 def similar_stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Stretches of ``y`` and their likes in ``x``: both ranges and the similarity of their sets, 0.8 or more.
 
-    Runs alike in both texts are joined while the whole stays similar; stretches of hits
-    are held against those of ``x`` too, of their own shingles and of all, as parts may be in another order.
+    First all that the texts share, then each stretch of hits, is held against the part of ``x`` between its
+    first and last like. What is not similar that way is joined from runs alike in both texts while the
+    whole stays similar, and its stretches are held against those of ``x`` too, of their own
+    shingles and of all, as parts may be in another order.
     """
     pair = _Pair(x, y)
-    in_x, in_y = pair.marks(pair.y)[pair.x], pair.marks(pair.x)[pair.y]
-    hits, found = min(int(np.count_nonzero(in_x)), int(np.count_nonzero(in_y))), []
-    if np.count_nonzero(in_y) < SIMILAR * RUN:
+    in_x, left = pair.marks(pair.y)[pair.x], pair.marks(pair.x)[pair.y]
+    if np.count_nonzero(left) < SIMILAR * RUN:
         return []
-    (f, t), (s, e) = ((int(h.argmax()), len(h) - int(h[::-1].argmax())) for h in (in_x, in_y))
-    if e - s >= RUN:
-        share = pair.likeness(f, t, s, e)
-        if share >= SIMILAR:  # all they share is one stretch
-            return [(f, t, s, e, share)]
-    i, j, n = _blocks(pair.x, pair.y)
-    if len(n) == 1:
-        return [(f, t, s, e, 1.0)] if e - s >= RUN else []
-    found = list(_chained(pair, i, j, n, hits // 4 + SHINGLE))
+    ends = lambda hit: (int(hit.argmax()), len(hit) - int(hit[::-1].argmax()))
+    (f, t), (s, e), found = ends(in_x), ends(left), []
+    share = pair.likeness(f, t, s, e) if e - s >= RUN else 0.0
+    if share >= SIMILAR:
+        return [(f, t, s, e, share)]
+    for s, e in _stretches(left, GAPS[0]):
+        if e - s >= RUN:
+            f, t = ends(pair.marks(pair.y[s:e])[pair.x])
+            share = pair.likeness(f, t, s, e)
+            if share >= SIMILAR:
+                found.append((f, t, s, e, share))
+                left[s:e] = False
+    hits = min(int(np.count_nonzero(in_x)), int(np.count_nonzero(left)))
+    if np.count_nonzero(left) >= SIMILAR * RUN:
+        found += _chained(pair, *_blocks(pair.x, np.where(left, pair.y, -1)), hits // 4 + SHINGLE)
     for gap in GAPS:
         others = None
-        for s, e in _stretches(in_y, gap):
+        for s, e in _stretches(left, gap):
             if e - s < RUN or any(f <= s and e <= t for _, _, f, t, _ in found):
                 continue
             others = _stretches(in_x, gap) if others is None else others

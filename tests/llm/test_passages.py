@@ -178,3 +178,50 @@ def test_stretches_beside_longer_ones_and_across_insertions():
     words = rng.integers(0, 300, 1000)
     pool = v[words]
     assert passages.similar_stretches(pool, np.concatenate([v[words[::-1]], v[2000:2060]])) is not None
+
+
+def test_edited_fields_of_templates_are_found(spark):
+    """Documents of six templates; later ones hold an earlier field with two words changed (similarity 0.81, others 0.58)."""
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]
+    frames, fields, rows, planted = [(words(40), words(40)) for _ in range(6)], [], [], set()
+    for i in range(300):
+        fields.append(words(22))
+        rows.append((i, " ".join([*frames[i % 6][0], *fields[i], *frames[i % 6][1]])))
+    for i in range(1000, 1120):
+        source = int(rng.integers(300))
+        field = list(fields[source])
+        for p in rng.choice(22, 2, replace=False):
+            field[p] = f"z{rng.integers(10**6)}"
+        rows.append((i, " ".join([*frames[source % 6][0], *field, *frames[source % 6][1]])))
+        planted.add((i, source))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = {(r.doc_id, r.other_id): r.similarity for r in passages.repeated_passages(docs).collect()}
+    assert len(planted & found.keys()) >= 0.95 * len(planted)
+    assert min(found.values()) >= passages.SIMILAR
+
+
+def test_whole_copies_stand_behind_the_first_document(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))
+    one, two, short = text(120), text(90), text(20)
+    rows = [(5, one), (3, one), (9, one), (9, one), (3, two), (7, two), (8, short), (10, short), (11, one + " " + text(60)), (12, None), (None, one)]
+    found = {(r.doc_id, r.other_id, r.first_word, r.end_word, r.similarity) for r in passages.repeated_passages(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {(5, 3, 0, 120, 1.0), (9, 3, 0, 120, 1.0), (7, 3, 0, 90, 1.0), (11, 3, 0, 120, 1.0)}
+
+
+def test_comparison_of_repetitive_and_reordered_texts():
+    """Whatever is reported is similar and long enough, and a passage copied out of a text is always covered."""
+    rng = np.random.default_rng(12)
+    for k in range(300):
+        x = rng.integers(0, [30, 400, 5000][k % 3], int(rng.integers(60, 400))).astype(np.uint64)
+        s = int(rng.integers(0, len(x) - 50))
+        part = x[s:s + int(rng.integers(50, len(x) - s + 1))]
+        y = np.concatenate([rng.integers(10**6, 10**7, int(rng.integers(0, 200))).astype(np.uint64), part, rng.integers(10**6, 10**7, 80).astype(np.uint64)])
+        at = len(y) - 80 - len(part)
+        out = passages.similar_stretches(x, y)
+        for f, t, a, b, share in out:
+            one, two = set(x[f:t].tolist()), set(y[a:b].tolist())
+            assert share == pytest.approx(len(one & two) / len(one | two)) and share >= passages.SIMILAR and b - a >= passages.RUN
+        assert any(a <= at and at + len(part) <= b for _, _, a, b, _ in out)
