@@ -39,15 +39,17 @@ def power(y: np.ndarray, n_fft: int, hop: int, win: int) -> np.ndarray:
     return np.concatenate(list(power_blocks(y, n_fft, hop, win, 1 << 30)))
 
 
+def _triangles(sr: int, n_fft: int, corner: np.ndarray) -> np.ndarray:
+    """Triangles over the bins of a spectrum, each from one corner over the next to the one after; corners ascend."""
+    f = np.linspace(0.0, sr / 2.0, 1 + n_fft // 2)
+    rise = (f - corner[:-1, None]) / np.diff(corner)[:, None]
+    return np.clip(np.minimum(rise[:-1], 1.0 - rise[1:]), 0.0, None)
+
+
 @lru_cache(maxsize=8)
 def linear_bank(sr: int, n_fft: int, n_filter: int) -> np.ndarray:
     """``[n_filter, bins]`` triangles with evenly spaced corners from 0 to sr/2."""
-    f = np.linspace(0.0, sr / 2.0, 1 + n_fft // 2)
-    corner = np.linspace(0.0, sr / 2.0, n_filter + 2)
-    left, mid, right = corner[:-2, None], corner[1:-1, None], corner[2:, None]
-    up = (f - left) / np.maximum(mid - left, 1e-12)
-    down = (right - f) / np.maximum(right - mid, 1e-12)
-    return np.maximum(0.0, np.minimum(up, down))
+    return _triangles(sr, n_fft, np.linspace(0.0, sr / 2.0, n_filter + 2))
 
 
 def mel_to_hz(mel: np.ndarray) -> np.ndarray:
@@ -69,11 +71,8 @@ def hz_to_mel(hz: float) -> float:
 @lru_cache(maxsize=8)
 def mel_bank(sr: int, n_fft: int, n_mels: int, fmin: float, fmax: float) -> np.ndarray:
     """``[n_mels, bins]`` area-normalised triangles, evenly spaced in mel."""
-    f = np.linspace(0.0, sr / 2.0, 1 + n_fft // 2)
     corner = mel_to_hz(np.linspace(hz_to_mel(fmin), hz_to_mel(fmax), n_mels + 2))
-    left, mid, right = corner[:-2, None], corner[1:-1, None], corner[2:, None]
-    bank = np.maximum(0.0, np.minimum((f - left) / (mid - left), (right - f) / (right - mid)))
-    return bank * (2.0 / (right - left))
+    return _triangles(sr, n_fft, corner) * (2.0 / (corner[2:] - corner[:-2]))[:, None]
 
 
 @lru_cache(maxsize=8)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from detlake.functions import labels as L, paths as P
 from detlake.functions.numeric import probit
 from detlake.operators import manifest as M, profile, quality as Q, resume as R
-from detlake.plans.manifest import build_all, build_manifest, passport
+from detlake.plans.manifest import build_all, build_manifest, passport, read_passport
 from detlake.registry import Registry
 from detlake.sinks import tables as sinks
 from detlake.sources import adapters as A, protocol as proto, tables as src
@@ -93,6 +93,25 @@ def test_directory_driven_and_build_all(spark, tmp_path):
     assert doc["fingerprint"].first() == profile.table_fingerprint(built["dirs"].repartition(3)).first()
 
 
+def test_manifest_is_stored_with_its_passport_and_replaced_by_name(spark, tmp_path):
+    for rel in ("training/real/a.wav", "training/fake/a.wav"):
+        touch(tmp_path / "raw" / rel)
+    args = dict(adapter="directories", dataset_id="dirs", audio_root=str(tmp_path / "raw"))
+    built = build_manifest(spark, out=str(tmp_path / "m"), **args)
+    assert src.scan_manifest(spark, str(tmp_path / "m")).count() == spark.read.parquet(str(tmp_path / "m")).count() == 2
+    stored = read_passport(spark, str(tmp_path / "m"))
+    assert stored.keys() == passport(built).keys()
+    for name, part in passport(built).items():
+        assert sorted(map(str, stored[name].collect())) == sorted(map(str, part.collect()))
+    table, root = "manifest_by_name", str(tmp_path / "versions")
+    build_manifest(spark, out=root, table=table, **args)
+    touch(tmp_path / "raw" / "testing/fake/b.wav")
+    build_manifest(spark, out=root, table=table, **args)
+    assert spark.table(table).count() == 3
+    assert read_passport(spark, sinks.table_location(spark, table))["fingerprint"].first()["n_rows"] == 3
+    spark.sql(f"drop table {table}")
+
+
 def test_mini_round_trip(spark, tmp_path):
     rows = [(ds, f"u{i:02d}", f"flac/u{i:02d}.flac", i % 2, "train", f"A{i}" if i % 2 else None)
             for ds, n in [("big", 14), ("small", 8)] for i in range(n)]
