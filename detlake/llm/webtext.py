@@ -3,13 +3,15 @@
 A page becomes text lines (one per block) in page order. Lines of elements that are
 never article text (navigation, footers, asides, forms, scripts, hidden parts, and
 elements whose class, id or role says advert, notice, sidebar, comments and the like)
-go at once. Where the page marks its article (``article``, ``main``, ``articleBody``, or a
-class or id such as ``post`` or ``content``), its lines are the text, whatever other pages
-hold: copies and repeated passages are text too. All other pages are differenced: pages
-of a host are put in order of their URL path, each is paired with its nearest neighbour
-on either side that holds other lines, lines are aligned by a longest common
+go at once, and where the page marks its article (``article``, ``main``, ``articleBody``, or a
+class or id such as ``post`` or ``content``), the lines outside. What is left of all pages
+is differenced: pages of a host are put in order of their URL path, each is paired with its
+nearest neighbour on either side that holds other lines, lines are aligned by a longest common
 subsequence, and the lines both hold are deleted. A pair that shares over
-``COPY`` of the characters of either page is a near copy and deletes nothing.
+``COPY`` of the characters of either page is a near copy and deletes nothing. Inside a marked
+article a passage that two stories share is text, so a check follows there: deleted lines
+come back unless at least ``MOST`` of the different pages of the host hold them, of ``PAGES`` or more;
+those are the notices of the site.
 
 Only line hashes and lengths are moved to pair pages, one row per host and different
 sequence of lines; hosts are cut into ranges of paths, so a host of a third of all pages is many tasks.
@@ -34,9 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from detlake.llm.urls import host, path
-from detlake.session import materialize
+from detlake.session import broadcast_if_small, materialize
 
 COPY = 0.7
+MOST, PAGES = 0.5, 8  # share of a host's different pages that hold a notice, and how many pages can tell
 CELLS = 1 << 27  # bits of one alignment table; longer pages are aligned in halves
 
 # --- lines of one page ---------------------------------------------------------
@@ -240,11 +243,11 @@ def shared(x: list, y: list) -> list[int]:
     return [at[i] for i in solve(0, len(x), 0, len(y))]
 
 
-def _deleted(own, sizes, other, other_sizes) -> list[int]:
+def _deleted(own, sizes, other, other_size) -> list[int]:
     """Lines of a page that its neighbour holds in the same order; none if one is a near copy of the other."""
     at = shared(own, other)
     alike = sum(sizes[i] for i in at)
-    return [] if alike > COPY * min(sum(sizes), sum(other_sizes)) else at
+    return [] if alike > COPY * min(sum(sizes), other_size) else at
 
 
 def _extracted(batches):
@@ -279,24 +282,38 @@ def _ordered(pages: DataFrame) -> DataFrame:
 
 def _differences(batches):
     for batch in batches:
-        rows = []
-        for own, sizes, other, other_sizes in zip(*(c.to_pylist() for c in batch.columns[2:])):
-            rows.append(_deleted(own, sizes, other, other_sizes))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.list_(pa.int32()))], ["host", "whole", "gone"])
+        places, keys = [], []
+        for own, sizes, other, other_size in zip(*(c.to_pylist() for c in batch.columns[2:])):
+            places.append(_deleted(own, sizes, other, other_size))
+            keys.append([own[i] for i in places[-1]])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
+            ["host", "whole", "place", "line"])
 
 
 def deleted_lines(pages: DataFrame) -> DataFrame:
-    """Per host and sequence of lines of pages that mark no article: the places its nearest pages hold too."""
+    """Per host and sequence of lines: the places ``gone`` that its nearest pages hold too, and of those the ``notices`` of the host."""
     near = _ordered(pages)
-    sequences = pages.groupBy("host", "whole").agg(
-        F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.bool_or(~F.col("marked")).alias("asked"))
+    sequences = pages.groupBy("host", "whole").agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
     sequences = materialize(sequences, "html-sequences")
-    asked = near.join(sequences.filter("asked").drop("asked"), ["host", "whole"])
+    asked = near.join(sequences, ["host", "whole"])
     asked = asked.withColumn("other", F.explode(F.array("before", "after"))).filter("other is not null")
-    others = sequences.select("host", F.col("whole").alias("other"), F.col("hashes").alias("theirs"), F.col("sizes").alias("their_sizes"))
-    pairs = asked.join(others, ["host", "other"]).select("host", "whole", "hashes", "sizes", "theirs", "their_sizes")
-    gone = pairs.mapInArrow(_differences, "host string, whole bigint, gone array<int>").filter(F.size("gone") > 0)
-    return gone.groupBy("host", "whole").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    size = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    others = sequences.select("host", F.col("whole").alias("other"), F.col("hashes").alias("theirs"), size.alias("their_size"))
+    pairs = asked.join(others, ["host", "other"]).select("host", "whole", "hashes", "sizes", "theirs", "their_size")
+    found = pairs.mapInArrow(_differences, "host string, whole bigint, place array<int>, line array<bigint>")
+    found = found.select("host", "whole", F.inline(F.arrays_zip("place", "line"))).distinct()
+    found = materialize(found, "html-shared")
+
+    lines_of = sequences.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
+    holders = lines_of.join(found.select("host", "line").distinct(), ["host", "line"], "left_semi")
+    holders = holders.groupBy("host", "line").agg(F.count("*").alias("n"))
+    hosts = sequences.groupBy("host").agg(F.count("*").alias("of"))
+    notices = holders.join(hosts, "host").filter((F.col("of") >= PAGES) & (F.col("n") >= MOST * F.col("of")))
+    notices = materialize(notices.select("host", "line", F.lit(True).alias("notice")), "html-notices")
+    told = found.join(broadcast_if_small(notices), ["host", "line"], "left")
+    return told.groupBy("host", "whole").agg(
+        F.collect_list("place").alias("gone"), F.collect_list(F.when(F.col("notice"), F.col("place"))).alias("notices"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -308,6 +325,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     found = materialize(found.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))), "html-lines")
     gone = materialize(deleted_lines(found.drop("lines")), "html-gone")
     joined = found.drop("hashes", "sizes", "path").join(gone, ["host", "whole"], "left")
+    joined = joined.withColumn("gone", F.when(F.col("marked"), F.col("notices")).otherwise(F.col("gone")))
     kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
-    text = F.array_join(F.when(F.col("marked") | F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n\n")
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -95,6 +95,20 @@ def test_copies_and_marked_articles_stay_whole(spark):
     assert all(got[10 + i] == whole for i in range(4))
 
 
+def test_notices_inside_marked_articles_go_by_differencing_and_shared_passages_stay(spark):
+    def page(i):
+        passage = "<p>A passage that some stories quote</p>" if i % 6 < 2 else ""
+        return f"<article><h1>Story {i}</h1><p>Told at length, part {i}</p>{passage}<p>Get our daily letter</p></article>"
+
+    rows = [(i, f"http://f.example/{i:02d}", page(i)) for i in range(12)]
+    rows += [(20 + i, f"http://g.example/{i:02d}", page(i)) for i in range(webtext.PAGES - 1)]
+    got = _main(spark, rows)
+    for i in range(12):
+        want = f"Story {i}\n\nTold at length, part {i}" + "\n\nA passage that some stories quote" * (i % 6 < 2)
+        assert got[i] == want
+    assert all(got[20 + i].endswith("Get our daily letter") for i in range(webtext.PAGES - 1))  # too few pages to tell
+
+
 def test_ranges_of_one_host_agree_with_one_range(spark):
     rows = [(i, f"http://a.example/{i % 7}/{i:04d}", f"<p>Menu {i // 100}</p><p>Text {i}</p><p>and its longer second line {i}</p><p>Foot</p>") for i in range(400)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
