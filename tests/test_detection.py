@@ -137,6 +137,21 @@ def test_ranks_of_tied_scores(spark, monkeypatch):
     assert {r["i"]: r["score"] for r in got.collect()} == dict(enumerate(sorted(s)))
 
 
+def test_hashed_draws_are_shared_out_by_their_number(spark, monkeypatch):
+    """A few nodes become many draws: tasks follow the draws, and results do not depend on them."""
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, 3000)
+    df = score_table(spark, {"g": ((rng.integers(0, 3, 3000) + labels).astype(float).tolist(), labels.tolist())})
+    once = bootstrap.eer_replicates_hashed(df, 4).orderBy("rep").collect()
+    monkeypatch.setattr(bootstrap, "PIECE", 50)
+    monkeypatch.setattr(bootstrap, "DRAWS", 400)
+    assert bootstrap.eer_replicates_hashed(df, 4).orderBy("rep").collect() == once and len(once) == 4
+    nodes = bootstrap._class_nodes(df, "dataset_id")
+    draws = bootstrap._drawn(nodes, 4, 1337, "dataset_id", bootstrap._tasks(nodes, 4))
+    sizes = [r["count"] for r in draws.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12_000 and max(sizes) <= 3 * bootstrap.DRAWS
+
+
 def test_running_totals(spark):
     rng = np.random.default_rng(1)
     rows = [("ab"[i % 3 == 0], float(v), int(i)) for i, v in enumerate(rng.integers(0, 30, 200))]
