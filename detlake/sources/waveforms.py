@@ -67,7 +67,8 @@ def decode_wav(files: DataFrame, target_sr: int) -> DataFrame:
     """Add ``sr``, ``samples``, ``error`` to rows with a binary ``content``.
 
     A file that cannot be decoded, is empty or has another sample rate gets an
-    ``error`` and no samples; no row is dropped.
+    ``error`` and no samples; no row is dropped. Every file is decoded once, whatever
+    is filtered on afterwards.
     """
 
     ship_package(files.sparkSession)
@@ -77,6 +78,9 @@ def decode_wav(files: DataFrame, target_sr: int) -> DataFrame:
         for contents in batches:
             yield pd.DataFrame([_decoded(raw, target_sr) for raw in contents], columns=_DECODED.names)
 
+    # A filter on the result would be pushed below a deterministic function, with a second copy of
+    # it and of all Python that makes the content: twice the work and twice the Python workers.
+    decode = decode.asNondeterministic()
     return (
         files.withColumn("_d", decode("content"))
         .drop("content")

@@ -177,6 +177,14 @@ def test_decode_pcm_widths():
         assert rate == 16000
 
 
+def test_filters_decode_no_file_twice(spark):
+    rows = [(i, bytearray(wav_bytes(b"\0\1" * 8, rate=8000 if i % 3 == 0 else 16000))) for i in range(9)]
+    decoded = W.decode_wav(spark.createDataFrame(rows, "id int, content binary"), 16000)
+    good = decoded.filter("error is null").select("id", F.posexplode("samples"))
+    assert good._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert good.count() == 6 * 8 and decoded.filter("error is not null").count() == 3
+
+
 def test_files_to_features_and_resume(spark, tmp_path):
     """Real WAV files: good ones, a wrong rate, a broken one, a missing one, a short one."""
     rng = np.random.default_rng(0)
