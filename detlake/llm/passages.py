@@ -59,6 +59,7 @@ SIDE = RUN // 2  # a run of RUN shingles has so many on one side of any of its p
 CUT, OVERLAP = 1 << 18, 1 << 12
 BITS = 1 << 26  # 8 MB; more ids than that let more documents through, never fewer
 EXACT = 7  # in place of the function: the key is that of a whole run
+SHARED = 1 << 62  # in place of what windows said: a minimum that several documents hold
 SLICE = 1 << 22  # bytes of text worked on at once
 ROWS = 1000  # documents that go to Python at once
 GAPS = (2 * SHINGLE, SHINGLE, 0)
@@ -284,11 +285,18 @@ def _held(batch: pa.RecordBatch, among, place: int) -> pa.RecordBatch:
     return batch.filter(pa.array(among.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
 
 
-def _emit(windows, only=None, limit=SLICE):
+def _marks(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Rows for the places of minima under the first function that more than one document holds; they stand as both ends."""
+    more = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]) & (key[1:] & 7 == 0)
+    place = np.unique(_place_of(key[1:][more].view(np.uint64)))
+    return _batch(mix(place.view(np.uint64)).view(np.int64), place, place, np.zeros(len(place), np.int64), np.full(len(place), SHARED))
+
+
+def _emit(windows, only=None, limit=SLICE, marks=False):
     """Windows to compare across batches, told by ``said`` = 0, and the links within the batch.
 
     Of each key all places of the first document of a slice go on. ``only``: set of the documents to
-    work on; ``limit``: bytes of text worked on at once.
+    work on; ``limit``: bytes of text worked on at once; ``marks``: tell shared minima too (:func:`_marks`).
     """
     def run(batches):
         for batch in batches:
@@ -300,12 +308,14 @@ def _emit(windows, only=None, limit=SLICE):
                 zero = np.zeros(first.sum(), np.int64)
                 yield _batch(key[first], doc[first], zero, spot[first], zero)
                 yield _links_batch(*links)
+                if marks:
+                    yield _marks(key, doc)
 
     return run
 
 
-def _compare(batches):
-    """Links between windows of equal key; rows come sorted by key and document. Links pass through."""
+def _compare(batches, marks=False):
+    """Links between windows of equal key; rows come sorted by key and document. Links and marks pass through."""
     held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
@@ -315,6 +325,8 @@ def _compare(batches):
         if len(key):
             first, links = _grouped(key, doc, spot)
             yield _links_batch(*links)
+            if marks:
+                yield _marks(key, doc)
             last = (key == key[-1]) & (first | (doc == doc[-1]))
             held = [key[last], doc[last], spot[last]]
 
@@ -327,42 +339,34 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
 
 
-def _pairs(rows: DataFrame, windows, only=None, limit=SLICE, agree=AGREE) -> DataFrame:
-    found = rows.mapInArrow(_emit(windows, only, limit), _SCHEMA).repartition("key").sortWithinPartitions("key", "a")
-    found = found.mapInArrow(_compare, _SCHEMA).groupBy("a", "b").agg(F.bit_or("said").alias("said"))
-    return found.filter(F.bit_count("said") >= agree).drop("said")
+def _pairs(rows: DataFrame, windows, only=None, limit=SLICE, agree=AGREE, marks=False) -> DataFrame:
+    found = rows.mapInArrow(_emit(windows, only, limit, marks), _SCHEMA).repartition("key").sortWithinPartitions("key", "a")
+    found = found.mapInArrow(functools.partial(_compare, marks=marks), _SCHEMA).groupBy("a", "b").agg(F.bit_or("said").alias("said"))
+    return found.filter((F.bit_count("said") >= agree) | (F.col("said") == SHARED)).drop("said")
 
 
-def candidate_pairs(docs: DataFrame, sides: bool = False, only=None) -> DataFrame:
+def candidate_pairs(docs: DataFrame, sides: bool = False, only=None, marks: bool = False) -> DataFrame:
     """Pairs ``a < b`` of documents that have windows in common.
 
     With ``sides`` the minima are keyed together with what stands beside them. ``only``: set of the
-    documents that count (:func:`_bits`).
+    documents that count (:func:`_bits`). With ``marks`` there are rows ``a = b`` besides: the places of the
+    minima that several documents hold, as all windows meet by their minima here anyway.
     """
-    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides), only, agree=FINER if sides else AGREE)
+    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides), only, agree=FINER if sides else AGREE, marks=marks)
 
 
-def exact_pairs(docs: DataFrame, only=None) -> DataFrame:
+def exact_pairs(docs: DataFrame, only=None, among=None) -> DataFrame:
     """Pairs ``a < b`` so that every document is with an earlier holder of each run of ``LEAST`` words it repeats.
 
     The key is the run itself, so chance holders of a part of it do not stand between;
-    runs whose minimum only one document holds are left out in the scan.
+    runs whose minimum only one document holds are left out in the scan. ``among``: set of the shared
+    minima, if it is known.
     """
     rows = _rows(docs)
-    among = _shared_minima(rows, only)
+    among = _shared_minima(rows, only) if among is None else among
     return _pairs(rows, lambda column, doc: _exact_runs(column, doc, among), only, SLICE // 2)
 
 
-def _shingled(batches):
-    """The text as bytes of shingles."""
-    for batch in batches:
-        for a, b, data, offsets in pieces(batch.column(2)):
-            sh, at = shingles(data, offsets)
-            out = [sh[at[i]:at[i + 1]].tobytes() for i in range(b - a)]
-            ids = (c.slice(a, b - a) for c in batch.columns[:2])
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(out, pa.binary())], ["a", "b", "x"])
-
-
 def _stretches(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
     """Stretches of hits with at most ``gap`` misses in a row, as long as a least run can be."""
     at = np.flatnonzero(hit)
@@ -512,14 +516,15 @@ def _verify(batches):
     names = ["doc_id", "first_word", "end_word", "other_id", "other_first", "other_end", "similarity", "text_id"]
     for batch in batches:
         rows, tail = [], SHINGLE - 1
-        ids, others, x = batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2)
-        text_ids = batch.column(3).to_pylist()
+        ids, others, text_ids = (batch.column(c).to_pylist() for c in (1, 0, 3))
         for a, b, data, offsets in pieces(batch.column(4)):
             sh, at = shingles(data, offsets)
-            for i in range(a, b):
-                own = sh[at[i - a]:at[i - a + 1]]
-                for f, t, s, e, share in similar_stretches(np.frombuffer(x[i].as_buffer(), np.uint64), own):
-                    rows.append((ids[i], s, e + tail, others[i], f, t + tail, share, text_ids[i]))
+            for c, d, data, offsets in pieces(batch.column(2).slice(a, b - a)):
+                x, x_at = shingles(data, offsets)
+                for k in range(c, d):
+                    i, own = a + k, sh[at[k]:at[k + 1]]
+                    for f, t, s, e, share in similar_stretches(x[x_at[k - c]:x_at[k - c + 1]], own):
+                        rows.append((ids[i], s, e + tail, others[i], f, t + tail, share, text_ids[i]))
         kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
         columns = zip(*rows) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -548,14 +553,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The similar stretches of stored candidate pairs, whole texts against each other.
 
-    Only texts of these pairs are shuffled (:func:`_bits`); rows that share an id are each compared.
+    Only texts of these pairs are shuffled (:func:`_bits`), as texts: hashes of their shingles are larger and do not
+    compress. Rows that share an id are each compared.
     """
     among = _bits(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = _rows(docs).select("doc_id", F.xxhash64("text").alias("text_id"), "text", "place")
     texts = texts.mapInArrow(lambda batches: (_held(b, among, 3) for b in batches), texts.schema).drop("place")
-    earlier = texts.select(F.col("doc_id").alias("a"), "text")
-    x = pairs.join(earlier, "a").select("a", "b", "text").mapInArrow(_shingled, "a bigint, b bigint, x binary")
-    both = x.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "x", "text_id", "text")
+    earlier = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    both = pairs.join(earlier, "a").join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "x", "text_id", "text")
     schema = ("doc_id bigint, first_word bigint, end_word bigint, other_id bigint, other_first bigint, "
               "other_end bigint, similarity double, text_id bigint")
     return both.mapInArrow(_verify, schema).distinct()
@@ -588,10 +593,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     stands for the text in what follows.
     """
     copies, only = _copies(docs)
-    pairs = _stored(candidate_pairs(docs, only=only), "pairs")
+    pairs = _stored(candidate_pairs(docs, only=only, marks=True), "pairs")
+    among, pairs = _bits(pairs.filter("a = b"), F.col("a")), pairs.filter("a <> b")
     found = _stored(_compared(docs, pairs), "found")
     new = lambda more, *known: functools.reduce(lambda m, k: m.join(k, ["a", "b"], "left_anti"), known, more)
-    exact = _stored(new(exact_pairs(docs, only), pairs), "pairs")
+    exact = _stored(new(exact_pairs(docs, only, among), pairs), "pairs")
     finer = _stored(new(candidate_pairs(docs, True, only), pairs, exact), "pairs")
     more = _stored(_compared(docs, exact.unionByName(finer)), "found")
     return found.unionByName(more).unionByName(copies)

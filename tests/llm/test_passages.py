@@ -225,3 +225,16 @@ def test_comparison_of_repetitive_and_reordered_texts():
             one, two = set(x[f:t].tolist()), set(y[a:b].tolist())
             assert share == pytest.approx(len(one & two) / len(one | two)) and share >= passages.SIMILAR and b - a >= passages.RUN
         assert any(a <= at and at + len(part) <= b for _, _, a, b, _ in out)
+
+
+def test_shared_minima_told_by_the_windows_are_those_of_a_pass_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SLICE", 1 << 12)  # many slices: documents meet inside of one and across
+    rng = np.random.default_rng(8)
+    some = [_text(rng, 80) for _ in range(6)]
+    docs = _docs(spark, [(i, f"{_text(rng, 90)} {some[i % 6] if i % 3 else ''} {_text(rng, 70)}") for i in range(60)] + [(3, some[0])])
+    docs = docs.coalesce(1)  # which documents are linked depends on the slices
+    found = passages.candidate_pairs(docs, marks=True).collect()
+    assert {(r.a, r.b) for r in found if r.a != r.b} == {(r.a, r.b) for r in passages.candidate_pairs(docs).collect()}
+    bits = np.unpackbits(passages._shared_minima(passages._rows(docs)).value)
+    places = [r.a for r in found if r.a == r.b]
+    assert len(places) == len(set(places)) and sorted(places) == np.flatnonzero(bits).tolist() and places
