@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from detlake.llm.sample import free
-from detlake.llm.text import LOWER, _powers, hashes, mix, pieces, runs, words
+from detlake.llm.text import LOWER, _powers, buffers, hashes, mix, pieces, runs, words
 from detlake.session import materialize
 
 SHINGLE = 5
@@ -75,33 +75,42 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return runs(hashes(data, found, LOWER), found.row_at, SHINGLE)
 
 
-def compact_windows(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of ``size`` values from each place on."""
+    span = 1
+    out = values
+    while 2 * span <= size:
+        out, span = np.minimum(out[:-span], out[span:]), 2 * span
+    return np.minimum(out[:len(values) - size + 1], out[size - span:])
+
+
+def compact_windows(values: np.ndarray, at: np.ndarray, far: int | None = None, held=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimum's place, left and right end (inclusive) of all windows that hold a run of ``RUN`` values.
 
     ``values`` are hashes of all rows one after the other, ``at`` where rows begin; at
-    most 2**20 values. Equal minima: the leftmost counts.
+    most 2**20 values. Equal minima: the leftmost counts. ``far``: ends further away than that may be
+    told nearer, but not nearer than that. ``held``: says of places whether their windows are wanted.
     """
     n = len(values)
     if n < RUN:
         return (np.zeros(0, np.int64),) * 3
     g = (values & ~_PLACE) | np.arange(n, dtype=np.uint64)
-    padded = np.concatenate([g, np.full(-n % RUN, ~np.uint64(0))]).reshape(-1, RUN)
-    before = np.minimum.accumulate(padded, axis=1).ravel()
-    after = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(after[:n - RUN + 1], before[RUN - 1:n])
+    size = np.diff(at).max(initial=1)
+    size, tables = size if far is None else min(size, far), [g]
+    while 2 ** len(tables) <= max(size, RUN):
+        half = 2 ** (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    wide = RUN.bit_length() - 1
+    least = np.minimum(tables[wide][:n - RUN + 1], tables[wide][RUN - 2**wide:])
     whole = np.ones(n, bool)
     ends = np.clip(at[1:, None] - np.arange(1, RUN)[None, :], at[:-1, None], None)
     some = at[1:] > at[:-1]
     whole[ends[some].ravel()] = False
     c = (least[whole[:len(least)]] & _PLACE).astype(np.int64)
     c = c[np.append(True, c[1:] != c[:-1])[:len(c)]]
+    c = c if held is None else c[held(c)]
     row = np.searchsorted(at, c, "right") - 1
     first, last, own = at[row], at[row + 1], g[c]
-    size = np.diff(at).max(initial=1)
-    tables = [g]
-    while 2 ** len(tables) <= size:
-        half = 2 ** (len(tables) - 1)
-        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
     left, right = c.copy(), c + 1
     for k in range(len(tables) - 1, -1, -1):
         step, top = 1 << k, len(tables[k]) - 1
@@ -122,12 +131,14 @@ def _parts(at: np.ndarray):
         yield i, start, at[i + 1]
 
 
-def _sides(values: np.ndarray, first: np.ndarray, end: np.ndarray, c: np.ndarray):
-    """Which places have ``SIDE`` values of their row on the left, then right, and the least hash there."""
-    g = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+def _sides(least: np.ndarray, first: np.ndarray, end: np.ndarray, c: np.ndarray):
+    """Which places have ``SIDE`` values of their row on the left, then right, and the least hash there.
+
+    ``least``: that of ``SIDE`` hashes from each place on.
+    """
     for low in (c - SIDE, c + 1):
         on = np.flatnonzero((low >= first) & (low + SIDE <= end))
-        yield on, g[low[on][:, None] + np.arange(SIDE)].min(axis=1, initial=~np.uint64(0))
+        yield on, least[low[on]]
 
 
 def _jobs(column: pa.Array, doc: np.ndarray):
@@ -141,19 +152,32 @@ def _jobs(column: pa.Array, doc: np.ndarray):
             yield sh, at, doc[a:b], np.zeros(b - a, np.int64)
 
 
-def _windows(column: pa.Array, doc: np.ndarray, sides: bool = False, functions: int = HASHES):
-    """Windows of a batch: key (function in the low bits), document, place and reach packed in 64 bits."""
+def _key(minima: np.ndarray, f: int) -> np.ndarray:
+    return mix(minima + np.uint64(f)) & ~np.uint64(7) | np.uint64(f)
+
+
+def _wanted(values: np.ndarray, f: int, among):
+    """Whether the minima at places are in the set of shared ones; all are wanted if there is none."""
+    return None if among is None else lambda c: _in(among, _place_of(_key(values[c], f)))
+
+
+def _windows(column: pa.Array, doc: np.ndarray, sides: bool = False, functions: int = HASHES, among=None):
+    """Windows of a batch: key (function in the low bits), document, place and reach packed in 64 bits.
+
+    ``among``: set of the minima whose windows are wanted.
+    """
     keys, docs, spots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for values, starts, ids, shift in _jobs(column, doc):
+        least = _least(mix(values ^ np.uint64(0x5851F42D4C957F2D)), SIDE) if sides and len(values) >= RUN else values
         for f in range(functions):
-            c, left, right = compact_windows(mix(values + _SEEDS[f]), starts)
+            c, left, right = compact_windows(mix(values + _SEEDS[f]), starts, RUN, _wanted(values, f, among))
             row = np.searchsorted(starts, c, "right") - 1
-            key = mix(values[c] + np.uint64(f)) & ~np.uint64(7) | np.uint64(f)
+            key = _key(values[c], f)
             place = c - starts[row] + shift[row]
             reach = np.minimum(c - left, _FAR) << 16 | np.minimum(right - c, _FAR)
             spot, found = place << 32 | reach, [(np.arange(len(c)), key)]
             if sides:
-                near = enumerate(_sides(values, starts[row], starts[row + 1], c))
+                near = enumerate(_sides(least, starts[row], starts[row + 1], c))
                 found = [(on, mix(key[on] + mix(least) + np.uint64(8 * k)) & ~np.uint64(7) | np.uint64(f)) for k, (on, least) in near]
             for on, own in found:
                 keys.append(own.view(np.int64))
@@ -166,10 +190,8 @@ def _exact_runs(column: pa.Array, doc: np.ndarray, among):
     """Windows keyed by all values of a run: one for each run whose minimum under the first function is in the set."""
     keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for values, starts, ids, _ in _jobs(column, doc):
-        c, left, right = compact_windows(mix(values + _SEEDS[0]), starts)
-        at = _place_of(mix(values[c]) & ~np.uint64(7))
-        on = among.value[at >> 3] >> (7 - (at & 7)) & 1 == 1
-        c, low, high = c[on], np.maximum(left, c - RUN + 1)[on], np.minimum(c, right - RUN + 1)[on]
+        c, left, right = compact_windows(mix(values + _SEEDS[0]), starts, RUN, _wanted(values, 0, among))
+        low, high = np.maximum(left, c - RUN + 1), np.minimum(c, right - RUN + 1)
         size = high - low + 1
         begin = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
         power, inverse = _powers(1 << max(18, len(values).bit_length()))
@@ -183,7 +205,12 @@ def _exact_runs(column: pa.Array, doc: np.ndarray, among):
 
 
 def _place_of(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(3)).astype(np.int64) % BITS
+    """Places of minima in a set of shared ones; each function has ``BITS`` of its own."""
+    return (key >> np.uint64(3)).astype(np.int64) % BITS + (key & np.uint64(7)).astype(np.int64) * BITS
+
+
+def _in(among, at: np.ndarray) -> np.ndarray:
+    return among.value[at >> 3] >> (7 - (at & 7)) & 1 == 1
 
 
 def _linked(key, first, doc, first_spot, spot) -> tuple:
@@ -216,7 +243,11 @@ def _links_batch(a, b, said) -> pa.RecordBatch:
 def _widest(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by key and document, without places whose reach another place of that key and document has on both sides."""
     left, right = np.minimum(spot >> 16 & _FAR, RUN), np.minimum(spot & _FAR, RUN)  # more says no more
-    order = np.lexsort((-right, -left, doc, key))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    at = np.flatnonzero(np.append(same, False) | np.append(False, same))[:len(key)]  # most keys stand alone
+    some = order[at]
+    order[at] = some[np.lexsort((-right[some], -left[some], doc[some], key[some]))]
     key, doc, spot, right = key[order], doc[order], spot[order], right[order]
     own = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[:len(key)]
     group = np.cumsum(own) << 17
@@ -247,15 +278,15 @@ def _grouped(key: np.ndarray, doc: np.ndarray, spot: np.ndarray):
     return group == head, [np.concatenate(c) for c in zip(*out)]
 
 
-def _bits(ids: DataFrame, place=None):
-    """Broadcast set of document ids as ``BITS`` bits at hashed places: may hold others, misses none."""
+def _bits(ids: DataFrame, place=None, size: int = BITS):
+    """Broadcast set of document ids as ``size`` bits at hashed places: may hold others, misses none."""
     place = F.pmod(F.xxhash64("_id"), F.lit(BITS)) if place is None else place
     rows = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part"))
-    out = np.zeros(BITS, bool)
-    for r in rows.agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("m")).collect():  # BITS / 8 bytes at most
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows.agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("m")).collect():  # size / 8 bytes at most
         bits = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-        out[r["part"] * 32768:(r["part"] + 1) * 32768] = bits
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(out))
+        out[r["part"] * 4096:(r["part"] + 1) * 4096] = np.packbits(bits)
+    return ids.sparkSession.sparkContext.broadcast(out)
 
 
 def _minima(only=None):
@@ -281,22 +312,21 @@ def _shared_minima(rows: DataFrame, only=None):
 
 def _held(batch: pa.RecordBatch, among, place: int) -> pa.RecordBatch:
     """The rows whose place is in the set."""
-    at = batch.column(place).to_numpy()
-    return batch.filter(pa.array(among.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+    return batch.filter(pa.array(_in(among, batch.column(place).to_numpy())))
 
 
-def _marks(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    """Rows for the places of minima under the first function that more than one document holds; they stand as both ends."""
-    more = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]) & (key[1:] & 7 == 0)
+def _marks(key: np.ndarray, doc: np.ndarray, functions: int) -> pa.RecordBatch:
+    """Rows for the places of minima under the first functions that more than one document holds; they stand as both ends."""
+    more = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]) & (key[1:] & 7 < functions)
     place = np.unique(_place_of(key[1:][more].view(np.uint64)))
     return _batch(mix(place.view(np.uint64)).view(np.int64), place, place, np.zeros(len(place), np.int64), np.full(len(place), SHARED))
 
 
-def _emit(windows, only=None, limit=SLICE, marks=False):
+def _emit(windows, only=None, limit=SLICE, marks=0):
     """Windows to compare across batches, told by ``said`` = 0, and the links within the batch.
 
     Of each key all places of the first document of a slice go on. ``only``: set of the documents to
-    work on; ``limit``: bytes of text worked on at once; ``marks``: tell shared minima too (:func:`_marks`).
+    work on; ``limit``: bytes of text worked on at once; ``marks``: of how many functions to tell shared minima too (:func:`_marks`).
     """
     def run(batches):
         for batch in batches:
@@ -309,12 +339,12 @@ def _emit(windows, only=None, limit=SLICE, marks=False):
                 yield _batch(key[first], doc[first], zero, spot[first], zero)
                 yield _links_batch(*links)
                 if marks:
-                    yield _marks(key, doc)
+                    yield _marks(key, doc, marks)
 
     return run
 
 
-def _compare(batches, marks=False):
+def _compare(batches, marks=0):
     """Links between windows of equal key; rows come sorted by key and document. Links and marks pass through."""
     held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
@@ -326,7 +356,7 @@ def _compare(batches, marks=False):
             first, links = _grouped(key, doc, spot)
             yield _links_batch(*links)
             if marks:
-                yield _marks(key, doc)
+                yield _marks(key, doc, marks)
             last = (key == key[-1]) & (first | (doc == doc[-1]))
             held = [key[last], doc[last], spot[last]]
 
@@ -339,20 +369,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
 
 
-def _pairs(rows: DataFrame, windows, only=None, limit=SLICE, agree=AGREE, marks=False) -> DataFrame:
+def _pairs(rows: DataFrame, windows, only=None, limit=SLICE, agree=AGREE, marks=0) -> DataFrame:
     found = rows.mapInArrow(_emit(windows, only, limit, marks), _SCHEMA).repartition("key").sortWithinPartitions("key", "a")
     found = found.mapInArrow(functools.partial(_compare, marks=marks), _SCHEMA).groupBy("a", "b").agg(F.bit_or("said").alias("said"))
     return found.filter((F.bit_count("said") >= agree) | (F.col("said") == SHARED)).drop("said")
 
 
-def candidate_pairs(docs: DataFrame, sides: bool = False, only=None, marks: bool = False) -> DataFrame:
+def candidate_pairs(docs: DataFrame, sides: bool = False, only=None, marks: int = 0, among=None) -> DataFrame:
     """Pairs ``a < b`` of documents that have windows in common.
 
     With ``sides`` the minima are keyed together with what stands beside them. ``only``: set of the
     documents that count (:func:`_bits`). With ``marks`` there are rows ``a = b`` besides: the places of the
-    minima that several documents hold, as all windows meet by their minima here anyway.
+    minima under that many functions that several documents hold, as all windows meet by their minima here anyway.
+    ``among``: set of those of all functions, if it is known; no others can link documents.
     """
-    return _pairs(_rows(docs), lambda column, doc: _windows(column, doc, sides), only, agree=FINER if sides else AGREE, marks=marks)
+    windows = lambda column, doc: _windows(column, doc, sides, among=among)
+    return _pairs(_rows(docs), windows, only, agree=FINER if sides else AGREE, marks=marks)
 
 
 def exact_pairs(docs: DataFrame, only=None, among=None) -> DataFrame:
@@ -372,9 +404,9 @@ def _stretches(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
     at = np.flatnonzero(hit)
     if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(at) > gap + 1)
-    pairs = zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist())
-    return [(s, e) for s, e in pairs if e - s >= SIMILAR * RUN]
+    cut = np.flatnonzero(at[1:] - at[:-1] > gap + 1)
+    pairs = zip([at[0].item(), *at[cut + 1].tolist()], [*at[cut].tolist(), at[-1].item()])
+    return [(s, e + 1) for s, e in pairs if e + 1 - s >= SIMILAR * RUN]
 
 
 def _blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,6 +463,28 @@ class _Pair:
         out[codes] = True
         return out
 
+    @functools.cached_property
+    def firsts(self) -> np.ndarray:
+        """How many different shingles of ``x`` are met for the first time before each place, and at its end."""
+        first = np.full(self.kinds, len(self.x))
+        first[self.x[::-1]] = np.arange(len(self.x))[::-1]
+        out = np.zeros(len(self.x) + 2, np.int64)
+        out[first + 1] = 1  # those of ``y`` alone behind the end
+        return np.cumsum(out[:-1])
+
+    def nearest(self, likes: set[tuple[int, int]], s: int, e: int, own: np.ndarray) -> tuple[float, int, int]:
+        """Similarity and ends of the range of ``x`` most like one of ``y``, whose ``own`` marks these are; 0 if under ``SIMILAR``.
+
+        Only ranges are compared whose places that the one of ``y`` knows could be enough.
+        """
+        f, t = np.array(sorted(likes), np.int64).reshape(-1, 2).T
+        kinds, held = np.count_nonzero(own), np.append(0, np.cumsum(own[self.x]))
+        both = np.minimum(held[t] - held[f], kinds)  # at most
+        on = both / (np.maximum(self.firsts[t] - self.firsts[f], both) + kinds - both) >= SIMILAR
+        good = [(self.likeness(f, t, s, e), -f, f, t) for f, t in zip(f[on].tolist(), t[on].tolist())]
+        share, _, f, t = max(good, default=(0, 0, 0, 0))
+        return share, f, t
+
     def likeness(self, f: int, t: int, s: int, e: int) -> float:
         """Jaccard similarity of a range of ``x`` and one of ``y``."""
         if t - f + e - s > self.kinds >> 3:
@@ -443,10 +497,11 @@ class _Pair:
 
 
 def _chained(pair: _Pair, i: np.ndarray, j: np.ndarray, n: np.ndarray, far: int):
-    """From each block the longest similar stretch that ends with a block after it."""
+    """From each block the longest similar stretch that ends with a block after it, unless an earlier one holds it or is as good."""
     follows = _followers(i, j, n, far)
     i, j, n = i.tolist(), j.tolist(), n.tolist()
     ends: dict[int, int] = {}  # block a stretch ends with and where the first such stretch begins
+    reach, since, best = -1, -1, 0.0  # the furthest end of a stretch so far, the first place where one begins that ends there, its share
     for p in range(len(i)):
         both, q, good = 0, p, []
         while q >= 0:
@@ -461,10 +516,14 @@ def _chained(pair: _Pair, i: np.ndarray, j: np.ndarray, n: np.ndarray, far: int)
             if q in ends:  # inside a stretch found before, and so are all before it
                 break
             f, t, s, e = i[p], i[q] + n[q], j[p], j[q] + n[q]
+            if e < reach or (e == reach and (since < s or best == 1)):  # inside another stretch, and so are all before it
+                break
             share = pair.likeness(f, t, s, e)
             if share >= SIMILAR:
                 yield f, t, s, e, share
                 ends[q] = p
+                if e > reach or s == since:
+                    reach, since, best = e, s, share if e > reach else max(best, share)
                 break
 
 
@@ -501,8 +560,8 @@ def similar_stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int,
             if e - s < RUN or any(f <= s and e <= t for _, _, f, t, _ in found):
                 continue
             others = _stretches(in_x, gap) if others is None else others
-            likes = {*others, *_stretches(pair.marks(pair.y[s:e])[pair.x], gap)}
-            share, _, f, t = max(((pair.likeness(f, t, s, e), -f, f, t) for f, t in likes), default=(0, 0, 0, 0))
+            own = pair.marks(pair.y[s:e])
+            share, f, t = pair.nearest({*others, *_stretches(own[pair.x], gap)}, s, e, own)
             if share >= SIMILAR:
                 found.append((f, t, s, e, share))
     out: list[tuple[int, int, int, int, float]] = []
@@ -512,18 +571,26 @@ def similar_stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int,
     return out
 
 
+def _different(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
+    """Shingles of all different texts of a column, and which of them each row has: a text stands in many pairs."""
+    coded = column.dictionary_encode()
+    _, at = found = shingles(*buffers(coded.dictionary))
+    return np.split(found[0], at[1:-1]), coded.indices.to_pylist()
+
+
 def _verify(batches):
     names = ["doc_id", "first_word", "end_word", "other_id", "other_first", "other_end", "similarity", "text_id"]
     for batch in batches:
         rows, tail = [], SHINGLE - 1
         ids, others, text_ids = (batch.column(c).to_pylist() for c in (1, 0, 3))
-        for a, b, data, offsets in pieces(batch.column(4)):
-            sh, at = shingles(data, offsets)
-            for c, d, data, offsets in pieces(batch.column(2).slice(a, b - a)):
-                x, x_at = shingles(data, offsets)
+        for a, b, _, _ in pieces(batch.column(4)):
+            y, y_row = _different(batch.column(4).slice(a, b - a))
+            earlier = batch.column(2).slice(a, b - a)
+            for c, d, _, _ in pieces(earlier):
+                x, x_row = _different(earlier.slice(c, d - c))
                 for k in range(c, d):
-                    i, own = a + k, sh[at[k]:at[k + 1]]
-                    for f, t, s, e, share in similar_stretches(x[x_at[k - c]:x_at[k - c + 1]], own):
+                    i = a + k
+                    for f, t, s, e, share in similar_stretches(x[x_row[k - c]], y[y_row[k]]):
                         rows.append((ids[i], s, e + tail, others[i], f, t + tail, share, text_ids[i]))
         kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
         columns = zip(*rows) if rows else [[]] * 8
@@ -593,12 +660,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     stands for the text in what follows.
     """
     copies, only = _copies(docs)
-    pairs = _stored(candidate_pairs(docs, only=only, marks=True), "pairs")
-    among, pairs = _bits(pairs.filter("a = b"), F.col("a")), pairs.filter("a <> b")
+    pairs = _stored(candidate_pairs(docs, only=only, marks=HASHES), "pairs")
+    among, pairs = _bits(pairs.filter("a = b"), F.col("a"), HASHES * BITS), pairs.filter("a <> b")
     found = _stored(_compared(docs, pairs), "found")
     new = lambda more, *known: functools.reduce(lambda m, k: m.join(k, ["a", "b"], "left_anti"), known, more)
     exact = _stored(new(exact_pairs(docs, only, among), pairs), "pairs")
-    finer = _stored(new(candidate_pairs(docs, True, only), pairs, exact), "pairs")
+    finer = _stored(new(candidate_pairs(docs, True, only, among=among), pairs, exact), "pairs")
     more = _stored(_compared(docs, exact.unionByName(finer)), "found")
     return found.unionByName(more).unionByName(copies)
 

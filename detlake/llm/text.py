@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 21
-BLOCK = 1 << 18
+BLOCK = 1 << 15  # bytes or words whose numbers stay in a core's cache
 
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
@@ -50,10 +50,16 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers; one to one."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The entry of every byte in a table of 256 bytes or truth values."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,7 +90,7 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> Words:
     """Maximal runs of bytes that are no separators, within each row."""
-    inside = ~separators[data]
+    inside = ~looked_up(separators, data)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     after = np.empty(len(data), bool)
@@ -108,7 +114,10 @@ def hashes(data: np.ndarray, found: Words, fold: np.ndarray = SAME) -> np.ndarra
         hi = found.ends[j - 1]
         power, inverse = _powers(1 << max(18, int(hi - lo).bit_length()))
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((fold[data[lo:hi]].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], out=sums[1:])
+        terms = looked_up(fold, data[lo:hi]).astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[:hi - lo]
+        np.cumsum(terms, out=sums[1:])
         s, e = found.starts[i:j] - lo, found.ends[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * inverse[s])
         i = j
@@ -126,8 +135,14 @@ def runs(values: np.ndarray, row_at: np.ndarray, n: int) -> tuple[np.ndarray, np
         return np.zeros(0, np.uint64), at
     m = len(values) - n + 1
     h = np.zeros(m, np.uint64)
-    for k in range(n):
-        h = mix(h * np.uint64(3) + values[k:k + m] + np.uint64(k + 1))
+    for first in range(0, m, BLOCK):
+        part = h[first:first + BLOCK]
+        for k in range(n):
+            part = part * np.uint64(3)
+            part += values[first + k:first + k + len(part)]
+            part += np.uint64(k + 1)
+            part = mix(part)
+        h[first:first + BLOCK] = part
     keep = np.repeat(row_at[:-1], count) + np.arange(at[-1]) - np.repeat(at[:-1], count)
     return h[keep], at
 

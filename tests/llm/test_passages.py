@@ -238,3 +238,57 @@ def test_shared_minima_told_by_the_windows_are_those_of_a_pass_of_their_own(spar
     bits = np.unpackbits(passages._shared_minima(passages._rows(docs)).value)
     places = [r.a for r in found if r.a == r.b]
     assert len(places) == len(set(places)) and sorted(places) == np.flatnonzero(bits).tolist() and places
+
+
+def test_finer_keys_go_on_for_shared_minima_alone_and_link_the_same(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(passages, "SLICE", 1 << 12)
+    rng = np.random.default_rng(31)
+    some = [_text(rng, 80) for _ in range(5)]
+    docs = _docs(spark, [(i, f"{_text(rng, 150)} {some[i % 5] if i % 2 else ''} {_text(rng, 150)}") for i in range(50)]).coalesce(1)
+    told = passages.candidate_pairs(docs, marks=passages.HASHES)
+    among = passages._bits(told.filter("a = b"), passages.F.col("a"), passages.HASHES * passages.BITS)
+    every, few = (passages.candidate_pairs(docs, True, among=x).collect() for x in (None, among))
+    assert {(r.a, r.b) for r in every} == {(r.a, r.b) for r in few} and few
+    texts = docs.select("text").toArrow().column(0).combine_chunks()
+    sent = [len(passages._windows(pa.array(texts), np.arange(50), True, among=x)[0]) for x in (None, among)]
+    assert 0 < sent[1] < sent[0] / 2
+
+
+def test_windows_that_are_wanted_and_near_ends():
+    rng = np.random.default_rng(32)
+    at = np.concatenate([[0], np.cumsum(rng.integers(0, 900, 30))])
+    v = rng.integers(0, 2**63, at[-1]).astype(np.uint64)
+    c, left, right = passages.compact_windows(v, at)
+    some, low, high = passages.compact_windows(v, at, passages.RUN, lambda c: c % 3 == 0)
+    on = c % 3 == 0
+    assert some.tolist() == c[on].tolist()
+    for near, ends in ((some - low, (c - left)[on]), (high - some, (right - c)[on])):
+        assert np.minimum(near, passages.RUN).tolist() == np.minimum(ends, passages.RUN).tolist() and (near <= ends).all()
+
+
+def test_a_text_of_many_pairs_is_split_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(33)
+    shared = _text(rng, 70)
+    first, later = f"{shared} {_text(rng, 20)}", [f"{_text(rng, 30)} {shared}" for _ in range(3)]
+    rows = [(a, 10 + k, first, k, later[k]) for k in range(3) for a in range(6)]
+    split, own = [], passages.shingles
+    monkeypatch.setattr(passages, "shingles", lambda data, at: split.append(len(at) - 1) or own(data, at))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "x", "text_id", "text"])
+    out = pa.Table.from_batches(list(passages._verify(iter([batch])))).to_pylist()
+    assert sum(split) == 4
+    assert [(r["doc_id"], r["other_id"], r["text_id"], r["first_word"], r["end_word"]) for r in out] == [(b, a, k, 30, 100) for a, b, _, k, _ in rows]
+
+
+def test_nearest_range_is_that_of_a_comparison_of_all():
+    rng = np.random.default_rng(34)
+    for k in range(200):
+        y = rng.integers(0, [20, 90, 4000][k % 3], 160).astype(np.uint64)
+        x = np.concatenate([rng.integers(0, 300, 40).astype(np.uint64), y[20:100 + k % 50], y[30:90], rng.integers(0, 300, 40).astype(np.uint64)])
+        pair, s, e = passages._Pair(x, y), 20, 80 + k % 30
+        likes = {tuple(sorted(map(int, rng.choice(len(x) + 1, 2, replace=False)))) for _ in range(20)} | {(40, 120 + k % 50), (40, 100 + k % 30)}
+        share, _, f, t = max((pair.likeness(f, t, s, e), -f, f, t) for f, t in likes)
+        assert pair.nearest(likes, s, e, pair.marks(pair.y[s:e])) == ((share, f, t) if share >= passages.SIMILAR else (0, 0, 0))
