@@ -433,22 +433,28 @@ def _blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 def _followers(i: np.ndarray, j: np.ndarray, n: np.ndarray, far: int) -> list[int]:
     """For each block the nearest that follows it in both texts, at most ``far`` places away; -1: none.
 
-    All blocks look at their next one in ``y``, then the one after it, as long as that
+    All blocks look at their next ones in ``y``, then at more of those after them, as long as they
     could still be nearer.
     """
     i_end, j_end = i + n, j + n
     out, best = np.full(len(i), -1), np.full(len(i), far + 1)
-    at, other = np.arange(len(i)), j.searchsorted(j, "right")
+    at, other, many = np.arange(len(i)), j.searchsorted(j, "right"), 2
     while True:
         on = other < len(i)
         on[on] = (j[other[on]] - j_end[at[on]]) < best[at[on]]
         at, other = at[on], other[on]
         if not len(at):
             return out.tolist()
-        apart = np.maximum(np.abs(i[other] - i_end[at]), np.abs(j[other] - j_end[at]))
-        good = (i[other] > i[at]) & (i_end[other] > i_end[at]) & (j_end[other] > j_end[at]) & (apart < best[at])
-        out[at[good]], best[at[good]] = other[good], apart[good]
-        other = other + 1
+        many = max(1, min(2 * many, (1 << 16) // len(at)))
+        next_ones, own = other[:, None] + np.arange(many), at[:, None]
+        o = np.minimum(next_ones, len(i) - 1)
+        good = (next_ones < len(i)) & (i[o] > i[own]) & (i_end[o] > i_end[own]) & (j_end[o] > j_end[own])
+        apart = np.where(good, np.maximum(np.abs(i[o] - i_end[own]), np.abs(j[o] - j_end[own])), far + 1)
+        first = apart.argmin(axis=1)
+        apart = apart[np.arange(len(at)), first]
+        good = apart < best[at]
+        out[at[good]], best[at[good]] = (other + first)[good], apart[good]
+        other = other + many
 
 
 class _Pair:

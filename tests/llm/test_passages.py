@@ -292,3 +292,19 @@ def test_nearest_range_is_that_of_a_comparison_of_all():
         likes = {tuple(sorted(map(int, rng.choice(len(x) + 1, 2, replace=False)))) for _ in range(20)} | {(40, 120 + k % 50), (40, 100 + k % 30)}
         share, _, f, t = max((pair.likeness(f, t, s, e), -f, f, t) for f, t in likes)
         assert pair.nearest(likes, s, e, pair.marks(pair.y[s:e])) == ((share, f, t) if share >= passages.SIMILAR else (0, 0, 0))
+
+
+def test_followers_against_definition():
+    rng = np.random.default_rng(35)
+    for _ in range(60):
+        n, wide, far = int(rng.integers(1, 120)), int(rng.integers(5, 400)), int(rng.integers(1, 60))
+        i, j = rng.integers(0, wide, (2, n))
+        by = np.lexsort((i, j))
+        i, j, long = i[by], j[by], rng.integers(1, 20, n)
+        want = []
+        for p in range(n):
+            apart = {o: max(abs(i[o] - i[p] - long[p]), abs(j[o] - j[p] - long[p])) for o in range(n) if i[o] > i[p] and j[o] > j[p]
+                     and i[o] + long[o] > i[p] + long[p] and j[o] + long[o] > j[p] + long[p]}
+            near = [(a, o) for o, a in apart.items() if a <= far]
+            want.append(min(near)[1] if near else -1)
+        assert passages._followers(i, j, long, far) == want
