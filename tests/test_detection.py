@@ -1,9 +1,13 @@
 """EER, ROC and bootstrap against plain definitions on small inputs."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from detlake.catalog import detection_queries
+from detlake.functions.md5 import md5_heads
 from detlake.operators import bootstrap, bracket, detection as D, prefix
 
 GOLDEN = [
@@ -152,6 +156,67 @@ def test_hashed_draws_are_shared_out_by_their_number(spark, monkeypatch):
     assert sum(sizes) == 12_000 and max(sizes) <= 3 * bootstrap.DRAWS
 
 
+def drawn_by_hand(scores, labels, name, n_boot):
+    """EER of each replicate, drawn one by one."""
+    scores, labels, out = np.asarray(scores, float), np.asarray(labels), []
+    for rep in range(n_boot):
+        picked = []
+        for y in (0, 1):
+            own = np.sort(scores[labels == y])
+            heads = [int(hashlib.md5(f"1337,{name},{y},{rep},{i}".encode()).hexdigest()[:8], 16) for i in range(len(own))]
+            picked.append(own[np.array(heads, int) % max(1, len(own))])
+        out.append(brute_eer(np.concatenate(picked), np.repeat([0, 1], [len(p) for p in picked])))
+    return out
+
+
+def test_report_draws_the_default_number_of_replicates(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(i, 1, "FO"[rng.integers(0, 2)], float(rng.integers(100, 130) * 1000), f"{1 + i % 2}-P") for i in range(120)]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    orders = orders.withColumn("o_totalprice", F.col("o_totalprice") - F.when(F.col("o_orderstatus") == "O", 55_000).otherwise(0))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "M")], "c_custkey bigint, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["dataset_id"]: r for r in detection_queries.q_eer_report_ci(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"1-P", "2-P"}
+    for name, row in got.items():
+        own = [(price // 1000 + (5 if s == "O" else 0), int(s == "O")) for _, _, s, price, d in rows if d == name]
+        lo, hi = np.quantile(drawn_by_hand(*zip(*own), name, 1000), [0.025, 0.975])
+        assert (row["ci_lo_pct"], row["ci_hi_pct"]) == (pytest.approx(100 * lo, abs=0.0051), pytest.approx(100 * hi, abs=0.0051))
+
+
+def test_counted_draws_are_the_joined_ones(spark, monkeypatch):
+    """Replicates that are not proven, groups that are left out and cut units give the same as rows joined one by one."""
+    rng = np.random.default_rng(12)
+    labels = rng.integers(0, 2, 2500)
+    groups = {"tied": (rng.integers(0, 4, 2500) + labels, labels), "ü, own": (rng.normal(labels, 1.0), labels), "few": ([1, 2, 2, 3], [0, 1, 0, 1]),
+              "steps": (np.arange(200.0), np.tile([0, 1], 100)), "ends": (np.r_[rng.normal(0, 1, 90), [np.inf, -np.inf] * 5], rng.integers(0, 2, 100)),
+              "one_class": ([1, 2], [1, 1])}
+    df = score_table(spark, groups).union(spark.createDataFrame([(None, 1.0, 0), (None, 2.0, 1)], "dataset_id string, score double, label long"))
+    want = {(g, k): e for g, (s, y) in groups.items() for k, e in enumerate(drawn_by_hand(s, y, g, 12))}
+    called, joined = [], bootstrap._joined
+    monkeypatch.setattr(bootstrap, "_joined", lambda *a: called.append(a) or joined(*a))
+    for case in ({}, {"COUNTED": 300, "AT_ONCE": 64, "SIGMAS": 0.2}, {"MOST": 50}):
+        with monkeypatch.context() as m:
+            for name, value in case.items():
+                m.setattr(bootstrap, name, value)
+            got = {(r["dataset_id"], r["rep"]): r["eer"] for r in bootstrap.eer_replicates_hashed(df, 12).collect()}
+        assert got.keys() == want.keys()
+        for k, e in want.items():
+            assert got[k] == (None if e is None else pytest.approx(e))
+        assert called or not case
+    with monkeypatch.context() as m:  # nothing is sent on one by one where the bracket holds
+        m.setattr(bootstrap, "_joined", None)
+        assert bootstrap.eer_replicates_hashed(df.filter("dataset_id = 'tied'"), 12).count() == 12
+
+
+@pytest.mark.parametrize("name", [b"1337,g,1,", b"x" * 50 + b",", "ü".encode() * 64])
+def test_md5_of_many_texts(name):
+    for reps, ranks in (((0, 13), (0, 120)), ((8, 10), (95, 1105)), ((998, 1001), (9990, 10010))):
+        pieces = [zip(np.broadcast_to(r, len(h)).tolist(), h.tolist()) for r, h in md5_heads(name, *reps, *ranks, 70)]
+        want = [(r, int(hashlib.md5(name + f"{r},{i}".encode()).hexdigest()[:8], 16)) for r in range(*reps) for i in range(*ranks)]
+        assert sorted(x for p in pieces for x in p) == sorted(want)
+
+
 def test_running_totals(spark):
     rng = np.random.default_rng(1)
     rows = [("ab"[i % 3 == 0], float(v), int(i)) for i, v in enumerate(rng.integers(0, 30, 200))]
